@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from .common import table, text_or_empty
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_archives, write_archives
+
+    written = write_archives(table(spark, sf_dir, "pages"), min_bytes=0)
+    records = read_archives(spark, [r.archive for r in written.select("archive").collect()])
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_rows
 
@@ -25,6 +33,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_warc": op2_warc,
     "op5_sharding": op5_sharding,
 }
 ORACLE_SQL: dict[str, str] = {}
