@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from .common import table, text_or_empty
 
 
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wavelet import read_shards, write_shards
+
+    shards = write_shards(table(spark, sf_dir, "documents"), end_id=2)
+    return read_shards(spark, shards, tokens=False)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read_archives, write_archives
 
@@ -33,6 +40,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_ids": op1_token_ids,
     "op2_warc": op2_warc,
     "op5_sharding": op5_sharding,
 }
