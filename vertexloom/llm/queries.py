@@ -39,9 +39,17 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_warc": op2_warc,
     "op5_sharding": op5_sharding,
+    "op7_simhash": op7_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
