@@ -23,6 +23,13 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    packed = pack(table(spark, sf_dir, "documents"), length=2048, end_id=1)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_rows
 
@@ -49,6 +56,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_warc": op2_warc,
+    "op3_packing": op3_packing,
     "op5_sharding": op5_sharding,
     "op7_simhash": op7_simhash,
 }
