@@ -53,11 +53,20 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out, predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    langs, weights = train(docs, ~held_out())
+    return predict(docs.select("doc_id", "text"), langs, weights).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_warc": op2_warc,
     "op3_packing": op3_packing,
     "op5_sharding": op5_sharding,
     "op7_simhash": op7_simhash,
+    "op8_language": op8_language,
 }
 ORACLE_SQL: dict[str, str] = {}
