@@ -61,6 +61,16 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text"), langs, weights).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fmindex import contamination
+
+    found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=13)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    rows = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"))
+    return rows.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
+
+
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_warc": op2_warc,
@@ -68,5 +78,6 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
+    "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {}
