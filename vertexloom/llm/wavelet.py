@@ -1,12 +1,12 @@
 """Token ids in wavelet matrices: one file for each shard of documents.
 
-A file holds a header, the bit-planes of the shard's ids from the highest bit down, and a table of
-documents. Each plane is cut into blocks; a block is kept as packed bits under zstd, with the number
+A file holds a header, the shard's alphabet (its distinct ids in order), the bit-planes of the places
+of its ids in the alphabet from the highest bit down, and a table of documents. Each plane is cut into blocks; a block is kept as packed bits under zstd, with the number
 of ones before it in a directory. Access, rank and select read only the blocks they touch.
 
-Layout (little-endian): MAGIC; u64 tokens, u32 planes, u32 documents, u32 bits in a block; for each
-plane u64 zeros; for each plane and block u64 ones before it, u64 byte offset, u32 bytes, u32 unused;
-i64 doc_id, u8 doc_id is present, padded to 8, u64 end (exclusive) of each document; the blocks.
+Layout (little-endian): MAGIC; u64 tokens, u32 planes, u32 documents, u32 bits in a block, u32 distinct
+ids; for each plane u64 zeros; for each plane and block u64 ones before it, u64 byte offset, u32 bytes, u32 unused;
+i64 doc_id, u8 doc_id is present, padded to 8, u64 end (exclusive) of each document; u32 distinct ids, padded to 8; the blocks.
 
 Nulls: a null text is empty (it still gets the end id); a null doc_id sorts first and is kept null.
 Repeated rows and ids are documents of their own, in the order of (doc_id, hash of the text). Empty tables give no
@@ -29,26 +29,34 @@ from pyspark.sql import functions as F
 from .common import file_system, fresh, text_or_empty, tokenizer_path
 from .tokens import encoder
 
-MAGIC = b"VLWM0001"
-HEAD = struct.Struct("<QIII")
+MAGIC = b"VLWM0002"
+HEAD = struct.Struct("<QIIII")
 BLOCK = np.dtype([("ones", "<u8"), ("at", "<u8"), ("bytes", "<u4"), ("unused", "<u4")])
 DOC = np.dtype([("doc_id", "<i8"), ("present", "u1"), ("pad", "u1", 7), ("end", "<u8")])
 BLOCK_BITS = 1 << 18
-SHARD_TOKENS = 1 << 23
+SHARD_TOKENS = 1 << 22
 
 
 def pack(ids: np.ndarray, doc_ids: list[int | None], ends: np.ndarray, block_bits: int = BLOCK_BITS) -> bytes:
     """The bytes of a shard's file. ends: where each document ends in ids."""
-    planes = max(1, int(ids.max()).bit_length()) if len(ids) else 1
+    seen = np.bincount(ids) if len(ids) and ids.max() < 1 << 20 else None
+    alphabet = (np.flatnonzero(seen) if seen is not None else np.unique(ids)).astype("<u4")
+    planes = max(1, (len(alphabet) - 1).bit_length()) if len(ids) else 1
     blocks = -(-len(ids) // block_bits)
     zeros, entries, bodies = np.zeros(planes, "<u8"), np.zeros((planes, blocks), BLOCK), []
     docs = np.zeros(len(doc_ids), DOC)
     docs["doc_id"] = [x or 0 for x in doc_ids]
     docs["present"] = [x is not None for x in doc_ids]
     docs["end"] = ends
-    at = len(MAGIC) + HEAD.size + zeros.nbytes + entries.nbytes + docs.nbytes
+    at = len(MAGIC) + HEAD.size + zeros.nbytes + entries.nbytes + docs.nbytes + -(-alphabet.nbytes // 8) * 8
     z = zstandard.ZstdCompressor(level=1)
-    now = ids.astype(np.uint16) if planes <= 16 else ids.astype(np.uint32)
+    place = np.uint16 if planes <= 16 else np.uint32
+    if seen is not None:
+        codes = np.zeros(len(seen), place)
+        codes[alphabet] = np.arange(len(alphabet))
+        now = codes.take(ids)
+    else:
+        now = np.searchsorted(alphabet, ids).astype(place)
     for level in range(planes):
         bits = ((now >> (planes - 1 - level)) & 1).astype(bool)
         packed, ones = np.packbits(bits), 0
@@ -60,8 +68,8 @@ def pack(ids: np.ndarray, doc_ids: list[int | None], ends: np.ndarray, block_bit
             bodies.append(body)
         zeros[level] = len(bits) - ones
         if level + 1 < planes:
-            now = np.concatenate([now[~bits], now[bits]])
-    return b"".join([MAGIC, HEAD.pack(len(ids), planes, len(docs), block_bits), zeros.tobytes(), entries.tobytes(), docs.tobytes(), *bodies])
+            now = np.concatenate([np.compress(~bits, now), np.compress(bits, now)])
+    return b"".join([MAGIC, HEAD.pack(len(ids), planes, len(docs), block_bits, len(alphabet)), zeros.tobytes(), entries.tobytes(), docs.tobytes(), alphabet.tobytes().ljust(-(-alphabet.nbytes // 8) * 8, b"\0"), *bodies])
 
 
 class WaveletFile:
@@ -72,7 +80,7 @@ class WaveletFile:
         head = read_at(0, len(MAGIC) + HEAD.size)
         if head[: len(MAGIC)] != MAGIC:
             raise ValueError("not a wavelet file")
-        self.n, self.planes, docs, self.block_bits = HEAD.unpack(head[len(MAGIC) :])
+        self.n, self.planes, docs, self.block_bits, distinct = HEAD.unpack(head[len(MAGIC) :])
         blocks = -(-self.n // self.block_bits)
         at = len(head)
         self.zeros = np.frombuffer(read_at(at, 8 * self.planes), "<u8").astype(np.int64)
@@ -80,6 +88,7 @@ class WaveletFile:
         self.entries = np.frombuffer(read_at(at, BLOCK.itemsize * self.planes * blocks), BLOCK).reshape(self.planes, blocks)
         at += self.entries.nbytes
         self.docs = np.frombuffer(read_at(at, DOC.itemsize * docs), DOC)
+        self.alphabet = np.frombuffer(read_at(at + self.docs.nbytes, 4 * distinct), "<u4")
         self._kept: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
     @classmethod
@@ -124,11 +133,16 @@ class WaveletFile:
             bit = self.bit(level, i)
             value = value << 1 | bit
             i = int(self.zeros[level]) + self.ones(level, i) if bit else i - self.ones(level, i)
-        return value
+        return int(self.alphabet[value])
+
+    def code(self, token: int) -> int:
+        """Place of a token in the alphabet, -1 if it does not occur."""
+        at = int(np.searchsorted(self.alphabet, token)) if 0 <= token < 1 << 32 else len(self.alphabet)
+        return at if at < len(self.alphabet) and self.alphabet[at] == token else -1
 
     def rank(self, token: int, i: int) -> int:
         """How often the token occurs among the first i."""
-        if token >> self.planes or token < 0:
+        if (token := self.code(token)) < 0:
             return 0
         lo, hi = 0, min(max(i, 0), self.n)
         for level in range(self.planes):
@@ -143,7 +157,7 @@ class WaveletFile:
         """Position of the k-th occurrence (from 0) of the token, -1 if there are not so many."""
         if k < 0 or k >= self.count(token):
             return -1
-        start = 0
+        token, start = self.code(token), 0
         for level in range(self.planes):
             a = self.ones(level, start)
             start = int(self.zeros[level]) + a if token >> (self.planes - 1 - level) & 1 else start - a
@@ -172,11 +186,12 @@ class WaveletFile:
             packed = [self.packed(level, b) for b in range(self.entries.shape[1])]
             bits = np.unpackbits(np.concatenate(packed), count=self.n).view(bool) if packed else np.zeros(0, bool)
             z = int(self.zeros[level])
+            values[z:] |= 1 << (self.planes - 1 - level)
             up = np.empty_like(values)
-            up[~bits] = values[:z]
-            up[bits] = values[z:] | (1 << (self.planes - 1 - level))
+            up[np.flatnonzero(~bits)] = values[:z]
+            up[np.flatnonzero(bits)] = values[z:]
             values = up
-        return values
+        return self.alphabet.take(values)
 
 
 def write_shards(docs: DataFrame, end_id: int = 2, path: str | None = None, shard_tokens: int = SHARD_TOKENS) -> list[tuple[str, int, int]]:
@@ -245,7 +260,7 @@ def read_shards(spark: SparkSession, shards: list[tuple[str, int, int]], tokens:
         for b in batches:
             for name, first in zip(*(b.column(i).to_pylist() for i in (0, 1)), strict=True):
                 w = open_file(name)
-                ids = w.decode().astype("<u4")
+                ids = w.decode()
                 ends = w.docs["end"].astype(np.int64)
                 starts = np.concatenate([[0], ends[:-1]])
                 crc = [zlib.crc32(ids[a:z]) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
