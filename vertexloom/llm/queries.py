@@ -61,6 +61,13 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text"), langs, weights).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import remove_repeats
+
+    found = remove_repeats(table(spark, sf_dir, "documents"), length=50, digest=True)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fmindex import contamination
 
@@ -78,6 +85,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
+    "op9_suffixes": op9_suffixes,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {}
