@@ -46,6 +46,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sketch import fingerprint_edits
+
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -83,6 +89,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_packing": op3_packing,
     "op5_sharding": op5_sharding,
+    "op6_fingerprints": op6_fingerprints,
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
     "op9_suffixes": op9_suffixes,
