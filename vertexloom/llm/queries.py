@@ -30,6 +30,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_rows
 
@@ -88,6 +94,7 @@ QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op2_warc": op2_warc,
     "op3_packing": op3_packing,
+    "op4_html_text": op4_html_text,
     "op5_sharding": op5_sharding,
     "op6_fingerprints": op6_fingerprints,
     "op7_simhash": op7_simhash,
