@@ -1,10 +1,112 @@
-"""Corpus pipeline: stages in order, each a function (spark, docs, sf_dir) -> DataFrame."""
+"""Corpus pipeline: language ID, SimHash near-dedup, suffix dedup, benchmark decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last
+return the columns of documents. A stage that cuts a text sets n_chars to the new length.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from vertexloom.llm import fmindex, langid, packing, simhash, suffixes
+from vertexloom.llm.common import stored, table
+
+LEAST_SCORE = 0.5
+REPEAT_BYTES = 50
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents with a recognised language: not `und`, and a score of LEAST_SCORE or more. Without labels all with letters stay."""
+    langs, weights = langid.train(docs, ~langid.held_out())
+    marked = langid.predict(docs, langs, weights)
+    sure = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    return marked.filter(sure if langs else F.col("text").rlike(r"\p{L}")).select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the row with the smallest doc_id of each group of near copies; rows without a doc_id stay."""
+    found = stored(simhash.near_duplicates(docs).filter("doc_id is not null"), "groups")
+    keep = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    keep = stored(keep, "keep")
+    kept = docs.join(keep.select("doc_id"), "doc_id", "left_semi")
+    if not keep.filter("n > 1").isEmpty():  # repeated rows: one of each id
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts what repeats a passage of an earlier document; a document of which no visible character is left goes."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn("whole", F.lit(True))
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    plain = plain.withColumn("whole", F.col(at["text"]).isNotNull()).withColumnsRenamed({at["doc_id"]: "doc_id", at["text"]: "text"})
+    others = tuple(c for c in plain.columns if c not in ("doc_id", "text"))
+    kept = suffixes.remove_repeats(plain, REPEAT_BYTES, carry=others)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = pa.array([x.as_py().decode("utf-8", "ignore") for x in b.column("kept")], pa.string())  # a character cut in two goes whole
+            yield pa.record_batch([texts if n == "kept" else b.column(n) for n in b.schema.names], names=b.schema.names)
+
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "kept" else f.dataType) for f in kept.schema])
+    cut = kept.mapInArrow(decode, schema).filter((F.col("n_removed") == 0) | F.col("kept").rlike(r"\S"))
+    return changed(cut.withColumn("kept", F.when(F.col("whole"), F.col("kept"))), docs, {**at, "doc_id": "doc_id", "text": "kept"}, F.col("n_removed") > 0)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops contaminated documents (a twentieth of the words hit, or more) and cuts hit words from the others."""
+    found = fmindex.contamination(docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumnsRenamed({f"c{docs.columns.index('text')}": "text"}), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    clean = found.withColumn("n_hit", n_hit).filter("n_hit = 0 or 20 * n_hit < n_words")
+
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([fmindex.cut_words(t, [(s["start"], s["end"]) for s in x]) for t, x in zip(texts, spans, strict=True)])
+
+    whole = clean.filter("n_hit = 0")
+    other = clean.filter("n_hit > 0").withColumn("text", F.pandas_udf(cut, "string")("text", "spans"))
+    at = {c: "text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)}
+    return changed(whole.unionByName(other), docs, at, F.col("n_hit") > 0)
+
+
+def changed(df: DataFrame, docs: DataFrame, at: dict[str, str], cut: Column) -> DataFrame:
+    """The columns of docs out of df; n_chars is counted anew where a text was cut."""
+    out = []
+    for f in docs.schema:
+        c = F.col(at[f.name])
+        if f.name == "n_chars":
+            c = F.when(cut, F.length(at["text"])).otherwise(c).cast(f.dataType)
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 ids: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    packed = packing.pack(docs, length=2048, end_id=1)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("language", language),
+    ("near_copies", near_copies),
+    ("repeated_passages", repeated_passages),
+    ("benchmark", benchmark),
+    ("pack", pack),
+]
+
+# Packing and the model of languages have no counterpart in SQL; a test holds run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stored(docs, name)
+    return docs

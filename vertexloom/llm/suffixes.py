@@ -33,6 +33,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored, text_or_empty
 
@@ -44,7 +45,7 @@ NULL_ID = -(1 << 63)
 HASH_BITS = 48
 BUCKET_BYTES = 16 << 20
 
-CHUNKS = "chunk long, docs binary, text binary"
+CHUNKS = "chunk long, docs binary, text binary, rest binary"
 PARTS = "bucket int, chunk long, n int, body binary"
 ANSWERS = "chunk long, bucket int, body binary"
 
@@ -272,33 +273,42 @@ def radix_groups(words: np.ndarray, many: np.ndarray, least: np.ndarray, length:
     return best
 
 
-def make_chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
-    """CHUNKS of the documents, written to the shared folder."""
+def make_chunks(docs: DataFrame, size: int = CHUNK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """CHUNKS of the documents, written to the shared folder. rest: the columns to carry, as an Arrow stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, ids, parts, held = TaskContext.get().partitionId() << 32, [], [], 0
+        number, ids, parts, rest, held = TaskContext.get().partitionId() << 32, [], [], [], 0
 
         def close() -> pa.RecordBatch:
             nonlocal number, held
             head = np.array([(d or 0, d is not None, len(x)) for d, x in zip(ids, parts, strict=True)], np.int64)
-            out = pa.record_batch([pa.array([number]), pa.array([head.tobytes()]), pa.array([squeeze(b"".join(parts))])], names=["chunk", "docs", "text"])
+            sink = pa.BufferOutputStream()
+            if carry:
+                with pa.ipc.new_stream(sink, rest[0].schema) as out:
+                    for x in rest:
+                        out.write_batch(x)
+            row = (number, head.tobytes(), squeeze(b"".join(parts)), squeeze(sink.getvalue().to_pybytes()) if carry else b"")
             number, held = number + 1, 0
-            ids.clear()
-            parts.clear()
-            return out
+            for x in (ids, parts, rest):
+                x.clear()
+            return pa.record_batch([pa.array([x]) for x in row], names=["chunk", "docs", "text", "rest"])
 
         for b in batches:
-            for d, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            others, begin = b.select(b.schema.names[2:]), 0
+            for i, (d, x) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
                 data = x.as_buffer().to_pybytes()
                 if parts and (held + len(data) > size or len(parts) >= MOST_DOCS):
+                    rest.append(others.slice(begin, i - begin))
+                    begin = i
                     yield close()
                 ids.append(d)
                 parts.append(data)
                 held += len(data)
+            rest.append(others.slice(begin))
         if parts:
             yield close()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *(F.col(f"`{c}`").alias(f"__vl_{i}") for i, c in enumerate(carry)))
     return stored(rows.mapInArrow(run, CHUNKS), "chunks", "uncompressed")
 
 
@@ -311,11 +321,11 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]
     yield from found.items()
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK) -> DataFrame:
-    """A chunk with the answers of both rounds a row: chunk, docs, text, seen, windows, buckets."""
+def find_repeats(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A chunk with the answers of both rounds a row: CHUNKS, seen, windows, buckets."""
     if length < 16:
         raise ValueError("windows of 16 bytes at least")
-    chunks = make_chunks(docs, chunk)
+    chunks = make_chunks(docs, chunk, carry)
     spark = docs.sparkSession
     packed = chunks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-3 * packed // BUCKET_BYTES)))
@@ -456,9 +466,13 @@ def removed(r: dict, length: int) -> tuple[Chunk, np.ndarray]:
 SPANS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK, digest: bool = False) -> DataFrame:
-    """SPANS of each row: bytes, removed bytes, maximal removed runs, and what is kept (with digest: its SHA-256)."""
-    found = find_repeats(docs, length, chunk)
+def remove_repeats(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK, digest: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """SPANS of each row: bytes, removed bytes, maximal removed runs, and what is kept (with digest: its SHA-256).
+
+    Columns to carry come behind, under their names; two of the same name are told apart by place only.
+    """
+    found = find_repeats(docs, length, chunk, carry)
+    names = [x.split()[0] for x in SPANS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in rows_of(batches):
@@ -475,6 +489,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK, di
                 data = own.tobytes() if not n else own[~gone[a:z]].tobytes()
                 kept.append(hashlib.sha256(data).digest() if digest else data)
             cols = [pa.array(c.doc_id, mask=c.present == 0), pa.array(c.sizes), pa.array(n_removed), pa.array(n_spans), pa.array(kept, pa.binary())]
-            yield pa.record_batch(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    return found.mapInArrow(run, SPANS)
+            if carry:
+                rest = pa.ipc.open_stream(unsqueeze(r["rest"])).read_all().combine_chunks()
+                cols += [x.chunk(0) if x.num_chunks else pa.array([], x.type) for x in rest.columns]
+            yield pa.record_batch(cols, names=[*names, *(f"__vl_{i}" for i in range(len(carry)))])
+
+    schema = T.StructType.fromDDL(SPANS)
+    for i, name in enumerate(carry):
+        schema = schema.add(f"__vl_{i}", docs.schema[name].dataType)
+    return found.mapInArrow(run, schema).toDF(*names, *carry)
