@@ -2,5 +2,490 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalar
+from ..graph import Graph
+from ..operators import components as C
+from ..operators import degrees, layout, pregel, rank, search, traversal, triangles
+from ..sources import generators, petri, segments, sinks, spec, tables
+from ..storage import fresh, stored
+from . import fixtures as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+parts, users, errors, trade = tables.part_succession, tables.user_succession, tables.error_succession, tables.customer_suppliers
+
+
+# Scans, degrees, views
+
+
+@query(f"{S.ctes(S.PARTS)} SELECT degree, count(*) AS cnt FROM (SELECT v.id, count(e.src) AS degree FROM v LEFT JOIN e ON e.src = v.id GROUP BY v.id) GROUP BY degree")
+def degree_hist(spark, d):
+    return degrees.degree_histogram(parts(spark, d))
+
+
+@query(f"{S.ctes(S.USERS)} SELECT degree, count(*) AS cnt FROM (SELECT v.id, count(e.dst) AS degree FROM v LEFT JOIN e ON e.dst = v.id GROUP BY v.id) GROUP BY degree")
+def in_degree_hist(spark, d):
+    return degrees.degree_histogram(users(spark, d), incoming=True)
+
+
+@query(
+    f"{S.ctes(S.PARTS)} SELECT count(*) AS n, count(DISTINCT degree) AS distinct_values, min(degree) AS min_value, max(degree) AS max_value, round(avg(degree), 6) AS mean_value, round(stddev_samp(degree), 6) AS stdev FROM (SELECT v.id, count(e.src) AS degree FROM v LEFT JOIN e ON e.src = v.id GROUP BY v.id)"
+)
+def degree_stats(spark, d):
+    return degrees.histogram_statistics(degrees.degree_histogram(parts(spark, d)))
+
+
+@query(
+    f"{S.ctes(S.PARTS)}, g AS (SELECT v.id, count(e.src) AS degree FROM v LEFT JOIN e ON e.src = v.id GROUP BY v.id), a AS (SELECT avg(degree) AS m, count(*) AS n FROM g) SELECT (SELECT n FROM a) AS n, count(*) AS distinct_values, min(degree) AS min_value, max(degree) AS max_value, round((SELECT m FROM a), 6) AS mean_value, round(sqrt(sum((degree - (SELECT m FROM a)) ** 2)) / ((SELECT n FROM a) - 1), 6) AS stdev FROM (SELECT DISTINCT degree FROM g)"
+)
+def degree_stats_compat(spark, d):
+    return degrees.histogram_statistics(degrees.degree_histogram(parts(spark, d)), compat=True)
+
+
+@query(f"{S.ctes(S.USERS)} SELECT v.id, count(e.src) AS degree FROM v LEFT JOIN e ON e.src = v.id GROUP BY v.id")
+def out_degrees(spark, d):
+    return users(spark, d).out_degrees()
+
+
+@query(f"{S.ctes(S.USERS)} SELECT v.id, count(e.dst) AS degree FROM v LEFT JOIN e ON e.dst = v.id GROUP BY v.id")
+def in_degrees(spark, d):
+    return users(spark, d).in_degrees()
+
+
+@query(f"SELECT dst AS src, src AS dst FROM ({S.USERS})")
+def transpose(spark, d):
+    return users(spark, d).transpose().edges
+
+
+@query(f"SELECT src, dst FROM ({S.ERRORS}) UNION ALL SELECT dst, src FROM ({S.ERRORS})")
+def undirected(spark, d):
+    return errors(spark, d).undirected().edges
+
+
+@query(f"SELECT dst AS id FROM ({S.PARTS}) WHERE src = 1")
+def neighbors(spark, d):
+    return parts(spark, d).neighbors(1)
+
+
+@query(f"SELECT src AS id FROM ({S.PARTS}) WHERE dst = 1")
+def in_neighbors(spark, d):
+    return parts(spark, d).in_neighbors(1)
+
+
+@query(f"{S.ctes(S.PARTS)} SELECT id FROM v WHERE id = 7")
+def point_lookup(spark, d):
+    return parts(spark, d).vertex(7)
+
+
+@query(f"SELECT src AS id, array_to_string(list_sort(list(dst)), ' ') AS neighbors FROM ({S.ERRORS}) GROUP BY src")
+def adjacency(spark, d):
+    return errors(spark, d).adjacency().select("id", F.array_join(F.transform("neighbors", lambda x: x.cast("string")), " ").alias("neighbors"))
+
+
+@query(
+    f"{S.ctes(S.USERS)} SELECT (SELECT count(*) FROM v) AS vertices, count(*) AS edges, round(count(*) / (SELECT count(*) FROM v), 6) AS avg_degree, count(*) FILTER (src = dst) AS loops, count(*) - (SELECT count(*) FROM (SELECT DISTINCT src, dst FROM e)) AS parallel FROM e"
+)
+def graph_info(spark, d):
+    return users(spark, d).info()
+
+
+@query(
+    "SELECT c.c_nationkey::BIGINT AS src, s.s_nationkey::BIGINT AS dst, count(*) AS w FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey JOIN supplier s ON s.s_suppkey = l.l_suppkey GROUP BY ALL"
+)
+def weighted_edges(spark, d):
+    return tables.nation_trade(spark, d)
+
+
+@query("SELECT count(*) AS links, count(DISTINCT dst) AS targets FROM (SELECT url AS src, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS dst FROM pages)")
+def page_links(spark, d):
+    return tables.page_links(spark, d).agg(F.count(F.lit(1)).alias("links"), F.countDistinct("dst").alias("targets"))
+
+
+@query("WITH l AS (SELECT url AS src, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS dst FROM pages), n AS (SELECT src AS name FROM l UNION SELECT dst FROM l) SELECT name, row_number() OVER (ORDER BY encode(name)) - 1 AS id FROM n WHERE name IS NOT NULL")
+def page_numbers(spark, d):
+    return tables.numbered(tables.page_links(spark, d))[1]
+
+
+# Traversals
+
+
+@query(f"{S.hops(S.PARTS, '1')} SELECT v.id, h.dist FROM v LEFT JOIN h ON h.id = v.id")
+def hop_dist(spark, d):
+    return traversal.hop_distance(parts(spark, d), 1)
+
+
+@query(f"{S.hops(S.PARTS, '1')} SELECT v.id, coalesce(h.dist, 2147483647) AS dist FROM v LEFT JOIN h ON h.id = v.id")
+def hop_dist_compat(spark, d):
+    return traversal.hop_distance(parts(spark, d), 1, compat=True)
+
+
+@query(f"{S.hops(S.TRADE, '(SELECT min(id) FROM v)')} SELECT v.id, h.dist FROM v LEFT JOIN h ON h.id = v.id")
+def hop_dist_bipartite(spark, d):
+    return traversal.hop_distance(trade(spark, d))
+
+
+@query(f"{S.hops(S.PARTS, '1')} SELECT dist, count(*) AS cnt FROM h GROUP BY dist")
+def bfs_layers(spark, d):
+    return traversal.bfs_layers(parts(spark, d), 1)
+
+
+@query(f"{S.hops(S.PARTS, '1')} SELECT greatest(dist - 1, 0) AS dist, count(*) AS cnt FROM h GROUP BY ALL")
+def bfs_layers_compat(spark, d):
+    return traversal.bfs_layers(parts(spark, d), 1, compat=True)
+
+
+@query(f"{S.hops(S.PARTS, '1')} SELECT count(*) AS visited, max(dist) + 1 AS layers, round(avg(dist), 6) AS avg_dist FROM h")
+def bfs_summary(spark, d):
+    return traversal.bfs_summary(parts(spark, d), 1)
+
+
+@query(f"{S.hops(S.USERS, '(SELECT min(id) FROM v)')} SELECT (SELECT count(*) FROM h) AS visited, (SELECT count(*) FROM e JOIN h ON h.id = e.src) + 1 AS visit_calls")
+def visit_count(spark, d):
+    return traversal.visit_count(users(spark, d))
+
+
+@query(f"{S.closure(S.ERRORS)} SELECT (SELECT count(*) FROM v) AS visited, count(*) + 1 AS rounds FROM v WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.t = v.id AND t.s < v.id)")
+def visit_all(spark, d):
+    return traversal.visit_all(errors(spark, d))
+
+
+@query(f"WITH RECURSIVE e AS (SELECT src, dst FROM ({S.ERRORS}) UNION SELECT dst, src FROM ({S.ERRORS})), r AS (SELECT min(src) AS id FROM e UNION SELECT e.dst FROM r JOIN e ON e.src = r.id) SELECT count(*) AS echoes FROM r")
+def echo(spark, d):
+    return traversal.echo(errors(spark, d))
+
+
+@query()
+def cascade(spark, d):
+    graph = stored_graph(users(spark, d))
+    return traversal.cascade(graph, traversal.cascade_seeds(graph, 10))
+
+
+@query(f"SELECT src AS id, max(dst) AS top FROM ({S.PARTS}) GROUP BY src HAVING max(dst) > src")
+def message_filter(spark, d):
+    """One message round backward with a guard: vertices with a larger neighbour."""
+    graph = parts(spark, d)
+    state = graph.vertices.select("id", F.lit(0).cast("long").alias("top"))
+    new = pregel.message_round(state, graph.transpose().edges, F.col("id"), F.max("msg"), {"top": F.coalesce("merged", F.lit(0))})
+    return new.filter("top > id")
+
+
+@query(f"{S.ctes(S.PARTS)} SELECT id FROM v EXCEPT SELECT dst FROM e UNION ALL (SELECT src FROM e INTERSECT SELECT dst FROM e WHERE dst % 10 = 3)")
+def label_sets(spark, d):
+    """Set algebra over vertex sets: those without edges in, and some with edges in and out."""
+    g = parts(spark, d)
+    sources, targets = g.edges.select(F.col("src").alias("id")).distinct(), g.edges.select(F.col("dst").alias("id")).distinct()
+    return g.vertices.subtract(targets).union(sources.intersect(targets.filter("id % 10 = 3")))
+
+
+# Ranks, triangles, layout
+
+
+@query(f"{S.pagerank(S.USERS, 5)} SELECT id, round(rank, 6) AS rank FROM p5")
+def pagerank_fixed(spark, d):
+    return rank.pagerank(users(spark, d), 5).select("id", F.round("rank", 6).alias("rank"))
+
+
+@query(f"{S.pagerank(S.PARTS, 5)} SELECT id, round(rank, 6) AS rank FROM p5")
+def pagerank_parts(spark, d):
+    return rank.pagerank(parts(spark, d), 5).select("id", F.round("rank", 6).alias("rank"))
+
+
+@query(f"{S.pagerank_converged(S.PARTS, 20)} SELECT id, round(rank, 6) AS rank FROM p20")
+def pagerank_converged(spark, d):
+    return rank.pagerank_converged(parts(spark, d))[0].select("id", F.round("rank", 6).alias("rank"))
+
+
+@query(f"{S.pagerank(S.PARTS, 5)} SELECT round(min(rank), 6) AS min_rank, round(max(rank), 6) AS max_rank, round(sum(rank), 4) AS sum_rank FROM p5")
+def pagerank_summary(spark, d):
+    return rank.rank_summary(rank.pagerank(parts(spark, d), 5))
+
+
+CYCLES = f"{S.ctes(S.PARTS)}, c AS (SELECT a.src AS x, a.dst AS y, b.dst AS z FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst), n AS (SELECT id, count(*) AS n FROM (SELECT unnest([x, y, z]) AS id FROM c) GROUP BY id)"
+
+
+@query(f"{CYCLES} SELECT id, n FROM n")
+def triangles_cycle(spark, d):
+    return triangles.triangle_counts(parts(spark, d))
+
+
+@query(f"{CYCLES} SELECT v.id, coalesce(n.n, 0) AS n FROM v LEFT JOIN n ON n.id = v.id ORDER BY 2 DESC, 1 LIMIT 10")
+def triangles_top(spark, d):
+    return triangles.top_triangles(parts(spark, d))
+
+
+@query(f"{S.ctes(S.PARTS)}, g AS (SELECT dst, count(*) AS n FROM e GROUP BY dst) SELECT a.dst AS id, sum(g.n)::BIGINT AS n FROM e a JOIN e b ON b.src = a.dst AND b.dst = a.src JOIN g ON g.dst = a.src GROUP BY a.dst")
+def triangles_compat(spark, d):
+    return triangles.triangle_counts(parts(spark, d), compat=True)
+
+
+def moved(k: int) -> str:
+    return f", l{k} AS MATERIALIZED (SELECT v.id, (l.x + coalesce(m.x, l.x)) / 2 AS x, (l.y + coalesce(m.y, l.y)) / 2 AS y FROM v JOIN l{k - 1} l ON l.id = v.id LEFT JOIN (SELECT b.dst, avg(l.x) AS x, avg(l.y) AS y FROM b JOIN l{k - 1} l ON l.id = b.src GROUP BY b.dst) m ON m.dst = v.id)"
+
+
+@query(f"{S.ctes(S.USERS)}, b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), l0 AS (SELECT id, (id * 37 % 600)::DOUBLE AS x, (id * 101 % 600)::DOUBLE AS y FROM v){moved(1)}{moved(2)} SELECT id, round(x, 6) AS x, round(y, 6) AS y FROM l2")
+def layout_rounds(spark, d):
+    found = layout.layout(users(spark, d), F.col("id") * 37 % 600, F.col("id") * 101 % 600)
+    return found.select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+# Components
+
+
+def stored_graph(graph: Graph) -> Graph:
+    return graph.materialized()
+
+
+@query(f"{S.closure(S.ERRORS)} SELECT id, comp FROM c")
+def scc(spark, d):
+    return C.strong_components(stored_graph(errors(spark, d)))
+
+
+@query(f"{S.closure(S.ERRORS)} SELECT id, comp FROM c")
+def scc_forward_backward(spark, d):
+    return C.strong_components_fb(stored_graph(errors(spark, d)))
+
+
+@query(f"{S.closure(S.ERRORS)} SELECT size, count(*) AS n FROM (SELECT comp, count(*) AS size FROM c GROUP BY comp) GROUP BY size")
+def scc_sizes(spark, d):
+    return C.size_histogram(C.strong_components(stored_graph(errors(spark, d))))
+
+
+@query(f"{S.quotient(S.ERRORS)} SELECT src_comp, dst_comp FROM q")
+def scc_quotient(spark, d):
+    graph = stored_graph(errors(spark, d))
+    return C.quotient(graph, C.strong_components(graph))
+
+
+@query(f"{S.quotient(S.ERRORS)} SELECT DISTINCT comp FROM c WHERE comp NOT IN (SELECT src_comp FROM q)")
+def terminal_scc(spark, d):
+    graph = stored_graph(errors(spark, d))
+    comps = C.strong_components(graph)
+    return C.terminal_components(comps, C.quotient(graph, comps))
+
+
+@query(f"{S.quotient(S.ERRORS)} SELECT id, comp FROM c WHERE comp NOT IN (SELECT src_comp FROM q)")
+def terminal_by_colour(spark, d):
+    return C.terminal_by_colour(stored_graph(errors(spark, d)))
+
+
+# depth k: the least target is k - 1 deep and all targets have a depth, so it is one more than the depth of the nearest leaf
+@query(
+    f"{S.quotient(S.ERRORS)}, w AS (SELECT DISTINCT comp, 0 AS depth FROM c WHERE comp NOT IN (SELECT src_comp FROM q) UNION SELECT q.src_comp, w.depth + 1 FROM w JOIN q ON q.dst_comp = w.comp WHERE w.depth < 60) SELECT comp, min(depth) AS depth FROM w GROUP BY comp"
+)
+def quotient_depth(spark, d):
+    graph = stored_graph(errors(spark, d))
+    comps = C.strong_components(graph)
+    return C.quotient_depths(comps, C.quotient(graph, comps))
+
+
+@query(f"{S.quotient(S.ERRORS)} SELECT comp, id, id::VARCHAR AS name FROM c WHERE comp NOT IN (SELECT src_comp FROM q)")
+def terminal_members(spark, d):
+    return C.terminal_members(stored_graph(errors(spark, d)))
+
+
+# Generators
+
+
+def generated(name: str, form: str, text: str, sql: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return spec.load_graph(spark, form, text).edges
+
+    QUERIES[name], ORACLE_SQL[name] = run, f"SELECT src::BIGINT AS src, dst::BIGINT AS dst FROM ({sql})"
+
+
+for _name, _form, _text, _sql in (
+    ("gen_line", "Line", "1000", S.line(1000)),
+    ("gen_biline", "BiLine", "50", S.biline(50)),
+    ("gen_ring", "Ring", "1000", S.ring(1000)),
+    ("gen_biring", "BiRing", "7", S.biring(7)),
+    ("gen_clique", "Clique", "20", S.clique(20)),
+    ("gen_bintree", "BinTree", "9", S.tree(9, 2)),
+    ("gen_tree", "Tree", "4:3", S.tree(4, 3)),
+    ("gen_lattice", "Lattice", "6:5", S.lattice(6, 5, False, False)),
+    ("gen_lattice_looped_rows", "LatticeLoopedRows", "6:5", S.lattice(6, 5, True, False)),
+    ("gen_lattice_looped_cols", "LatticeLoopedCols", "6:5", S.lattice(6, 5, False, True)),
+    ("gen_lattice_looped", "LatticeLooped", "6:5", S.lattice(6, 5, True, True)),
+    ("gen_lmlmtn", "LmLmTn", "3:3", S.product(S.tree(3, 2), S.lattice(3, 3, True, True), True)),
+    ("gen_limlon", "LimLon", "3:4", S.product(S.lattice(3, 3, False, False), S.lattice(4, 4, True, True), True)),
+):
+    generated(_name, _form, _text, _sql[1])
+
+_leaves = {"Lattices": ("3", S.lattice(3, 3, True, True)), "Lines": ("4", S.line(4)), "BiLines": ("4", S.biline(4)), "Cliques": ("4", S.clique(4)), "Rings": ("5", S.ring(5)), "BiRings": ("5", S.biring(5)), "Trees": ("2:3", S.tree(2, 3))}
+_shapes = {
+    "TreeOf": ("2", S.tree(2, 2)),
+    "LineOf": ("4", S.line(4)),
+    "LatticeOf": ("3:2", S.lattice(3, 2, False, False)),
+    "LatticeLoopedOf": ("3:2", S.lattice(3, 2, True, True)),
+    "LatticeOneRowConnectedOf": ("3:2", S.lattice(3, 2, False, True, 1, 2)),
+    "LatticeOneRowLoopedOf": ("3:2", S.lattice(3, 2, True, False, 1, 2)),
+}
+for _shape, (_outer, _macro) in _shapes.items():
+    for _leaf, (_inner, _micro) in _leaves.items():
+        generated(f"gen_{_shape}{_leaf}".lower(), _shape + _leaf, f"{_outer}:{_inner}", S.product(_macro, _micro, False)[1])
+
+
+@query()
+def gen_ring_with_shortcuts(spark, d):
+    return spec.load_graph(spark, "RingWithShortcuts", "1000:3:7").edges
+
+
+@query()
+def gen_slow_erdos(spark, d):
+    return spec.load_graph(spark, "SlowErdos", "300:5:7").edges
+
+
+@query()
+def gen_fast_erdos(spark, d):
+    return spec.load_graph(spark, "FastErdos", "1000:8:7").edges
+
+
+@query()
+def gen_log_normal(spark, d):
+    return spec.load_graph(spark, "LogN", "1000:1.5:0.8:7").edges
+
+
+@query()
+def gen_pareto(spark, d):
+    return spec.load_graph(spark, "Pareto", "1000:2:2.5:7").edges
+
+
+@query()
+def gen_randomized_tree(spark, d):
+    return spec.load_graph(spark, "RandomizedTree", "500:7").edges
+
+
+NET = ("a & ^b -> c", "c -> b & a", "b -| a")
+
+
+@query()
+def petri_states(spark, d):
+    return petri.PetriNet.parse(NET, 2).graph(spark).edges
+
+
+@query()
+def petri_terminal_members(spark, d):
+    """Terminal components of a biological net, with markings."""
+    net = petri.PetriNet.parse(NET, 2, biological=True)
+    return net.markings(C.terminal_members(net.graph(spark).materialized()).select("comp", "id"))
+
+
+# Formats
+
+
+def round_trip(spark: SparkSession, d: str, form: str, compact: bool = False) -> DataFrame:
+    """The error graph written and read back, under its old ids."""
+    graph = stored_graph(errors(spark, d))
+    path = fresh(spark, form)
+    places = segments.write_graph(graph, path, form, segments=3, compact=compact)
+    got = segments.read_graph(spark, path, form)
+    bases = segments.read_header(path, form).bases()
+    names = places.select("id", (F.element_at(F.array(*[F.lit(b).cast("long") for b in bases]), F.col("segment") + 1) + F.col("offset")).alias("new"))
+    a, b = names.select(F.col("new").alias("src"), F.col("id").alias("s")), names.select(F.col("new").alias("dst"), F.col("id").alias("d"))
+    return got.edges.join(a, "src").join(b, "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))
+
+
+@query(S.ERRORS)
+def hip_round_trip(spark, d):
+    return round_trip(spark, d, "hip")
+
+
+@query(S.ERRORS)
+def hip_compact_round_trip(spark, d):
+    return round_trip(spark, d, "hip", compact=True)
+
+
+@query(S.ERRORS)
+def svcii_round_trip(spark, d):
+    return round_trip(spark, d, "svcii")
+
+
+@query(S.ERRORS)
+def parquet_round_trip(spark, d):
+    path = fresh(spark, "graph")
+    errors(spark, d).save(path)
+    return Graph.load(spark, path).edges
+
+
+@query(f"SELECT '  ' || src || ' -> ' || dst || ';' AS line FROM ({S.ERRORS})")
+def dot_export(spark, d):
+    return sinks.dot_lines(errors(spark, d))
+
+
+@query()
+def quotient_dot(spark, d):
+    graph = stored_graph(errors(spark, d))
+    comps = C.strong_components(graph)
+    edges = stored(C.quotient(graph, comps), "quotient")
+    return sinks.quotient_dot_lines(C.component_sizes(comps), edges, C.quotient_depths(comps, edges), deepest=3)
+
+
+@query()
+def histogram_file(spark, d):
+    return sinks.histogram_lines(degrees.degree_histogram(parts(spark, d)))
+
+
+@query(f"{S.ctes(S.PARTS)} SELECT id, (id % 5)::VARCHAR || '@' || (id % 3)::VARCHAR AS name, (id % 3) * 4294967296 + id % 5 AS packed, id % 4 + 10 * (id // 4 % 4) AS digits FROM v")
+def scalar_functions(spark, d):
+    ids = parts(spark, d).vertices
+    digits = scalar.decode_radix(F.col("id"), 4, 2)
+    return ids.select(
+        "id",
+        scalar.reference_name(F.col("id") % 3, F.col("id") % 5).alias("name"),
+        scalar.pack_reference(F.col("id") % 3, F.col("id") % 5).alias("packed"),
+        scalar.encode_radix(digits, 10).alias("digits"),
+    )
+
+
+# Implicit state spaces
+
+
+def counters(state: bytes) -> list[bytes]:
+    """Two counters up to 6: the first goes up, the second follows it; both at the top go back to nothing."""
+    a, b = state
+    out = [bytes((a + 1, b))] if a < 6 else []
+    if b < a:
+        out.append(bytes((a, b + 1)))
+    if (a, b) == (6, 6):
+        out.append(bytes((0, 0)))
+    return out
+
+
+@query("SELECT 28::BIGINT AS stored, 43::BIGINT - 28 + 1 AS matched, 43::BIGINT AS transitions, 12 AS max_depth, 2 AS max_state_bytes")
+def search_statistics(spark, d):
+    return search.explore(spark, [bytes((0, 0))], counters).statistics()
+
+
+@query("SELECT a * 10 + b AS state FROM range(7) x(a), range(7) y(b) WHERE b <= a AND a = 6")
+def search_accepting_cycles(spark, d):
+    found = search.explore(spark, [bytes((0, 0))], counters).accepting_cycle_states(lambda s: s[0] == 6)
+    return found.select((F.conv(F.hex(F.substring("state", 1, 1)), 16, 10).cast("long") * 10 + F.conv(F.hex(F.substring("state", 2, 1)), 16, 10).cast("long")).alias("state"))
+
+
+@query("SELECT 2 AS a, 2 AS b UNION ALL SELECT 3, 0")
+def search_deadlocks(spark, d):
+    def steps(state: bytes) -> list[bytes]:
+        a, b = state
+        return [x for x in (bytes((a + 1, b)) if a < 2 or (a < 3 and b == 0) else None, bytes((a, b + 1)) if b < 2 and a < 3 else None) if x]
+
+    found = search.explore(spark, [bytes((0, 0))], steps).deadlocks()
+    byte = lambda i: F.conv(F.hex(F.substring("state", i, 1)), 16, 10).cast("int")
+    return found.select(byte(1).alias("a"), byte(2).alias("b"))
