@@ -6,13 +6,9 @@ return the columns of documents. A stage that cuts a text sets n_chars to the ne
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vertexloom.llm import fmindex, langid, packing, simhash, suffixes
 from vertexloom.llm.common import stored, table
@@ -46,15 +42,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     plain = plain.withColumn("whole", F.col(at["text"]).isNotNull()).withColumnsRenamed({at["doc_id"]: "doc_id", at["text"]: "text"})
     others = tuple(c for c in plain.columns if c not in ("doc_id", "text"))
-    kept = suffixes.remove_repeats(plain, REPEAT_BYTES, carry=others)
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = pa.array([x.as_py().decode("utf-8", "ignore") for x in b.column("kept")], pa.string())  # a character cut in two goes whole
-            yield pa.record_batch([texts if n == "kept" else b.column(n) for n in b.schema.names], names=b.schema.names)
-
-    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "kept" else f.dataType) for f in kept.schema])
-    cut = kept.mapInArrow(decode, schema).filter((F.col("n_removed") == 0) | F.col("kept").rlike(r"\S"))
+    kept = suffixes.remove_repeats(plain, REPEAT_BYTES, text=True, carry=others)
+    cut = kept.filter((F.col("n_removed") == 0) | F.col("kept").rlike(r"\S"))
     return changed(cut.withColumn("kept", F.when(F.col("whole"), F.col("kept"))), docs, {**at, "doc_id": "doc_id", "text": "kept"}, F.col("n_removed") > 0)
 
 

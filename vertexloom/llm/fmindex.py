@@ -28,8 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
-
 WINDOW = 13
 SAMPLE_RATE = 8
 BLOCK_BYTES = 16 << 20
@@ -222,16 +220,20 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
+            texts = b.column(at).to_pylist()
             found = search_shard(texts, parts[0].value)
             for p in parts[1:]:
                 found = [(n, merged(s + t), sorted({*i, *j})) for (n, s, i), (_, t, j) in zip(found, search_shard(texts, p.value), strict=True)]
             spans = pa.array([[{"start": a, "end": z} for a, z in s] for _, s, _ in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            cols = [*(b.column(i) for i in range(len(keep))), pa.array([n for n, _, _ in found], pa.int64()), spans, pa.array([i for _, _, i in found], pa.list_(pa.int64()))]
-            yield pa.record_batch(cols, names=[*keep, "n_words", "spans", "items"])
-
-    schema = docs.select(*keep).schema.add("n_words", "long").add("spans", SPANS).add("items", T.ArrayType(T.LongType()))
-    return docs.select(*keep, text_or_empty().alias("__vl_text")).mapInArrow(run, schema)
+            new = [pa.array([n for n, _, _ in found], pa.int64()), spans, pa.array([i for _, _, i in found], pa.list_(pa.int64()))]
+            for start in range(0, b.num_rows, 512):
+                yield pa.record_batch([c.slice(start, 512) for c in (*b.columns, *new)], names=[*keep, "n_words", "spans", "items"])
+
+    rows, at = docs.select(*keep), keep.index("text")
+    if rows.schema["text"].dataType.typeName() != "string":
+        rows = rows.withColumn("text", F.col("text").cast("string"))
+    schema = T.StructType(list(rows.schema.fields)).add("n_words", "long").add("spans", SPANS).add("items", T.ArrayType(T.LongType()))
+    return rows.mapInArrow(run, schema)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -116,12 +117,17 @@ def predict(docs: DataFrame, langs: list[str], weights: np.ndarray, evidence: fl
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            best, sure = score(b.column(b.num_columns - 1))
-            yield pa.record_batch([*(b.column(i) for i in range(len(keep))), pa.array(best, pa.string()), pa.array(sure, pa.float64())], names=[*keep, "lang_pred", "score"])
-
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*keep, F.col("text").cast("string").alias("__vl_text")).mapInArrow(run, schema)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                b = whole.slice(start, 512)
+                best, sure = score(b.column(at))
+                yield pa.record_batch([*b.columns, pa.array(best, pa.string()), pa.array(sure, pa.float64())], names=[*keep, "lang_pred", "score"])
+
+    rows, at = docs.select(*keep), keep.index("text")
+    if rows.schema["text"].dataType.typeName() != "string":
+        rows = rows.withColumn("text", F.col("text").cast("string"))
+    schema = T.StructType(list(rows.schema.fields)).add("lang_pred", "string").add("score", "double")
+    return rows.mapInArrow(run, schema)
 
 
 def held_out() -> Column:

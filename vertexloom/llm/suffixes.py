@@ -39,7 +39,7 @@ from .common import stored, text_or_empty
 
 LENGTH = 50
 CHUNK = 1 << 21
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 MOST_DOCS = 1 << 15
 NULL_ID = -(1 << 63)
 HASH_BITS = 48
@@ -466,8 +466,8 @@ def removed(r: dict, length: int) -> tuple[Chunk, np.ndarray]:
 SPANS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK, digest: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """SPANS of each row: bytes, removed bytes, maximal removed runs, and what is kept (with digest: its SHA-256).
+def remove_repeats(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK, digest: bool = False, text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """SPANS of each row: bytes, removed bytes, maximal removed runs, and what is kept (with digest: its SHA-256; with text: a string without characters cut in two).
 
     Columns to carry come behind, under their names; two of the same name are told apart by place only.
     """
@@ -487,14 +487,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK, di
             for a, z, n in zip(begin.tolist(), c.ends.tolist(), n_removed.tolist(), strict=True):
                 own = c.data[a:z]
                 data = own.tobytes() if not n else own[~gone[a:z]].tobytes()
-                kept.append(hashlib.sha256(data).digest() if digest else data)
-            cols = [pa.array(c.doc_id, mask=c.present == 0), pa.array(c.sizes), pa.array(n_removed), pa.array(n_spans), pa.array(kept, pa.binary())]
+                kept.append(hashlib.sha256(data).digest() if digest else data.decode("utf-8", "ignore") if text else data)
+            cols = [pa.array(c.doc_id, mask=c.present == 0), pa.array(c.sizes), pa.array(n_removed), pa.array(n_spans), pa.array(kept, pa.string() if text else pa.binary())]
             if carry:
                 rest = pa.ipc.open_stream(unsqueeze(r["rest"])).read_all().combine_chunks()
                 cols += [x.chunk(0) if x.num_chunks else pa.array([], x.type) for x in rest.columns]
             yield pa.record_batch(cols, names=[*names, *(f"__vl_{i}" for i in range(len(carry)))])
 
-    schema = T.StructType.fromDDL(SPANS)
+    schema = T.StructType.fromDDL(SPANS.replace("kept binary", "kept string") if text else SPANS)
     for i, name in enumerate(carry):
         schema = schema.add(f"__vl_{i}", docs.schema[name].dataType)
     return found.mapInArrow(run, schema).toDF(*names, *carry)
