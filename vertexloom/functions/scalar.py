@@ -18,7 +18,7 @@ def reference_owner(reference: Column) -> Column:
 
 
 def reference_local(reference: Column) -> Column:
-    return reference.cast("int")
+    return F.shiftright(F.shiftleft(reference, 32), 32).cast("int")
 
 
 def reference_name(owner: Column, local: Column) -> Column:

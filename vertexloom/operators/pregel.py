@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 def message_round(state: DataFrame, edges: DataFrame, send: Column, merge: Column, apply: dict[str, Column], active: Column | None = None) -> DataFrame:
     """The next state table.
 
-    state: (id, ...); edges: (src, dst, ...). `send` is an expression over the sender's state and the
+    state: (id, ...); edges: (src, dst, ...), without common names. `send` is an expression over the sender's state and the
     edge, named `msg` at the receiver; `merge` aggregates `msg`; `apply` gives new columns over the old
     ones and `merged` (null where nothing was received). Receivers' partial aggregates are combined
     before the shuffle.
     """
     senders = state if active is None else state.filter(active)
-    messages = senders.join(edges, senders["id"] == edges["src"]).select(edges["dst"].alias("__to"), send.alias("msg"))
+    messages = senders.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("__to"), send.alias("msg"))
     merged = messages.groupBy("__to").agg(merge.alias("merged"))
-    joined = state.join(merged, state["id"] == merged["__to"], "left")
+    joined = state.join(merged, F.col("id") == F.col("__to"), "left")
     return joined.select("id", *[apply.get(c, F.col(c)).alias(c) for c in state.columns if c != "id"])
 
 
