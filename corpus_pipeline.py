@@ -6,7 +6,6 @@ return the columns of documents. A stage that cuts a text sets n_chars to the ne
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +29,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = stored(simhash.near_duplicates(docs).filter("doc_id is not null"), "groups")
     keep = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     keep = stored(keep, "keep")
-    kept = docs.join(keep.select("doc_id"), "doc_id", "left_semi")
+    kept = docs.join(keep.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")  # the same plan at every size
     if not keep.filter("n > 1").isEmpty():  # repeated rows: one of each id
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id is null")).select(docs.columns)
@@ -49,17 +48,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops contaminated documents (a twentieth of the words hit, or more) and cuts hit words from the others."""
-    found = fmindex.contamination(docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumnsRenamed({f"c{docs.columns.index('text')}": "text"}), table(spark, sf_dir, "benchmark"))
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumnsRenamed({f"c{docs.columns.index('text')}": "text"})
+    found = fmindex.contamination(plain, table(spark, sf_dir, "benchmark"), cut=True)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     clean = found.withColumn("n_hit", n_hit).filter("n_hit = 0 or 20 * n_hit < n_words")
-
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([fmindex.cut_words(t, [(s["start"], s["end"]) for s in x]) for t, x in zip(texts, spans, strict=True)])
-
-    whole = clean.filter("n_hit = 0")
-    other = clean.filter("n_hit > 0").withColumn("text", F.pandas_udf(cut, "string")("text", "spans"))
     at = {c: "text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)}
-    return changed(whole.unionByName(other), docs, at, F.col("n_hit") > 0)
+    return changed(clean, docs, at, F.col("n_hit") > 0)
 
 
 def changed(df: DataFrame, docs: DataFrame, at: dict[str, str], cut: Column) -> DataFrame:

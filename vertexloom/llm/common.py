@@ -2,40 +2,32 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import ctypes
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
+from ..storage import fresh, shared_dir
 
+__all__ = ["file_system", "fresh", "shared_dir", "stored", "table", "text_or_empty", "tidied", "tokenizer_path"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
 
-    It is spark.checkpoint.dir of the session. Where that is unset and Spark runs in one
-    local process (tests), a temporary folder is made and set as checkpoint folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="vertexloom-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        _own[app] = f"file://{path}"
-        spark.sparkContext.setCheckpointDir(_own[app])
-    return _own[app]
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker hands freed memory back: workers outlive tasks, and stages."""
 
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
 
-def fresh(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    return wrapped
 
 
 def stored(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidied
+
 WINDOW = 13
 SAMPLE_RATE = 8
 BLOCK_BYTES = 16 << 20
@@ -212,8 +214,8 @@ def blocks_of(items: DataFrame, size: int = BLOCK_BYTES) -> Iterator[list[tuple[
 SPANS = T.ArrayType(T.StructType().add("start", "integer").add("end", "integer"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with n_words (long), spans (of hit words) and items (ids, sorted); columns of these names are replaced."""
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
+    """With cut, hit words are taken out of the text. docs with n_words (long), spans (of hit words) and items (ids, sorted); columns of these names are replaced."""
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
     parts = [spark.sparkContext.broadcast(Phrases(x, window)) for x in blocks_of(items, block_bytes)] or [spark.sparkContext.broadcast(Phrases([], window))]
@@ -226,14 +228,17 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
                 found = [(n, merged(s + t), sorted({*i, *j})) for (n, s, i), (_, t, j) in zip(found, search_shard(texts, p.value), strict=True)]
             spans = pa.array([[{"start": a, "end": z} for a, z in s] for _, s, _ in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             new = [pa.array([n for n, _, _ in found], pa.int64()), spans, pa.array([i for _, _, i in found], pa.list_(pa.int64()))]
+            old = list(b.columns)
+            if cut:
+                old[at] = pa.array([cut_words(t, s) if s else t for t, (_, s, _) in zip(texts, found, strict=True)], pa.string())
             for start in range(0, b.num_rows, 512):
-                yield pa.record_batch([c.slice(start, 512) for c in (*b.columns, *new)], names=[*keep, "n_words", "spans", "items"])
+                yield pa.record_batch([c.slice(start, 512) for c in (*old, *new)], names=[*keep, "n_words", "spans", "items"])
 
     rows, at = docs.select(*keep), keep.index("text")
     if rows.schema["text"].dataType.typeName() != "string":
         rows = rows.withColumn("text", F.col("text").cast("string"))
     schema = T.StructType(list(rows.schema.fields)).add("n_words", "long").add("spans", SPANS).add("items", T.ArrayType(T.LongType()))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

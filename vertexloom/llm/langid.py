@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidied
+
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 SAMPLE = 20_000
@@ -78,7 +80,7 @@ def train(docs: DataFrame, usable: Column, sample: int = SAMPLE, buckets: int =
             at = np.flatnonzero(s)
             yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(s[at], pa.int64())], names=["lang", "bucket", "n"])
 
-    parts = rows.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(count, "lang string, bucket int, n long")
+    parts = rows.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(tidied(count), "lang string, bucket int, n long")
     got = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages x buckets rows at most
     langs = sorted(got["lang"].unique())
     counts = np.zeros((buckets, len(langs)))
@@ -127,7 +129,7 @@ def predict(docs: DataFrame, langs: list[str], weights: np.ndarray, evidence: fl
     if rows.schema["text"].dataType.typeName() != "string":
         rows = rows.withColumn("text", F.col("text").cast("string"))
     schema = T.StructType(list(rows.schema.fields)).add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def held_out() -> Column:

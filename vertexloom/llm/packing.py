@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty, tokenizer_path
+from .common import stored, text_or_empty, tidied, tokenizer_path
 from .tokens import encoder
 
 LENGTH = 2048
@@ -170,7 +170,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, grain: int = GRAIN, end_id: in
                     yield piece_batch(out)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return stored(rows.mapInArrow(cut, PIECES), "pieces")
+    return stored(rows.mapInArrow(tidied(cut), PIECES), "pieces")
 
 
 def halved(cut: DataFrame, length: int, grain: int) -> DataFrame:
@@ -192,7 +192,7 @@ def halved(cut: DataFrame, length: int, grain: int) -> DataFrame:
                     row += 1
                 yield piece_batch(out)
 
-    return stored(cut.mapInArrow(split, PIECES), "pieces")
+    return stored(cut.mapInArrow(tidied(split), PIECES), "pieces")
 
 
 def piece_batch(rows: list[tuple]) -> pa.RecordBatch:

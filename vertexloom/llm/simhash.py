@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import stored, text_or_empty, tidied
 from .components import components
 
 SEED = 42
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             bits = np.fromiter((fingerprint(x.as_py(), words) for x in b.column(1)), np.uint64, b.num_rows)
             yield pa.record_batch([b.column(0), pa.array(bits.view(np.int64))], names=["doc_id", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(make, "doc_id long, bits long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(tidied(make), "doc_id long, bits long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -229,7 +229,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, dept
     for x in found[1:]:
         buckets = buckets.union(x)
     dealt = buckets.select("mask", "value", "bits", "node").repartition("mask", "value").sortWithinPartitions("mask", "value")
-    return dealt.mapInArrow(search, "a long, b long").distinct()
+    return dealt.mapInArrow(tidied(search), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:

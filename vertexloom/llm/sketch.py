@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import tidied
+
 from .ordered import with_lookahead
 
 K = 256
@@ -204,4 +206,4 @@ def fingerprint_edits(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFr
                     yield block(rows[:-1], rows[-1])
                     rows, held = rows[-1:], 0
 
-    return with_lookahead(docs).mapInArrow(run, SCHEMA)
+    return with_lookahead(docs).mapInArrow(tidied(run), SCHEMA)

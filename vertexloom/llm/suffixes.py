@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, text_or_empty
+from .common import stored, text_or_empty, tidied
 
 LENGTH = 50
 CHUNK = 1 << 21
@@ -309,7 +309,7 @@ def make_chunks(docs: DataFrame, size: int = CHUNK, carry: tuple[str, ...] = ())
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *(F.col(f"`{c}`").alias(f"__vl_{i}") for i, c in enumerate(carry)))
-    return stored(rows.mapInArrow(run, CHUNKS), "chunks", "uncompressed")
+    return stored(rows.mapInArrow(tidied(run), CHUNKS), "chunks", "uncompressed")
 
 
 def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
@@ -391,10 +391,10 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK, carr
     def answers(found: DataFrame, name: str) -> DataFrame:
         return found.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "body")).alias(name))  # a chunk's own bits
 
-    seen = answers(chunks.mapInArrow(anchors, PARTS).repartitionById(buckets, F.col("bucket")).mapInArrow(several, ANSWERS), "seen")
+    seen = answers(chunks.mapInArrow(tidied(anchors), PARTS).repartitionById(buckets, F.col("bucket")).mapInArrow(tidied(several), ANSWERS), "seen")
     known = chunks.join(stored(seen, "seen"), "chunk", "left")
-    sent = known.filter("seen is not null").mapInArrow(send, PARTS).repartitionById(buckets, F.col("bucket"))
-    windows = answers(sent.mapInArrow(sort, ANSWERS), "windows")
+    sent = known.filter("seen is not null").mapInArrow(tidied(send), PARTS).repartitionById(buckets, F.col("bucket"))
+    windows = answers(sent.mapInArrow(tidied(sort), ANSWERS), "windows")
     return known.join(stored(windows, "windows"), "chunk", "left").withColumn("buckets", F.lit(buckets))
 
 
@@ -497,4 +497,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK, di
     schema = T.StructType.fromDDL(SPANS.replace("kept binary", "kept string") if text else SPANS)
     for i, name in enumerate(carry):
         schema = schema.add(f"__vl_{i}", docs.schema[name].dataType)
-    return found.mapInArrow(run, schema).toDF(*names, *carry)
+    return found.mapInArrow(tidied(run), schema).toDF(*names, *carry)

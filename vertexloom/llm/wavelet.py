@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_system, fresh, text_or_empty, tokenizer_path
+from .common import file_system, fresh, text_or_empty, tidied, tokenizer_path
 from .tokens import encoder
 
 MAGIC = b"VLWM0002"
@@ -238,7 +238,7 @@ def write_shards(docs: DataFrame, end_id: int = 2, path: str | None = None, shar
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    made = ordered.mapInArrow(write, "file string, part long, documents long, tokens long").collect()  # a row for each file
+    made = ordered.mapInArrow(tidied(write), "file string, part long, documents long, tokens long").collect()  # a row for each file
     return [(r.file, r.documents, r.tokens) for r in sorted(made, key=lambda r: r.file)]
 
 
@@ -272,4 +272,4 @@ def read_shards(spark: SparkSession, shards: list[tuple[str, int, int]], tokens:
                 yield pa.record_batch(cols, names=names)
 
     files = spark.createDataFrame(rows, "file string, begin long")
-    return files.repartition(max(1, len(rows))).mapInArrow(read, schema)
+    return files.repartition(max(1, len(rows))).mapInArrow(tidied(read), schema)
