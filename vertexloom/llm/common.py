@@ -14,18 +14,26 @@ from ..storage import fresh, shared_dir
 __all__ = ["file_system", "fresh", "shared_dir", "stored", "table", "text_or_empty", "tidied", "tokenizer_path"]
 
 
-def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, after which the worker hands freed memory back: workers outlive tasks, and stages."""
+def tidy() -> None:
+    """Hands memory that is free in this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], every: int = 16) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, tidied up every so many batches and at the end: workers outlive tasks, and stages."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            for i, b in enumerate(run(batches), 1):
+                yield b
+                if i % every == 0:
+                    tidy()
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            tidy()
 
     return wrapped
 

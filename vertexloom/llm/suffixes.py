@@ -38,8 +38,8 @@ from pyspark.sql import types as T
 from .common import stored, text_or_empty, tidied
 
 LENGTH = 50
-CHUNK = 1 << 21
-BLOCK = 1 << 20
+CHUNK = 1 << 20
+BLOCK = 1 << 19
 MOST_DOCS = 1 << 15
 NULL_ID = -(1 << 63)
 HASH_BITS = 48

@@ -210,6 +210,7 @@ def write_shards(docs: DataFrame, end_id: int = 2, path: str | None = None, shar
         doc_ids: list[int | None] = []
         lengths: list[int] = []
         made: list[tuple[str, int, int, int]] = []
+        held = 0
 
         def close() -> None:
             name = f"{ctx.partitionId():06d}-{len(names):04d}.wm"
@@ -229,8 +230,10 @@ def write_shards(docs: DataFrame, end_id: int = 2, path: str | None = None, shar
                     ids.append(x + end)
                     doc_ids.append(d)
                     lengths.append(len(x) // 4 + 1)
-                if sum(lengths) >= shard_tokens:
-                    close()
+                    held += lengths[-1]
+                    if held >= shard_tokens:
+                        close()
+                        held = 0
         if doc_ids:
             close()
         if made:
