@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..storage import stored
-from .iterate import placed
-from .traversal import reach
+from .iterate import counted, placed
+from .traversal import reach_set
 
-TRIM_PASSES = 4
+TRIM_PASSES = 3
 
 
 def spread_max(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -21,9 +21,9 @@ def spread_max(labels: DataFrame, edges: DataFrame) -> DataFrame:
         while True:
             sent = active.join(near, F.col("id") == F.col("src")).groupBy("dst").agg(F.max("label").alias("got"))
             joined = state.join(sent, F.col("id") == F.col("dst"), "left")
-            new = stored(joined.select("id", F.greatest("label", "got").alias("label"), F.coalesce(F.col("got") > F.col("label"), F.lit(False)).alias("moved")), "labels")
+            new, moved = counted(joined.select("id", F.greatest("label", "got").alias("label"), F.coalesce(F.col("got") > F.col("label"), F.lit(False)).alias("moved")), "labels", "moved")
             active, state = new.filter("moved").select("id", "label"), new.select("id", "label")
-            if active.isEmpty():
+            if not moved:
                 return state
 
 
@@ -34,20 +34,24 @@ def within(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").filter("label = other").select("src", "dst", "label")
 
 
-def trim(vertices: DataFrame, edges: DataFrame, passes: int = TRIM_PASSES) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """Takes away vertices without an edge in or out, some passes long; returns the rest and what went."""
-    gone = []
-    for _ in range(passes):
-        core = stored(vertices.join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_semi").join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_semi"), "core")
-        left = stored(vertices.join(core, "id", "left_anti"), "trimmed")
-        if left.isEmpty():
-            break
-        gone.append(left)
-        vertices = core
-        edges = stored(edges.join(core.withColumnRenamed("id", "src"), "src", "left_semi").join(core.withColumnRenamed("id", "dst"), "dst", "left_semi"), "edges")
-        if core.isEmpty():
+def trim(vertices: DataFrame, edges: DataFrame, rounds: int = 3) -> tuple[DataFrame, int, DataFrame, DataFrame]:
+    """Takes away edges on no cycle: those out of a vertex without an edge in, or into one without an edge out.
+
+    TRIM_PASSES passes are one plan; rounds go on while edges go. Returns the vertices left, how many,
+    their edges, and the vertices that went: alone in their components, as they have no edge left.
+    """
+    for _ in range(rounds):
+        new = edges
+        for _ in range(TRIM_PASSES):
+            fed, open_ = new.select(F.col("dst").alias("src")).distinct(), new.select(F.col("src").alias("dst")).distinct()
+            new = new.join(fed, "src", "left_semi").join(open_, "dst", "left_semi")
+        new, rows = counted(new.select("src", "dst"), "edges")
+        shrunk = rows < edges.count()
+        edges = new
+        if not shrunk or not rows:
             break
-    return vertices, edges, gone
+    core, left = counted(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct(), "core")
+    return core, left, edges, stored(vertices.join(core, "id", "left_anti"), "trimmed")
 
 
 def canonical(parts: list[DataFrame], graph: Graph) -> DataFrame:
@@ -71,15 +75,15 @@ def strong_components(graph: Graph) -> DataFrame:
     vertices = stored(graph.vertices.select("id"), "vertices")
     edges = stored(graph.edges.filter("src <> dst").select("src", "dst").distinct(), "edges")
     parts: list[DataFrame] = []
-    while not vertices.isEmpty():
-        vertices, edges, gone = trim(vertices, edges)
-        parts += [x.select("id", F.col("id").alias("comp")) for x in gone]
-        if vertices.isEmpty():
+    while True:
+        vertices, left, edges, gone = trim(vertices, edges)
+        parts.append(gone.select("id", F.col("id").alias("comp")))
+        if not left:
             break
         colours = spread_max(vertices.select("id", F.col("id").alias("label")), edges)
         inner = stored(within(edges, colours), "inner")
         back = inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        found = reach(back, colours.filter("id = label").select("id"))
+        found = reach_set(back, colours.filter("id = label").select("id"))
         part = stored(found.join(colours, "id").select("id", F.col("label").alias("comp")), "part")
         parts.append(part)
         vertices = stored(vertices.join(part.select("id"), "id", "left_anti"), "vertices")
@@ -93,16 +97,16 @@ def strong_components_fb(graph: Graph) -> DataFrame:
     edges = stored(graph.edges.filter("src <> dst").select("src", "dst").distinct(), "edges")
     labels: DataFrame | None = None
     parts: list[DataFrame] = []
-    while not vertices.isEmpty():
-        vertices, edges, gone = trim(vertices, edges)
-        parts += [x.select("id", F.col("id").alias("comp")) for x in gone]
-        if vertices.isEmpty():
+    while True:
+        vertices, left, edges, gone = trim(vertices, edges)
+        parts.append(gone.select("id", F.col("id").alias("comp")))
+        if not left:
             break
         labels = stored(vertices.withColumn("label", F.lit(0).cast("long")) if labels is None else labels.join(vertices, "id", "left_semi"), "labels")
         inner = stored(within(edges, labels).select("src", "dst"), "inner")
         pivots = stored(labels.groupBy("label").agg(F.min("id").alias("id")), "pivots")
-        ahead = reach(inner, pivots.select("id")).select("id", F.lit(True).alias("f"))
-        behind = reach(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")), pivots.select("id")).select("id", F.lit(True).alias("b"))
+        ahead = reach_set(inner, pivots.select("id")).select("id", F.lit(True).alias("f"))
+        behind = reach_set(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")), pivots.select("id")).select("id", F.lit(True).alias("b"))
         marked = stored(labels.join(ahead, "id", "left").join(behind, "id", "left").select("id", "label", F.coalesce("f", F.lit(False)).alias("f"), F.coalesce("b", F.lit(False)).alias("b")), "marked")
         both = marked.filter("f and b").join(pivots.withColumnRenamed("id", "comp"), "label").select("id", "comp")
         parts.append(stored(both, "part"))
@@ -169,7 +173,7 @@ def terminal_by_colour(graph: Graph) -> DataFrame:
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     colours = spread_max(graph.vertices.select("id", F.col("id").alias("label")), back)
     inner = within(edges, colours).select("src", "dst")
-    found = stored(reach(stored(inner, "inner"), colours.filter("id = label").select("id")).join(colours, "id").select("id", "label"), "found")
+    found = stored(reach_set(stored(inner, "inner"), colours.filter("id = label").select("id")).join(colours, "id").select("id", "label"), "found")
     targets = colours.select(F.col("id").alias("dst"), F.col("label").alias("other"))
     leaving = edges.join(found.withColumnRenamed("id", "src"), "src").join(targets, "dst").filter("label <> other").select("label").distinct()
     kept = found.join(leaving, "label", "left_anti")

@@ -6,12 +6,19 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..storage import stored
 
 
+def counted(df: DataFrame, tag: str = "table", where: str = "true") -> tuple[DataFrame, int]:
+    """The stored table, and how many of its rows meet the condition: counted while they are written, without a job more."""
+    seen = Observation()
+    table = stored(df.observe(seen, F.count(F.when(F.expr(where), 1)).alias("n")), tag)
+    return table, seen.get.get("n", 0)
+
+
 class StopRequested(Exception):
     """Raised by a round to end the loop with its last table: the driver-side form of a broadcast notice."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..storage import stored
-from .iterate import placed
+from .iterate import counted, placed
 
 UNREACHED = 2147483647
 
@@ -21,8 +21,8 @@ def reach(edges: DataFrame, sources: DataFrame, max_rounds: int = 1_000_000) ->
             for x in found[1:]:
                 visited = visited.union(x)
             ahead = found[-1].join(near, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
-            new = stored(ahead.join(visited.select("id"), "id", "left_anti").withColumn("dist", F.lit(step)), "frontier")
-            if new.isEmpty():
+            new, rows = counted(ahead.join(visited.select("id"), "id", "left_anti").withColumn("dist", F.lit(step)), "frontier")
+            if not rows:
                 break
             found.append(new)
             if len(found) > 24:  # a long chain of small tables becomes one, the frontier stays apart
@@ -36,6 +36,29 @@ def reach(edges: DataFrame, sources: DataFrame, max_rounds: int = 1_000_000) ->
     return visited
 
 
+def reach_set(edges: DataFrame, sources: DataFrame, hops: int = 3) -> DataFrame:
+    """(id): what any source (id) reaches. Without distances, a round may take several hops before it looks at what is new."""
+    found = [stored(sources.select("id").distinct(), "reached")]
+    with placed(edges.select("src", "dst").distinct(), "src") as near:
+        while True:
+            layer, ahead = found[-1], None
+            for _ in range(hops):
+                layer = layer.join(near, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
+                ahead = layer if ahead is None else ahead.union(layer)
+            visited = found[0]
+            for x in found[1:]:
+                visited = visited.union(x)
+            new, rows = counted(ahead.distinct().join(visited, "id", "left_anti"), "reached")
+            if not rows:
+                return visited
+            found.append(new)
+            if len(found) > 24:
+                old = found[0]
+                for x in found[1:-1]:
+                    old = old.union(x)
+                found = [stored(old, "visited"), found[-1]]
+
+
 def start(graph: Graph, root: int | None) -> DataFrame:
     root = graph.first_vertex() if root is None else root
     return graph.spark.createDataFrame([(root,)] if root is not None else [], "id long")
@@ -80,10 +103,11 @@ def visit_all(graph: Graph) -> DataFrame:
         active = state
         while True:
             sent = active.join(near, F.col("id") == F.col("src")).groupBy("dst").agg(F.min("least").alias("got"))
-            new = stored(state.join(sent, F.col("id") == F.col("dst"), "left").select("id", F.least("least", "got").alias("least"), (F.col("got") < F.col("least")).alias("moved")), "least")
+            joined = state.join(sent, F.col("id") == F.col("dst"), "left")
+            new, moved = counted(joined.select("id", F.least("least", "got").alias("least"), (F.col("got") < F.col("least")).alias("moved")), "least", "moved")
             active = new.filter("moved").select("id", "least")
             state = new.select("id", "least")
-            if active.isEmpty():
+            if not moved:
                 break
     return state.agg(F.count(F.lit(1)).alias("visited"), (F.count(F.when(F.col("id") == F.col("least"), 1)) + 1).alias("rounds"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..graph import Graph
 from ..operators import components as C
-from ..operators import degrees, layout, pregel, rank, search, traversal, triangles
+from ..operators import collectives, degrees, layout, pregel, rank, search, traversal, triangles
 from ..sources import generators, petri, segments, sinks, spec, tables
 from ..storage import fresh, stored
 from . import fixtures as S
@@ -196,6 +196,43 @@ def label_sets(spark, d):
     return g.vertices.subtract(targets).union(sources.intersect(targets.filter("id % 10 = 3")))
 
 
+# Reductions
+
+
+DEGREES = f"{S.ctes(S.PARTS)}, g AS (SELECT v.id, count(e.src) AS degree FROM v LEFT JOIN e ON e.src = v.id GROUP BY v.id)"
+
+
+@query(f"{DEGREES} SELECT min(degree) AS least, max(degree) AS largest, sum(degree)::BIGINT AS total, round(avg(degree), 6) AS mean FROM g")
+def reduce_extent(spark, d):
+    return collectives.extent(parts(spark, d).out_degrees(), "degree")
+
+
+@query(f"{DEGREES} SELECT coalesce(bool_or(degree > 20), false) AS anywhere, coalesce(bool_and(degree > 20), true) AS everywhere FROM g")
+def reduce_flags(spark, d):
+    return collectives.flags(parts(spark, d).out_degrees(), F.col("degree") > 20)
+
+
+@query(f"{DEGREES} SELECT sum(degree)::BIGINT AS degree, sum(degree % 2)::BIGINT AS odd FROM g")
+def reduce_counters(spark, d):
+    return collectives.vector_sum(parts(spark, d).out_degrees().withColumn("odd", F.col("degree") % 2), "degree", "odd")
+
+
+@query(f"{DEGREES} SELECT min(id) FILTER (degree > 15) AS pivot FROM g")
+def reduce_pivot(spark, d):
+    return collectives.pivot(parts(spark, d).out_degrees(), F.col("degree") > 15)
+
+
+@query(f"SELECT src AS id FROM ({S.ERRORS}) UNION SELECT src FROM ({S.PARTS}) WHERE src % 50 = 0")
+def reduce_union(spark, d):
+    some = parts(spark, d).edges.select(F.col("src").alias("id")).filter("id % 50 = 0")
+    return collectives.union_of(errors(spark, d).edges.select(F.col("src").alias("id")), some)
+
+
+@query()
+def partition_balance(spark, d):
+    return collectives.partition_balance(parts(spark, d).vertices)
+
+
 # Ranks, triangles, layout
 
 
