@@ -50,7 +50,7 @@ PIECE = re.compile(r"[A-Za-z]+?(?=[A-Z][a-z]|[^A-Za-z]|\Z)")
 # Words in class and id names, by what they speak for.
 GOOD_WORDS = frozenset("article articlebody content contents entry main mainbody post story text body page prose copy".split())
 BAD_WORDS = frozenset(
-    "ad ads advert advertisement adverts banner bar breadcrumb breadcrumbs byline comment comments consent contact cookie cookies disqus footer foot form header "
+    "ad ads advert advertisement adverts banner bar breadcrumb breadcrumbs byline comment comments consent contact contentinfo complementary cookie cookies disqus footer foot form header "
     "head login masthead menu meta modal nav navbar navigation newsletter notice pager pagination paging popup privacy promo promotion promoted recommended related "
     "replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe tags teaser toolbar top topbar warning widget widgets".split()
 )
@@ -163,13 +163,11 @@ def step(x: float, bounds: tuple) -> int:
 
 
 def features(n: Node) -> tuple:
-    leaf = n.text is not None
-    share = n.linked / n.chars if n.chars else 0
-    return (
-        ("links", leaf, step(share, (0.05, 0.3, 0.7))),
-        ("chars", leaf, step(n.chars, (1, 25, 80, 250, 1000))),
-        ("marks", leaf, step(n.marks / n.chars * 100 if n.chars else 0, (0.2, 0.8))),
-    )
+    """Runs of text speak for themselves; elements only by their share of links, as the rest is said by what is in them."""
+    share = step(n.linked / n.chars if n.chars else 0, (0.05, 0.3, 0.7))
+    if n.text is None:
+        return (("element links", share),)
+    return (("links", share), ("chars", step(n.chars, (1, 25, 80, 250, 1000)), step(n.marks / n.chars * 100 if n.chars else 0, (0.2, 0.8))))
 
 
 def kind(n: Node) -> tuple[str, str]:
@@ -285,7 +283,7 @@ OTHER_NAMES = {
 }
 
 
-def labelled_pages(count: int = 400, seed: int = 5) -> list[str]:
+def labelled_pages(count: int = 800, seed: int = 5) -> list[str]:
     """Pages with data-label="article" on the article and data-label="other" on what in it is no part of it."""
     r = random.Random(seed)
 
@@ -296,6 +294,9 @@ def labelled_pages(count: int = 400, seed: int = 5) -> list[str]:
                 out[i] += r.choice((".", ".", ",")) if i < len(out) - 1 else "."
         return " ".join(out).capitalize()
 
+    def loose(n: int) -> str:
+        return words(n) if r.random() < 0.6 else bare(n)
+
     def bare(n: int) -> str:
         return " ".join("".join(r.choice(SYLLABLES) for _ in range(r.randint(1, 3))) for _ in range(n)).capitalize()
 
@@ -313,7 +314,8 @@ def labelled_pages(count: int = 400, seed: int = 5) -> list[str]:
             return f"<{tag}{attrs(kind, 0.5 if tag == 'nav' else 1)}{mark}>{links(r.randint(3, 9))}</{tag}>"
         if kind == "header":
             tag = r.choice(("header", "header", "div"))
-            return f"<{tag}{attrs(kind, 1 if tag == 'div' else 0.5)}{mark}><p>{bare(3)}</p>{links(r.randint(0, 4)) if r.random() < 0.5 else ''}<p>{words(r.randint(3, 8))}</p></{tag}>"
+            top = r.choice((f"<p>{bare(3)}</p>", f"<h1>{bare(2)}</h1>", f"<h2>{bare(3)}</h2>", bare(2)))
+            return f"<{tag}{attrs(kind, 1 if tag == 'div' else 0.5)}{mark}>{top}{links(r.randint(0, 4)) if r.random() < 0.5 else ''}<p>{words(r.randint(3, 8))}</p></{tag}>"
         if kind == "footer":
             tag = r.choice(("footer", "footer", "footer", "div"))
             inner = r.choice((f"&copy; {bare(2)} &middot; {words(r.randint(3, 10))}", f"<p>{words(6)}</p>{links(3)}", f"<p>&copy; {bare(3)}</p>"))
@@ -329,12 +331,14 @@ def labelled_pages(count: int = 400, seed: int = 5) -> list[str]:
             return f"<{tag}{attrs(kind, 1)}{mark}>{inner}</{tag}>"
         if kind == "form":
             return f"<form{mark}><p>{bare(3)}</p><label>{bare(2)}</label><input name=q><div>{words(5)}</div></form>"
-        tag = r.choice(("section", "div", "ol"))
-        one = "li" if tag == "ol" else "div"
+        tag = r.choice(("section", "div", "ol", "ul"))
+        one = "li" if tag in ("ol", "ul") else r.choice(("div", "p"))
+        if r.random() < 0.4:
+            return f"<{tag}{attrs('comments', 1)}{mark}>" + "".join(f"<{one}>{words(r.randint(3, 30))}</{one}>" for _ in range(r.randint(1, 5))) + f"</{tag}>"
         return f"<{tag}{attrs('comments', 1)}{mark}><h3>{bare(2)}</h3>" + "".join(f'<{one} class="comment"><p>{bare(2)}</p><p>{words(r.randint(5, 40))}</p></{one}>' for _ in range(r.randint(1, 5))) + f"</{tag}>"
 
     def paragraph() -> str:
-        x = words(r.choice((2, 5, 12, 30, 60, 120)))
+        x = loose(r.choice((1, 2, 5, 12))) if r.random() < 0.4 else words(r.choice((12, 30, 60, 120)))
         if r.random() < 0.15:
             x = f"<b>{x}<br>"
             return f"<p>{x}"
@@ -348,22 +352,24 @@ def labelled_pages(count: int = 400, seed: int = 5) -> list[str]:
         body.append(r.choice((title, title, f"<header>{title}</header>", f"<header>{title}<p>{words(12)}</p></header>", "")))
         for _ in range(r.randint(1, 12)):
             roll = r.random()
-            if roll < 0.78:
+            if roll < 0.72:
                 body.append(paragraph())
-            elif roll < 0.84:
+            elif roll < 0.8:
                 body.append(f"<h{k}>{bare(r.randint(2, 5))}</h{k}>" if (k := r.randint(2, 4)) else "")
-            elif roll < 0.88:
-                body.append("<ul>" + "".join(f"<li>{words(r.randint(4, 15))}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
-            elif roll < 0.91:
-                body.append(f"<blockquote><p>{words(20)}</p></blockquote>")
-            elif roll < 0.93:
+            elif roll < 0.86:
+                body.append("<ul>" + "".join(f"<li>{loose(r.randint(1, 15))}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
+            elif roll < 0.89:
+                body.append(f"<blockquote>{r.choice((f"<p>{words(20)}</p>", loose(9)))}</blockquote>")
+            elif roll < 0.9:
+                body.append(f"<pre>{loose(8)}</pre>")
+            elif roll < 0.92:
                 body.append(f"<figure><img src=a><figcaption>{words(7)}</figcaption></figure>")
-            elif roll < 0.95:
-                body.append(f"<table><tr><td>{bare(2)}</td><td>{words(4)}</td></tr><tr><td>{bare(1)}</td><td>{words(5)}</td></tr></table>")
+            elif roll < 0.945:
+                body.append(f"<table><tr><th>{bare(2)}</th><td>{loose(4)}</td></tr><tr><td>{bare(1)}</td><td>{loose(2)}</td></tr></table>")
             else:
-                body.append(other(r.choice(("ad", "share", "aside", "notice", "form"))))
-        if r.random() < 0.15:
-            body.append(other(r.choice(("comments", "share"))))
+                body.append(other(r.choice(("ad", "ad", "share", "aside", "notice", "form", "nav"))))
+        if r.random() < 0.3:
+            body.append(other(r.choice(("comments", "share", "footer", "comments"))))
         return "".join(body)
 
     pages = []
