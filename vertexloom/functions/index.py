@@ -22,3 +22,8 @@ def with_row_number(df: DataFrame, *order: str, name: str = "row") -> DataFrame:
     offsets = sizes.select("__part", before.alias("__before"))
     local = F.col("__at") - F.shiftleft("__part", 33)
     return ranged.join(F.broadcast(offsets), "__part").select(*df.columns, (F.col("__before") + local).alias(name))
+
+
+def beside(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """rows with the columns of a table of one row."""
+    return rows.withColumn("__one", F.lit(1)).join(one.withColumn("__one", F.lit(1)), "__one").drop("__one")

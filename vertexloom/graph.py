@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.index import beside
 from .storage import stored
 
 
@@ -82,7 +83,7 @@ class Graph:
             F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("parallel"),
         )
         n = self.vertices.agg(F.count(F.lit(1)).alias("vertices"))
-        return n.crossJoin(totals).select("vertices", "edges", F.round(F.col("edges") / F.col("vertices"), 6).alias("avg_degree"), "loops", "parallel")  # one row each
+        return beside(n, totals).select("vertices", "edges", F.round(F.col("edges") / F.col("vertices"), 6).alias("avg_degree"), "loops", "parallel")
 
     @cached_property
     def size(self) -> int:

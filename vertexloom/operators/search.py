@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.index import with_row_number
+from ..functions.index import beside, with_row_number
 from ..graph import Graph
 from ..storage import stored
 from .components import component_sizes, strong_components
@@ -31,7 +31,7 @@ class Exploration:
         """One row: stored states, matched states (reached again), transitions, greatest depth, longest state."""
         s = self.states.agg(F.count(F.lit(1)).alias("stored"), F.max("depth").alias("max_depth"), F.max(F.octet_length("state")).alias("max_state_bytes"))
         t = self.transitions.agg(F.count(F.lit(1)).alias("transitions"))
-        return s.crossJoin(t).select("stored", (F.col("transitions") - F.col("stored") + 1).alias("matched"), "transitions", "max_depth", "max_state_bytes")  # one row each
+        return beside(s, t).select("stored", (F.col("transitions") - F.col("stored") + 1).alias("matched"), "transitions", "max_depth", "max_state_bytes")
 
     def deadlocks(self, is_end: Callable[[bytes], bool] | None = None) -> DataFrame:
         """(state): no end state, no successor, no error."""

@@ -12,6 +12,7 @@ from ..functions import scalar
 from ..graph import Graph
 
 MOST_DEGREE = 32767
+COPIES = 4096
 
 
 class GraphSpecError(ValueError):
@@ -128,10 +129,13 @@ def lattice(spark: SparkSession, rows: int, cols: int, loop_rows: bool = False,
 def product(spark: SparkSession, macro_vertices: int, macro: DataFrame, micro_vertices: int, micro: DataFrame, cellwise: bool) -> Graph:
     """Each macro vertex becomes a copy of the micro graph; macro edges join roots, or (cellwise) all equal cells.
 
-    Copies are made by counting through (copies x micro edges), a range on one side, so no side is broadcast by force.
+    Copies are counted out in two steps, so that no row holds the numbers of all copies.
     """
-    blocks = spark.range(macro_vertices).select((ID("id") * micro_vertices).alias("base"))
-    inner = blocks.crossJoin(micro.select("src", "dst")).select((F.col("base") + F.col("src")).alias("src"), (F.col("base") + F.col("dst")).alias("dst"))  # what the graph has
+    steps = micro.select("src", "dst", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((macro_vertices - 1) // COPIES).cast("long"))).alias("hi"))
+    copies = steps.select("src", "dst", "hi", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(min(COPIES, macro_vertices) - 1).cast("long"))).alias("lo"))
+    copies = copies.withColumn("copy", F.col("hi") * COPIES + F.col("lo")).filter(F.col("copy") < macro_vertices)
+    base = F.col("copy") * micro_vertices
+    inner = copies.select((base + F.col("src")).alias("src"), (base + F.col("dst")).alias("dst"))
     outer = macro.select((F.col("src") * micro_vertices).alias("src"), (F.col("dst") * micro_vertices).alias("dst"))
     if cellwise:
         outer = outer.select("src", "dst", F.explode(F.sequence(F.lit(0), F.lit(micro_vertices - 1))).alias("cell")).select((F.col("src") + F.col("cell")).alias("src"), (F.col("dst") + F.col("cell")).alias("dst"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.index import beside
 from ..functions.scalar import size_colour
 from ..graph import Graph
 from ..operators.degrees import histogram_statistics
@@ -29,7 +30,7 @@ def quotient_dot_lines(sizes: DataFrame, edges: DataFrame, depths: DataFrame, de
     """(line) of the quotient's components up to a depth from the leaves; at most `most` of them, the least deep first (a report)."""
     shown = sizes.join(depths, "comp").filter(F.col("depth") <= deepest).orderBy("depth", "comp").limit(most)
     largest = shown.agg(F.max("size").alias("largest"))
-    nodes = shown.crossJoin(F.broadcast(largest)).select(  # one row
+    nodes = beside(shown, largest).select(
         F.concat(F.lit("  "), F.col("comp").cast("string"), F.lit(' [label="'), F.col("size").cast("string"), F.lit('", fillcolor="'), size_colour(F.col("size"), F.col("largest")), F.lit('"];')).alias("line")
     )
     ends = shown.select("comp")
