@@ -32,7 +32,7 @@ from .common import tidied
 
 WINDOW = 13
 SAMPLE_RATE = 8
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 1 << 20
 
 # Bytes of words are 0-9, a-z and all beyond ASCII; A-Z are lowered, others part words.
 WORD_TABLE = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -52,13 +52,13 @@ class Phrases:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
             for at in range(max(1, len(ids) - window + 1) if ids else 0):
                 found.setdefault(tuple(ids[at : at + window]), set()).add(item)
-        self.windows = sorted(found, key=lambda w: (len(w), w))
-        self.items = [sorted((x for x in found[w] if x is not None)) for w in self.windows]
-        self.lengths = np.array([len(w) for w in self.windows], np.int64)
-        self.shortest = int(self.lengths.min()) if self.windows else 0
+        windows = sorted(found, key=lambda w: (len(w), w))
+        self.items = [sorted((x for x in found[w] if x is not None)) for w in windows]
+        self.lengths = np.array([len(w) for w in windows], np.int64)
+        self.shortest = int(self.lengths.min()) if windows else 0
         # Windows right-aligned, so that backward search starts in the last column.
-        self.table = np.zeros((len(self.windows), window), np.int64)
-        for i, w in enumerate(self.windows):
+        self.table = np.zeros((len(windows), window), np.int32)
+        for i, w in enumerate(windows):
             self.table[i, window - len(w) :] = w
 
 
@@ -132,7 +132,7 @@ class FMIndex:
             live = np.flatnonzero((table[:, c] > 0) & (lo < hi))
             if not len(live):
                 continue
-            s = table[live, c] + 1
+            s = table[live, c].astype(np.int64) + 1
             known = s <= self.top
             lo[live[~known]] = hi[live[~known]] = 0
             live, s = live[known], s[known]
@@ -160,7 +160,7 @@ def search_shard(texts: list[str | None], phrases: Phrases) -> list[tuple[int, l
     for d, text in enumerate(texts):
         words = words_of(text)
         counts.append(len(words))
-        if not phrases.windows or len(words) < least:
+        if not len(phrases.table) or len(words) < least:
             continue
         ids = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
         known = np.concatenate([[False], ids > 0, [False]])
