@@ -1,4 +1,4 @@
-"""Corpus pipeline: language ID, SimHash near-dedup, suffix dedup, benchmark decontamination, packing.
+"""Corpus pipeline: language ID, near-dedup by exact five-word resemblance, suffix dedup, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last
 return the columns of documents. A stage that cuts a text sets n_chars to the new length.
@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm import fmindex, langid, packing, simhash, suffixes
-from vertexloom.llm.common import stored, table
+from vertexloom.llm import fmindex, langid, likeness, packing, suffixes
+from vertexloom.llm.common import stored, table, text_or_empty
 
 LEAST_SCORE = 0.5
 REPEAT_BYTES = 50
@@ -25,14 +25,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the smallest doc_id of each group of near copies; rows without a doc_id stay."""
-    found = stored(simhash.near_duplicates(docs).filter("doc_id is not null"), "groups")
-    keep = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    keep = stored(keep, "keep")
-    kept = docs.join(keep.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")  # the same plan at every size
-    if not keep.filter("n > 1").isEmpty():  # repeated rows: one of each id
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    """Keeps the row with the smallest doc_id of each group of near copies: components of a resemblance of five-word shingles of 0.8 or more.
+
+    Rows without a doc_id stay. Unlike texts under one doc_id are groups of their own and all stay; of like ones the
+    text with the smallest hash stays, of repeated rows one.
+    """
+    found = stored(likeness.near_copies(docs), "groups")
+    keep = found.groupBy("component").agg(F.min(F.struct("doc_id", "tie")).alias("row")).select("row.doc_id", "row.tie")
+    keep = stored(keep.join(found, ["doc_id", "tie"]).groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("n")), "keep")
+    at = {"doc_id": F.col("doc_id").cast("long"), "tie": F.xxhash64(text_or_empty())}
+    marked = docs.withColumns({f"near_{c}": x for c, x in at.items()})
+    kept = marked.join(keep.toDF("near_doc_id", "near_tie", "near_n").drop("near_n").hint("shuffle_hash"), ["near_doc_id", "near_tie"], "left_semi")  # the same plan at every size
+    if not keep.filter("n > 1").isEmpty():  # repeated rows: one of each text
+        kept = kept.dropDuplicates(["near_doc_id", "near_tie"])
+    return kept.select(docs.columns).unionByName(docs.filter("doc_id is null")).select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -344,3 +344,51 @@ def test_null_texts_pass_the_later_stages(spark, small):
     for name in ("near_copies", "repeated_passages", "benchmark"):
         out = dict(corpus_pipeline.STAGES)[name](spark, docs, small[0])
         assert rows_of(out, "doc_id", "text", "n_chars") == [(1, None, None), (2, "x y z", 5), (None, "q r s", 5)]
+
+
+def shingles_of(text):
+    w = (text or "").lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def near_groups(texts):
+    """Smallest index of each one's group: components of pairs with a five-word Jaccard index of 0.8 or more."""
+    sets, label = [shingles_of(t) for t in texts], list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if label[i] != label[j] and 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+def test_pipeline_near_copies_against_five_word_resemblance(spark, small, monkeypatch):
+    """Copies edited so that they lie on both sides of 0.8, chains of them, and a dense group in large buckets."""
+    import random
+
+    from vertexloom.llm import likeness
+
+    monkeypatch.setattr(likeness, "CELL", 8)
+    monkeypatch.setattr(likeness, "SAMPLE", 2)
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for size, copies in [(6, 4), (40, 12), (120, 20), (400, 20), (90, 80)]:
+        for _ in range(4 if copies < 80 else 1):
+            base = [word() for _ in range(size)]
+            texts.append(" ".join(base))
+            for _ in range(copies):
+                w = list(base)
+                for _ in range(r.randint(0, max(1, size // 25))):
+                    w[r.randrange(size)] = word()
+                texts.append(" ".join(w))
+                if r.random() < 0.2:
+                    base = w  # a chain
+    texts += ["", None, " ", "one two", "One Two"]
+    r.shuffle(texts)
+    label = near_groups(texts)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x.doc_id for x in corpus_pipeline.near_copies(spark, docs.repartition(3), small[0]).collect()}
+    assert got == set(label) and len(got) < len(texts) / 2
+    simhash_keeps = {x.component_id for x in simhash.near_duplicates(docs).collect()}
+    assert simhash_keeps != got
