@@ -392,3 +392,11 @@ def test_pipeline_near_copies_against_five_word_resemblance(spark, small, monkey
     assert got == set(label) and len(got) < len(texts) / 2
     simhash_keeps = {x.component_id for x in simhash.near_duplicates(docs).collect()}
     assert simhash_keeps != got
+
+
+def test_pipeline_near_copies_of_clashing_ids(spark, small):
+    like = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(1, like), (1, "quite another text of some more words"), (2, like), (2, like.upper()), (3, "third text here"), (3, "third text here"), (None, like)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_copies(spark, docs, small[0]).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([rows[0], rows[1], rows[4], rows[6]], key=str)
