@@ -1,10 +1,10 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from vertexloom.graph import Graph
 from vertexloom.operators import components as C
+from vertexloom.operators import iterate
 from vertexloom.sources import generators as g
 
 
@@ -27,32 +27,78 @@ def graph_of(spark, n, edges):
     return Graph(spark.range(n).select("id"), spark.createDataFrame(edges or [], "src long, dst long")).materialized()
 
 
-@pytest.mark.parametrize(("seed", "n", "m"), [(1, 30, 45), (2, 40, 50), (3, 25, 60)])
-def test_against_brute_force(spark, seed, n, m):
-    r = random.Random(seed)
+def pairs(df, *cols):
+    got = [tuple(r[c] for c in cols) for r in df.collect()]
+    assert len(got) == len(set(got))
+    return set(got)
+
+
+WAYS = {
+    "steps": lambda x: C.strong_components(x, finish=0),
+    "finished": lambda x: C.strong_components(x),
+    "few left": lambda x: C.strong_components(x, finish=12),
+    "both ways": lambda x: C.strong_components_fb(x, finish=0),
+    "candidates": lambda x: C.strong_components_fb(x, finish=0, candidates=True),
+    "slices": lambda x: C.strong_components_obf(x, finish=0),
+    "random slices": lambda x: C.strong_components_obf(x, finish=0, random_pivots=True, nesting=2),
+}
+
+
+@pytest.mark.parametrize("way", list(WAYS))
+def test_components_against_brute_force(spark, way):
+    r = random.Random(len(way))
+    n, m = r.choice([(30, 45), (40, 50), (25, 60)])
     edges = [(r.randrange(n), r.randrange(n)) for _ in range(m)]
-    want = brute(n, edges)
-    graph = graph_of(spark, n, edges)
-    comps = C.strong_components(graph)
-    assert {x.id: x.comp for x in comps.collect()} == want
-    assert {x.id: x.comp for x in C.strong_components_fb(graph).collect()} == want
-    quotient = C.quotient(graph, comps)
-    pairs = {(want[a], want[b]) for a, b in edges if want[a] != want[b]}
-    assert {tuple(x) for x in quotient.collect()} == pairs
-    terminal = set(want.values()) - {a for a, _ in pairs}
-    assert {x.comp for x in C.terminal_components(comps, quotient).collect()} == terminal
-    assert {(x.id, x.comp) for x in C.terminal_by_colour(graph).collect()} == {(i, c) for i, c in want.items() if c in terminal}
+    assert pairs(WAYS[way](graph_of(spark, n, edges)), "id", "comp") == set(brute(n, edges).items())
 
 
-def test_no_edges_and_no_vertices(spark):
-    assert {x.comp for x in C.strong_components(graph_of(spark, 3, [])).collect()} == {0, 1, 2}
-    assert C.strong_components(graph_of(spark, 0, [])).count() == 0
+def test_depth_first_search():
+    for seed in range(60):
+        r = random.Random(seed)
+        n = r.randint(1, 25)
+        edges = [(r.randrange(n), r.randrange(n)) for _ in range(r.randint(0, 50))]
+        want = brute(n, edges)
+        assert dict(C.depth_first(*map(list, zip(*edges)))) == {i: want[i] for e in edges for i in e} if edges else True
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_quotient_and_terminal_parts(spark, seed):
+    r = random.Random(seed)
+    n = 35
+    edges = [(r.randrange(n), r.randrange(n)) for _ in range(48)]
+    want, graph = brute(n, edges), graph_of(spark, n, edges)
+    comps = C.strong_components(graph)
+    quotient = C.quotient(graph, comps)
+    links = {(want[a], want[b]) for a, b in edges if want[a] != want[b]}
+    assert pairs(quotient, "src_comp", "dst_comp") == links
+    terminal = set(want.values()) - {a for a, _ in links}
+    assert pairs(C.terminal_components(comps, quotient), "comp") == {(x,) for x in terminal}
+    members = {(i, c) for i, c in want.items() if c in terminal}
+    assert pairs(C.terminal_by_colour(graph), "id", "comp") == members
+    assert pairs(C.terminal_by_reach(graph), "id", "comp") == members == pairs(C.terminal_by_reach(graph, trimmed=False), "id", "comp")
+    depth = {c: 0 for c in terminal}
+    while len(depth) < len(set(want.values())):
+        for c in set(want.values()) - set(depth):
+            ahead = [b for a, b in links if a == c]
+            if all(b in depth for b in ahead):
+                depth[c] = 1 + min(depth[b] for b in ahead)
+    for finish in (0, 1000):
+        assert pairs(C.quotient_depths(comps, quotient, finish), "comp", "depth") == set(depth.items())
+
+
+def test_no_edges_no_vertices_and_nulls(spark):
+    for way in WAYS.values():
+        assert pairs(way(graph_of(spark, 3, [])), "id", "comp") == {(0, 0), (1, 1), (2, 2)}
+        assert way(graph_of(spark, 0, [])).count() == 0
+    holes = Graph(spark.createDataFrame([(None,), (1,), (2,)], "id long"), spark.createDataFrame([(1, None), (None, 2), (1, 2), (2, 1), (None, None)], "src long, dst long"))
+    assert pairs(C.strong_components(holes, finish=0), "id", "comp") == {(1, 1), (2, 1)}
+    assert pairs(C.terminal_by_colour(holes), "id", "comp") == {(1, 1), (2, 1)} == pairs(C.terminal_by_reach(holes), "id", "comp")
 
 
 @pytest.mark.parametrize(("make", "sizes", "terminal"), [(lambda s: g.lmlmtn(s, 3, 2), {9: 7}, 4), (lambda s: g.line_of(s, 4, g.clique(s, 5)), {5: 4}, 1), (lambda s: g.ring(s, 40), {40: 1}, 1)])
 def test_known_shapes(spark, make, sizes, terminal):
     graph = make(spark).materialized()
-    comps = C.strong_components(graph)
+    comps = C.strong_components(graph, finish=0)
     assert {x.size: x.n for x in C.size_histogram(comps).collect()} == sizes
     assert C.terminal_components(comps, C.quotient(graph, comps)).count() == terminal
 
@@ -60,11 +106,20 @@ def test_known_shapes(spark, make, sizes, terminal):
 def test_depths(spark):
     graph = g.line_of(spark, 4, g.clique(spark, 5)).materialized()
     comps = C.strong_components(graph)
-    depths = C.quotient_depths(comps, C.quotient(graph, comps))
-    assert sorted(x.depth for x in depths.collect()) == [0, 1, 2, 3]
-    cyclic = spark.createDataFrame([(1, 2), (2, 1)], "src_comp long, dst_comp long")
-    with pytest.raises(ValueError, match="cycle"):
-        C.quotient_depths(spark.createDataFrame([(1, 1), (2, 2)], "id long, comp long"), cyclic)
+    cyclic = spark.createDataFrame([(1, 2), (2, 1), (2, 3)], "src_comp long, dst_comp long")
+    for finish in (0, 100):
+        depths = C.quotient_depths(comps, C.quotient(graph, comps), finish)
+        assert sorted(x.depth for x in depths.collect()) == [0, 1, 2, 3]
+        with pytest.raises(ValueError, match="cycle"):
+            C.quotient_depths(spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "id long, comp long"), cyclic, finish)
+
+
+def test_heavy_sources_are_dealt_out(spark):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 90)] + [(i, 0) for i in range(1, 90)] + [(90, 91)], "src long, dst long")
+    with iterate.placed(edges, heavy=10) as near:
+        assert near.heavy.collect()[0] == (0, 9) and near.kept.filter("src = 0").select("slot").distinct().count() > 4
+        rows = spark.createDataFrame([(0, "a"), (5, "b"), (90, "c"), (7000, "d")], "id long, v string")
+        assert pairs(near.follow(rows), "v", "dst") == {("a", i) for i in range(1, 90)} | {("b", 0), ("c", 91)}
 
 
 def test_merging_structures(spark):
@@ -72,4 +127,4 @@ def test_merging_structures(spark):
     b = spark.createDataFrame([(2, 30), (3, 20)], "comp long, size long")
     assert sorted(tuple(x) for x in C.merge_components(a, b).collect()) == [(1, 10), (2, 30), (3, 20)]
     with pytest.raises(Exception, match="two sizes"):
-        C.merge_components(a, b.withColumn("size", F.lit(7).cast("long"))).collect()
+        C.merge_components(a, b.withColumn("size", b["size"] + 1)).collect()

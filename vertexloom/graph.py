@@ -1,4 +1,9 @@
-"""A directed multigraph as two DataFrames."""
+"""A directed multigraph as two DataFrames.
+
+Parallel edges and loops are kept and count as edges. Edges with a null end belong to no vertex: degrees,
+neighbours and algorithms leave them out; `info` counts them as edges. Further columns of edges are kept
+by views, and left aside by algorithms.
+"""
 
 from __future__ import annotations
 
@@ -14,16 +19,18 @@ from .storage import stored
 
 @dataclass(frozen=True)
 class Graph:
-    """vertices (id long, ...) and edges (src long, dst long, ...); parallel edges and loops are kept. root: a vertex or None."""
+    """vertices (id long, ...) and edges (src long, dst long, ...). root: a vertex or None. spanned: the vertices are just the ends of edges."""
 
     vertices: DataFrame
     edges: DataFrame
     root: int | None = None
+    spanned: bool = False
 
     @classmethod
     def of_edges(cls, edges: DataFrame, root: int | None = None) -> Graph:
-        """The graph whose vertices are the ends of its edges."""
-        return cls(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct(), edges, root)
+        """The graph whose vertices are the ends of its edges, found in one pass over them."""
+        ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).filter("id is not null")
+        return cls(ends.distinct(), edges, root, True)
 
     @property
     def spark(self) -> SparkSession:
@@ -31,19 +38,23 @@ class Graph:
 
     def materialized(self) -> Graph:
         """The same graph, written once: for algorithms that read it in every round."""
-        return Graph(stored(self.vertices, "vertices"), stored(self.edges, "edges"), self.root)
+        edges = stored(self.edges, "edges")
+        if self.spanned:
+            whole = Graph.of_edges(edges, self.root)
+            return Graph(stored(whole.vertices, "vertices"), edges, self.root, True)
+        return Graph(stored(self.vertices, "vertices"), edges, self.root)
 
     def transpose(self) -> Graph:
         others = [c for c in self.edges.columns if c not in ("src", "dst")]
-        return Graph(self.vertices, self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *others), self.root)
+        return Graph(self.vertices, self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *others), self.root, self.spanned)
 
     def undirected(self) -> Graph:
         """Every edge in both directions."""
-        return Graph(self.vertices, self.edges.select("src", "dst").union(self.transpose().edges.select("src", "dst")), self.root)
+        return Graph(self.vertices, self.edges.select("src", "dst").union(self.transpose().edges.select("src", "dst")), self.root, self.spanned)
 
     def simple(self) -> Graph:
         """Without parallel edges."""
-        return Graph(self.vertices, self.edges.select("src", "dst").distinct(), self.root)
+        return Graph(self.vertices, self.edges.select("src", "dst").distinct(), self.root, self.spanned)
 
     def out_degrees(self) -> DataFrame:
         """(id, degree) with multiplicity; vertices without edges have 0."""
@@ -53,6 +64,10 @@ class Graph:
         return self._degrees("dst")
 
     def _degrees(self, end: str) -> DataFrame:
+        if self.spanned:  # one pass over the edges: an end counts, the other one only makes its vertex known
+            other = "dst" if end == "src" else "src"
+            ends = F.explode(F.array(F.struct(F.col(end).alias("id"), F.lit(1).alias("n")), F.struct(F.col(other).alias("id"), F.lit(0).alias("n"))))
+            return self.edges.select(ends.alias("x")).select("x.*").filter("id is not null").groupBy("id").agg(F.sum("n").alias("degree"))
         counts = self.edges.groupBy(F.col(end).alias("id")).agg(F.count(F.lit(1)).alias("degree"))
         return self.vertices.select("id").join(counts, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
@@ -75,7 +90,7 @@ class Graph:
         return self.vertices.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("vertices"))
 
     def info(self) -> DataFrame:
-        """One row: vertices, edges, average degree, loops, and edges that repeat another."""
+        """One row: vertices, edges, average degree (null without vertices), loops, and edges that repeat another."""
         edges = self.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
         totals = edges.agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("edges"),
@@ -83,7 +98,7 @@ class Graph:
             F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("parallel"),
         )
         n = self.vertices.agg(F.count(F.lit(1)).alias("vertices"))
-        return beside(n, totals).select("vertices", "edges", F.round(F.col("edges") / F.col("vertices"), 6).alias("avg_degree"), "loops", "parallel")
+        return beside(n, totals).select("vertices", "edges", F.round(F.try_divide("edges", "vertices"), 6).alias("avg_degree"), "loops", "parallel")
 
     @cached_property
     def size(self) -> int:

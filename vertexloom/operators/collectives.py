@@ -1,7 +1,15 @@
-"""Global reductions over vertex tables: one partial aggregate for each task, one row in the end."""
+"""Global reductions over vertex tables: one partial aggregate for each task, one row in the end.
+
+Nulls are left out by sums, extents and flags, as SQL aggregates do; of no rows, sums of counters are 0 and extents null.
+"""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +34,39 @@ def pivot(df: DataFrame, condition: Column) -> DataFrame:
     return df.agg(F.min(F.when(condition, F.col("id"))).alias("pivot"))
 
 
+def reduce_custom(df: DataFrame, zero: Any, add: Callable[[Any, dict], Any], merge: Callable[[Any, Any], Any], fan: int = 64) -> Any:
+    """A reduction over payloads of any type: rows are added to a payload in each task, payloads are merged in a tree.
+
+    merge has to be associative and commutative, with zero as its neutral payload. Tasks pass on one
+    payload each; `fan` of them are merged by a task, until the last ones come to the driver. Payloads
+    are pickled; their size does not hang on the number of rows unless add makes it so.
+    """
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = zero
+        for b in batches:
+            for row in b.to_pylist():
+                got = add(got, row)
+        yield pa.record_batch([pa.array([pickle.dumps(got)], pa.binary())], names=["payload"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = zero
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                got = merge(got, pickle.loads(x))
+        yield pa.record_batch([pa.array([pickle.dumps(got)], pa.binary())], names=["payload"])
+
+    parts = df.rdd.getNumPartitions()
+    payloads = df.mapInArrow(partial, "payload binary")
+    while parts > fan:
+        parts = -(-parts // fan)
+        payloads = payloads.repartition(parts).mapInArrow(join, "payload binary")
+    whole = zero
+    for r in payloads.collect():  # fan payloads at most
+        whole = merge(whole, pickle.loads(bytes(r.payload)))
+    return whole
+
+
 def union_of(*sets: DataFrame) -> DataFrame:
     """(id): the union of sets of ids."""
     out = sets[0].select("id")

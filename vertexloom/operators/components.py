@@ -1,121 +1,281 @@
-"""Strongly connected components, their quotient, depths, and terminal components."""
+"""Strongly connected components, their quotient, depths, and terminal components.
+
+Vertices and edge ends that are null take no part; parallel edges and loops change nothing; ends of edges
+that are no vertices are not listed. An empty graph has an empty result. Further columns are left aside.
+
+Where few edges are left (`finish`), one task ends the work by a depth-first search over them: a
+bound on the rows in that task, which takes the place of many rounds over nearly nothing. The result is
+the same for any bound; 0 keeps all work in rounds.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..storage import stored
-from .iterate import counted, placed
-from .traversal import reach_set
+from .iterate import Layers, counted, parts_of, placed
+from .traversal import reach_set, spread
 
 TRIM_PASSES = 3
-
-
-def spread_max(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, label): the largest label among a vertex's ancestors and itself; only changed vertices send."""
-    state = stored(labels, "labels")
-    with placed(edges.select("src", "dst"), "src") as near:
-        active = state
-        while True:
-            sent = active.join(near, F.col("id") == F.col("src")).groupBy("dst").agg(F.max("label").alias("got"))
-            joined = state.join(sent, F.col("id") == F.col("dst"), "left")
-            new, moved = counted(joined.select("id", F.greatest("label", "got").alias("label"), F.coalesce(F.col("got") > F.col("label"), F.lit(False)).alias("moved")), "labels", "moved")
-            active, state = new.filter("moved").select("id", "label"), new.select("id", "label")
-            if not moved:
-                return state
+FINISH = 100_000
+
+
+def simple_edges(graph: Graph) -> tuple[DataFrame, int]:
+    """Distinct edges without loops between vertices that are not null, stored, and how many."""
+    edges = graph.edges.filter("src <> dst").select("src", "dst").repartition(parts_of(graph.spark), "src", "dst").distinct()
+    return counted(edges, "edges")
+
+
+def flipped(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def in_one_task(rows: DataFrame, run: Callable[[list[int], list[int]], list[tuple[int, int]]], schema: str) -> DataFrame:
+    """run over the pairs of a table whose size has been checked."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for x in batches:
+            a += x.column(0).to_pylist()
+            b += x.column(1).to_pylist()
+        out = run(a, b)
+        if out:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+
+    return rows.coalesce(1).mapInArrow(task, schema)
+
+
+def depth_first(src: list[int], dst: list[int]) -> list[tuple[int, int]]:
+    """(id, least id of its component) of the ends of the edges, by one depth-first search with a stack of open vertices."""
+    ahead: dict[int, list[int]] = {}
+    for a, b in zip(src, dst, strict=True):
+        ahead.setdefault(a, []).append(b)
+        ahead.setdefault(b, [])
+    number: dict[int, int] = {}
+    low: dict[int, int] = {}
+    closed: set[int] = set()
+    open_, out = [], []
+    for first in ahead:
+        if first in number:
+            continue
+        number[first] = low[first] = len(number)
+        open_.append(first)
+        path = [(first, iter(ahead[first]))]
+        while path:
+            v, rest = path[-1]
+            for w in rest:
+                if w not in number:
+                    number[w] = low[w] = len(number)
+                    open_.append(w)
+                    path.append((w, iter(ahead[w])))
+                    break
+                if w not in closed:
+                    low[v] = min(low[v], number[w])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[v])
+                if low[v] == number[v]:
+                    at = len(open_) - 1
+                    while open_[at] != v:
+                        at -= 1
+                    members = open_[at:]
+                    del open_[at:]
+                    closed.update(members)
+                    least = min(members)
+                    out += [(x, least) for x in members]
+    return out
 
 
 def within(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """(src, dst, label): edges whose ends have the same label."""
+    """(src, dst, label): edges whose ends have the same label (any comparable column)."""
     a = labels.select(F.col("id").alias("src"), F.col("label"))
     b = labels.select(F.col("id").alias("dst"), F.col("label").alias("other"))
     return edges.join(a, "src").join(b, "dst").filter("label = other").select("src", "dst", "label")
 
 
-def trim(vertices: DataFrame, edges: DataFrame, rounds: int = 3) -> tuple[DataFrame, int, DataFrame, DataFrame]:
+def trim(edges: DataFrame, rows: int, rounds: int = 3) -> tuple[DataFrame, int]:
     """Takes away edges on no cycle: those out of a vertex without an edge in, or into one without an edge out.
 
-    TRIM_PASSES passes are one plan; rounds go on while edges go. Returns the vertices left, how many,
-    their edges, and the vertices that went: alone in their components, as they have no edge left.
+    TRIM_PASSES passes are one plan; rounds go on while many edges go. A vertex without an edge left is
+    alone in its component.
     """
     for _ in range(rounds):
         new = edges
         for _ in range(TRIM_PASSES):
             fed, open_ = new.select(F.col("dst").alias("src")).distinct(), new.select(F.col("src").alias("dst")).distinct()
             new = new.join(fed, "src", "left_semi").join(open_, "dst", "left_semi")
-        new, rows = counted(new.select("src", "dst"), "edges")
-        shrunk = rows < edges.count()
-        edges = new
-        if not shrunk or not rows:
+        edges, left = counted(new.select("src", "dst"), "edges")
+        shrunk, rows = rows - left, left
+        if not rows or shrunk * 20 < rows:
             break
-    core, left = counted(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct(), "core")
-    return core, left, edges, stored(vertices.join(core, "id", "left_anti"), "trimmed")
+    return edges, rows
 
 
-def canonical(parts: list[DataFrame], graph: Graph) -> DataFrame:
-    """(id, comp) with the least id of each component."""
+def named(graph: Graph, parts: list[DataFrame]) -> DataFrame:
+    """(id, comp) of all vertices with the least id of each component; parts are disjoint (id, comp), others are alone."""
+    vertices = graph.vertices.filter("id is not null").select("id")
     if not parts:
-        return graph.vertices.select("id", F.col("id").alias("comp"))
+        return vertices.select("id", F.col("id").alias("comp"))
     whole = parts[0]
     for x in parts[1:]:
         whole = whole.union(x)
     least = whole.groupBy("comp").agg(F.min("id").alias("least"))
-    return stored(whole.join(least, "comp").select("id", F.col("least").alias("comp")), "components")
-
-
-def strong_components(graph: Graph) -> DataFrame:
-    """(id, comp), by trimming and colouring.
-
-    All subproblems go on together: colours are the largest ids passed along the edges; a vertex that
-    keeps its own is a head, and what reaches it within its colour is its component. Edges between
-    colours lie on no cycle and are dropped for good.
+    found = whole.join(least, "comp").select("id", "least")
+    return stored(vertices.join(found, "id", "left").select("id", F.coalesce("least", "id").alias("comp")), "components")
+
+
+def largest_part(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """What a vertex with many edges in and out reaches and is reached by; the edges beside it that may lie on other cycles; their number."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x")).select("x.*")
+    weight = ends.groupBy("id").agg((F.sum("o").cast("double") * F.sum("i")).alias("w"))
+    pivot = weight.agg(F.max(F.struct("w", "id")).alias("top")).select(F.col("top.id").alias("id"))
+    pivot = stored(pivot, "pivot")
+    ahead, behind = reach_set(edges, pivot), reach_set(flipped(edges), pivot)
+    marks = stored(ahead.withColumn("f", F.lit(1)).join(behind.withColumn("b", F.lit(1)), "id", "full_outer").select("id", (F.coalesce("f", F.lit(0)) + 2 * F.coalesce("b", F.lit(0))).alias("mark")), "marks")
+    part = marks.filter("mark = 3").select("id", F.lit(-1).cast("long").alias("comp"))
+    a, b = marks.select(F.col("id").alias("src"), F.col("mark").alias("m")), marks.select(F.col("id").alias("dst"), F.col("mark").alias("n"))
+    rest = edges.join(a, "src", "left").join(b, "dst", "left").filter("coalesce(m, 0) = coalesce(n, 0) and coalesce(m, 0) <> 3").select("src", "dst")
+    rest, left = counted(rest, "edges")
+    return part, rest, left
+
+
+def strong_components(graph: Graph, finish: int = FINISH) -> DataFrame:
+    """(id, comp), in steps: trimming, the largest component by reach from one vertex both ways, then colouring.
+
+    All subproblems of colouring go on together: colours are the largest ids passed along the edges; a
+    vertex that keeps its own is a head, and what reaches it within its colour is its component. Edges
+    between colours lie on no cycle and are dropped for good.
     """
-    vertices = stored(graph.vertices.select("id"), "vertices")
-    edges = stored(graph.edges.filter("src <> dst").select("src", "dst").distinct(), "edges")
+    edges, rows = simple_edges(graph)
     parts: list[DataFrame] = []
-    while True:
-        vertices, left, edges, gone = trim(vertices, edges)
-        parts.append(gone.select("id", F.col("id").alias("comp")))
-        if not left:
-            break
-        colours = spread_max(vertices.select("id", F.col("id").alias("label")), edges)
+    if rows > finish:
+        edges, rows = trim(edges, rows)
+    if rows > finish:
+        part, edges, rows = largest_part(edges)
+        parts.append(part)
+        if rows > finish:
+            edges, rows = trim(edges, rows)
+    while rows > finish:
+        colours = spread(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", F.col("id").alias("label")), edges)
         inner = stored(within(edges, colours), "inner")
-        back = inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        found = reach_set(back, colours.filter("id = label").select("id"))
+        found = reach_set(flipped(inner), colours.filter("id = label").select("id"))
         part = stored(found.join(colours, "id").select("id", F.col("label").alias("comp")), "part")
         parts.append(part)
-        vertices = stored(vertices.join(part.select("id"), "id", "left_anti"), "vertices")
-        edges = stored(inner.select("src", "dst").join(vertices.withColumnRenamed("id", "src"), "src", "left_semi").join(vertices.withColumnRenamed("id", "dst"), "dst", "left_semi"), "edges")
-    return canonical(parts, graph)
+        done = part.select(F.col("id").alias("src"))
+        edges, rows = counted(inner.select("src", "dst").join(done, "src", "left_anti").join(done.withColumnRenamed("src", "dst"), "dst", "left_anti"), "edges")
+        if rows > finish:
+            edges, rows = trim(edges, rows)
+    if rows:
+        parts.append(in_one_task(edges, depth_first, "id long, comp long"))
+    return named(graph, parts)
+
 
+def strong_components_fb(graph: Graph, finish: int = FINISH, candidates: bool = False) -> DataFrame:
+    """(id, comp), by forward and backward reach from a pivot in every open part at once; what neither, one or the other reaches are new parts.
 
-def strong_components_fb(graph: Graph) -> DataFrame:
-    """(id, comp), by forward and backward reach from a pivot in every open part at once; what neither, one or the other reaches are new parts."""
-    vertices = stored(graph.vertices.select("id"), "vertices")
-    edges = stored(graph.edges.filter("src <> dst").select("src", "dst").distinct(), "edges")
+    candidates: the sizes of new parts and a pivot for each are found while vertices are marked, so no
+    scan looks for pivots, a part that is one vertex is closed at once, and so is a part that its pivot's component fills.
+    """
+    edges, rows = simple_edges(graph)
     labels: DataFrame | None = None
     parts: list[DataFrame] = []
-    while True:
-        vertices, left, edges, gone = trim(vertices, edges)
-        parts.append(gone.select("id", F.col("id").alias("comp")))
-        if not left:
-            break
-        labels = stored(vertices.withColumn("label", F.lit(0).cast("long")) if labels is None else labels.join(vertices, "id", "left_semi"), "labels")
-        inner = stored(within(edges, labels).select("src", "dst"), "inner")
-        pivots = stored(labels.groupBy("label").agg(F.min("id").alias("id")), "pivots")
-        ahead = reach_set(inner, pivots.select("id")).select("id", F.lit(True).alias("f"))
-        behind = reach_set(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")), pivots.select("id")).select("id", F.lit(True).alias("b"))
-        marked = stored(labels.join(ahead, "id", "left").join(behind, "id", "left").select("id", "label", F.coalesce("f", F.lit(False)).alias("f"), F.coalesce("b", F.lit(False)).alias("b")), "marked")
+    while rows > finish:
+        if labels is None or not candidates:
+            edges, rows = trim(edges, rows)
+            if rows <= finish:
+                break
+            ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+            labels = stored(ends.withColumn("label", F.lit(0).cast("long")) if labels is None else labels.select("id", "label").join(ends, "id", "left_semi"), "labels")
+            pivots = stored(labels.groupBy("label").agg(F.min("id").alias("id")), "pivots")
+        else:
+            pivots = labels.filter("id = pivot").select("label", "id")  # found with the labels
+        ahead = reach_set(edges, pivots.select("id")).select("id", F.lit(True).alias("f"))
+        behind = reach_set(flipped(edges), pivots.select("id")).select("id", F.lit(True).alias("b"))
+        marked = labels.select("id", "label").join(ahead, "id", "left").join(behind, "id", "left")
+        marked = stored(marked.select("id", "label", F.coalesce("f", F.lit(False)).alias("f"), F.coalesce("b", F.lit(False)).alias("b")), "marked")
         both = marked.filter("f and b").join(pivots.withColumnRenamed("id", "comp"), "label").select("id", "comp")
         parts.append(stored(both, "part"))
         rest = marked.filter("not (f and b)")
-        names = rest.groupBy("label", "f", "b").agg(F.min("id").alias("name"))
-        labels = stored(rest.join(names, ["label", "f", "b"]).select("id", F.col("name").alias("label")), "labels")
-        vertices = labels.select("id")
-        edges = stored(within(inner, labels).select("src", "dst"), "edges")
-    return canonical(parts, graph)
+        names = rest.groupBy("label", "f", "b").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size"))
+        new = rest.join(names, ["label", "f", "b"]).select("id", F.col("pivot").alias("label"), "pivot", "size")
+        labels = stored(new.filter("size > 1") if candidates else new, "labels")
+        edges, rows = counted(within(edges, labels).select("src", "dst"), "edges")
+    if rows:
+        parts.append(in_one_task(edges, depth_first, "id long, comp long"))
+    return named(graph, parts)
+
+
+def strong_components_obf(graph: Graph, finish: int = FINISH, random_pivots: bool = False, seed: int = 1, nesting: int | None = None) -> DataFrame:
+    """(id, comp), by slices: one-way catch them young, backward reach, forward seeds.
+
+    In every open part a pivot's forward reach is a chunk. A chunk is cut into slices from the pivot on:
+    vertices of the front without an edge in from the chunk's rest are components of their own and go, and
+    their targets come to the front; what reaches the front that is left is a slice, closed under
+    components; the slice's targets are the next front. Slices and what no pivot reached are the next parts. A first
+    slice of which nothing went is the pivot's component. All parts go on together. random_pivots: pivots
+    by a hash, not the least id. nesting: after so many rounds of slices, colouring ends the rest.
+    """
+    edges, rows = simple_edges(graph)
+    parts: list[DataFrame] = []
+    labels = None
+    level = 0
+    while rows > finish and (nesting is None or level < nesting):
+        level += 1
+        ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+        labels = stored(ends.withColumn("label", F.lit(0).cast("long")) if labels is None else labels.join(ends, "id", "left_semi"), "labels")
+        order = F.xxhash64(F.lit(seed), F.lit(level), "id") if random_pivots else F.col("id")
+        pivots = stored(labels.groupBy("label").agg(F.min(F.struct(order.alias("o"), "id")).alias("p")).select("label", F.col("p.id").alias("id")), "pivots")
+        chunk = stored(reach_set(edges, pivots.select("id")).join(labels, "id"), "chunk")  # edges lie within parts
+        range_, inner_rows = counted(within(edges, chunk), "range")
+        front, first = pivots.select("id"), True
+        alive = chunk.select("id", "label")
+        slices: list[DataFrame] = []
+        while True:
+            while True:  # vertices of the front without an edge in
+                fed = range_.select(F.col("dst").alias("id")).distinct()
+                gone, many = counted(front.join(alive, "id", "left_semi").join(fed, "id", "left_anti"), "gone")
+                if not many:
+                    break
+                first_gone = gone.select(F.col("id").alias("src"))
+                ahead = range_.join(first_gone, "src", "left_semi").select(F.col("dst").alias("id"))
+                front = stored(front.join(gone, "id", "left_anti").union(ahead).distinct(), "front")
+                range_, inner_rows = counted(range_.join(first_gone, "src", "left_anti"), "range")
+                alive = stored(alive.join(gone, "id", "left_anti"), "alive")
+            front, many = counted(front.join(alive, "id", "left_semi"), "front")
+            if not many:
+                break
+            body = stored(reach_set(flipped(range_), front).join(alive, "id").select("id", "label"), "slice")
+            slices.append(body.select("id", F.struct("label", F.lit(len(slices)).alias("slice")).alias("label")))
+            if first:
+                untouched = body.join(pivots.select(F.col("label"), F.col("id").alias("pivot")).join(front.withColumnRenamed("id", "pivot"), "pivot", "left_semi"), "label")
+                parts.append(stored(untouched.select("id", F.col("pivot").alias("comp")), "part"))
+                first = False
+            own = body.select(F.col("id").alias("src"))
+            leaving = range_.join(own, "src", "left_semi").join(own.withColumnRenamed("src", "dst"), "dst", "left_anti")
+            front = stored(leaving.select(F.col("dst").alias("id")).distinct(), "front")
+            range_, inner_rows = counted(range_.join(own, "src", "left_anti").join(own.withColumnRenamed("src", "dst"), "dst", "left_anti"), "range")
+            alive = stored(alive.join(body, "id", "left_anti"), "alive")
+        rest = labels.join(chunk, "id", "left_anti").select("id", F.struct("label", F.lit(-1).alias("slice")).alias("label"))
+        for x in slices:
+            rest = rest.union(x)
+        if parts:
+            rest = rest.join(parts[-1].select("id"), "id", "left_anti")
+        rest = stored(rest, "rest")
+        names = rest.groupBy("label").agg(F.min("id").alias("name"))
+        labels = stored(rest.join(names, "label").select("id", F.col("name").alias("label")), "labels")
+        edges, rows = counted(within(edges, labels).select("src", "dst"), "edges")
+    if rows > finish:
+        tail = strong_components(Graph(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), edges), finish)
+        parts.append(tail)
+    elif rows:
+        parts.append(in_one_task(edges, depth_first, "id long, comp long"))
+    return named(graph, parts)
 
 
 def component_sizes(components: DataFrame) -> DataFrame:
@@ -141,21 +301,56 @@ def merge_components(a: DataFrame, b: DataFrame) -> DataFrame:
     return checked.select("comp", F.when(F.col("size") == F.col("most"), F.col("size")).otherwise(F.raise_error(F.lit("a component has two sizes"))).cast("long").alias("size"))
 
 
-def quotient_depths(components: DataFrame, edges: DataFrame) -> DataFrame:
-    """(comp, depth): 0 without targets, else one more than the least depth of the targets, once all have one. A cycle is an error."""
-    comps = stored(components.select("comp").distinct(), "comps")
-    edges = stored(edges.select("src_comp", "dst_comp").distinct(), "quotient")
-    state = stored(comps.join(edges.select(F.col("src_comp").alias("comp")).distinct(), "comp", "left_anti").withColumn("depth", F.lit(0)), "depths")
-    total, done = comps.count(), state.count()
-    while done < total:
-        known = edges.join(state, F.col("dst_comp") == F.col("comp"), "left").groupBy("src_comp").agg(F.min("depth").alias("least"), F.count(F.when(F.col("depth").isNull(), 1)).alias("open"))
-        new = known.filter("open = 0").join(state.select(F.col("comp").alias("src_comp")), "src_comp", "left_anti").select(F.col("src_comp").alias("comp"), (F.col("least") + 1).alias("depth"))
-        state = stored(state.union(new), "depths")
-        now = state.count()
-        if now == done:
+def nearest_leaves(src: list[int], dst: list[int]) -> list[tuple[int, int]]:
+    """(comp, depth) of the sources of edges without a cycle; targets that are no sources are leaves."""
+    open_: dict[int, int] = {}
+    least: dict[int, int] = {}
+    back: dict[int, list[int]] = {}
+    for a, b in zip(src, dst, strict=True):
+        open_[a] = open_.get(a, 0) + 1
+        back.setdefault(b, []).append(a)
+    todo = [(b, 0) for b in back if b not in open_]
+    out = []
+    for comp, depth in todo:  # grows as it goes
+        for a in back.get(comp, ()):
+            open_[a] -= 1
+            least[a] = min(least.get(a, depth), depth)
+            if not open_[a]:
+                out.append((a, least[a] + 1))
+                todo.append((a, least[a] + 1))
+    return out
+
+
+def quotient_depths(components: DataFrame, edges: DataFrame, finish: int = FINISH) -> DataFrame:
+    """(comp, depth): 0 without targets, else one more than the least depth of the targets, once all have one. A cycle is an error.
+
+    Targets are counted down: a round sends the depths it has just found to their sources, and a source
+    is done when it has heard of as many targets as it has. Only what a round found is joined.
+    """
+    comps = components.filter("comp is not null").select("comp").distinct()
+    edges, rows = counted(edges.select("src_comp", "dst_comp").distinct(), "quotient")
+    if rows <= finish:
+        found = in_one_task(edges, nearest_leaves, "comp long, depth long").select("comp", F.col("depth").cast("int").alias("depth"))
+        found, many = counted(found, "depths")
+        if many < edges.select("src_comp").distinct().count():
+            raise ValueError("the quotient has a cycle")
+        return comps.join(found, "comp", "left").select("comp", F.coalesce("depth", F.lit(0)).alias("depth"))
+    spark = edges.sparkSession
+    wanted, sources = counted(edges.groupBy(F.col("src_comp").alias("id")).agg(F.count(F.lit(1)).alias("wanted")), "wanted")
+    leaves = edges.select(F.col("dst_comp").alias("id")).distinct().join(wanted, "id", "left_anti").withColumn("depth", F.lit(0))
+    with placed(flipped(edges.toDF("src", "dst"))) as back, Layers(spark, "heard") as heard, Layers(spark, "depths") as done:
+        new, many = done.add(leaves)
+        total = 0
+        while many:
+            got, _ = heard.add(back.follow(new).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("depth").alias("least")))
+            far = heard.whole().join(got.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+            ready = far.join(wanted, "id").filter("n = wanted").select("id", (F.col("least") + 1).alias("depth"))
+            new, many = done.add(ready)
+            total += many
+        if total < sources:
             raise ValueError("the quotient has a cycle")
-        done = now
-    return state
+        found = done.result()
+    return comps.join(found.withColumnRenamed("id", "comp"), "comp", "left").select("comp", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 def terminal_components(components: DataFrame, edges: DataFrame) -> DataFrame:
@@ -169,17 +364,54 @@ def terminal_by_colour(graph: Graph) -> DataFrame:
     Colours are the largest ids among descendants. What a head reaches within its colour is a terminal
     component unless an edge leads from there into another colour.
     """
-    edges = stored(graph.edges.filter("src <> dst").select("src", "dst").distinct(), "edges")
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    colours = spread_max(graph.vertices.select("id", F.col("id").alias("label")), back)
-    inner = within(edges, colours).select("src", "dst")
-    found = stored(reach_set(stored(inner, "inner"), colours.filter("id = label").select("id")).join(colours, "id").select("id", "label"), "found")
+    edges, _ = simple_edges(graph)
+    colours = spread(graph.vertices.select("id", F.col("id").alias("label")), flipped(edges))
+    inner = stored(within(edges, colours).select("src", "dst"), "inner")
+    found = stored(reach_set(inner, colours.filter("id = label").select("id")).join(colours, "id").select("id", "label"), "found")
     targets = colours.select(F.col("id").alias("dst"), F.col("label").alias("other"))
     leaving = edges.join(found.withColumnRenamed("id", "src"), "src").join(targets, "dst").filter("label <> other").select("label").distinct()
     kept = found.join(leaving, "label", "left_anti")
     return kept.join(kept.groupBy("label").agg(F.min("id").alias("comp")), "label").select("id", "comp")
 
 
+def terminal_by_reach(graph: Graph, trimmed: bool = True) -> DataFrame:
+    """(id, comp) of the members of terminal components, by reach from a pivot in every open part at once.
+
+    Of a pivot's forward reach, what reaches the pivot is its component: terminal if that is all. Else the
+    forward reach without it is a part of its own, for every terminal component the pivot reaches lies
+    there. What reaches the forward reach from outside is not terminal and is dropped; the rest of the
+    part is the other new part. trimmed: vertices without an edge out are terminal at once, and what
+    reaches them is dropped, before the first pivot.
+    """
+    edges, _ = simple_edges(graph)
+    labels = stored(graph.vertices.filter("id is not null").select("id", F.lit(0).cast("long").alias("label")), "labels")
+    found: list[DataFrame] = []
+    if trimmed:
+        ends = labels.select("id").join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
+        found.append(stored(ends.select("id", F.col("id").alias("comp")), "ends"))
+        labels = labels.join(reach_set(flipped(edges), found[0].select("id")), "id", "left_anti")
+    labels, left = counted(labels, "labels")
+    while left:
+        edges = stored(within(edges, labels).select("src", "dst"), "edges")
+        pivots = stored(labels.groupBy("label").agg(F.min("id").alias("id")), "pivots")
+        ahead = stored(reach_set(edges, pivots.select("id")).join(labels, "id"), "ahead")
+        inner = within(edges, ahead).select("src", "dst")
+        own = stored(reach_set(flipped(inner), pivots.select("id")).join(labels, "id"), "own")
+        behind = reach_set(flipped(edges), ahead.select("id"))
+        sizes = ahead.groupBy("label").agg(F.count(F.lit(1)).alias("f")).join(own.groupBy("label").agg(F.count(F.lit(1)).alias("c")), "label").filter("f = c").select("label")
+        ready = own.join(sizes, "label", "left_semi")
+        found.append(stored(ready.join(ready.groupBy("label").agg(F.min("id").alias("comp")), "label").select("id", "comp"), "terminal"))
+        inside = ahead.join(own.select("id"), "id", "left_anti").select("id", F.struct("label", F.lit(True).alias("f")).alias("label"))
+        rest = labels.join(behind, "id", "left_anti").select("id", F.struct("label", F.lit(False).alias("f")).alias("label"))
+        parts = stored(inside.union(rest), "parts")
+        names = parts.groupBy("label").agg(F.min("id").alias("name"))
+        labels, left = counted(parts.join(names, "label").select("id", F.col("name").alias("label")), "labels")
+    whole = found[0] if found else labels.select("id", F.col("id").alias("comp"))
+    for x in found[1:]:
+        whole = whole.union(x)
+    return whole
+
+
 def terminal_members(graph: Graph, decode: Column | None = None) -> DataFrame:
     """(comp, id, name) of the members of terminal components; decode turns an id into a name."""
     return terminal_by_colour(graph).select("comp", "id", (F.col("id").cast("string") if decode is None else decode).alias("name"))

@@ -1,4 +1,4 @@
-"""Degree histograms and their statistics."""
+"""Degree histograms and their statistics. Edges with a null end count for the end they have; an empty graph has an empty histogram, whose statistics are nulls and zeros."""
 
 from __future__ import annotations
 

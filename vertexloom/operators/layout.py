@@ -1,4 +1,4 @@
-"""Centre-of-mass layout."""
+"""Centre-of-mass layout. Edges with a null end move nothing; vertices without neighbours stay; null vertices are kept. Parallel edges pull as often, loops pull to the vertex itself."""
 
 from __future__ import annotations
 

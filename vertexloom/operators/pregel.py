@@ -1,4 +1,8 @@
-"""Message rounds: one join along the edges, one aggregation by receiver, one join back."""
+"""Message rounds: one join along the edges, one aggregation by receiver, one join back.
+
+Edges with a null end and messages to ids that are no vertices are lost; null vertices keep their state. Parallel edges
+carry a message each. An empty state stays empty. Names that start with `__` are reserved.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,9 @@
-"""Traversals: hop distances, layers, reach, waves, covers, and spreading."""
+"""Traversals: hop distances, layers, search trees, reach, waves, covers, and spreading.
+
+Edges with a null end and sources that are null are left out; parallel edges and loops change nothing but
+the counts that speak of edges. An empty graph has no rows (one row of zeros where a result is one row).
+Further columns of vertices and edges are left aside.
+"""
 
 from __future__ import annotations
 
@@ -6,57 +11,77 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..storage import stored
-from .iterate import counted, placed
+from .iterate import Layers, placed
 
 UNREACHED = 2147483647
+# A frontier of at most FEW rows goes HOPS edges in one round.
+FEW, HOPS = 256, 3
+# From this round on a label is also replaced by the label of the vertex it names.
+JUMP_FROM = 4
+
 
+def reach(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, dist): least number of edges from any source (id).
 
-def reach(edges: DataFrame, sources: DataFrame, max_rounds: int = 1_000_000) -> DataFrame:
-    """(id, dist): least number of edges from any source (id). Only the frontier is joined in a round."""
-    found = [stored(sources.select("id").distinct().withColumn("dist", F.lit(0)), "frontier")]
-    with placed(edges.select("src", "dst").distinct(), "src") as near:
-        for step in range(1, max_rounds + 1):
-            visited = found[0]
-            for x in found[1:]:
-                visited = visited.union(x)
-            ahead = found[-1].join(near, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
-            new, rows = counted(ahead.join(visited.select("id"), "id", "left_anti").withColumn("dist", F.lit(step)), "frontier")
-            if not rows:
-                break
-            found.append(new)
-            if len(found) > 24:  # a long chain of small tables becomes one, the frontier stays apart
-                old = found[0]
-                for x in found[1:-1]:
-                    old = old.union(x)
-                found = [stored(old, "visited"), found[-1]]
-    visited = found[0]
-    for x in found[1:]:
-        visited = visited.union(x)
-    return visited
-
-
-def reach_set(edges: DataFrame, sources: DataFrame, hops: int = 3) -> DataFrame:
-    """(id): what any source (id) reaches. Without distances, a round may take several hops before it looks at what is new."""
-    found = [stored(sources.select("id").distinct(), "reached")]
-    with placed(edges.select("src", "dst").distinct(), "src") as near:
-        while True:
-            layer, ahead = found[-1], None
-            for _ in range(hops):
-                layer = layer.join(near, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
+    A round joins the frontier alone. A small frontier goes several edges a round: what is met is given the
+    least number of edges it was met by, and the next frontier is what lies farthest out.
+    """
+    first = sources.filter("id is not null").select(F.col("id").cast("long").alias("id")).distinct().withColumn("dist", F.lit(0))
+    with placed(edges.select("src", "dst")) as near, Layers(edges.sparkSession, "reach") as found:
+        frontier, rows = found.add(first)
+        depth = 0
+        while rows:
+            hops = HOPS if rows <= FEW else 1
+            layer, ahead = frontier, None
+            for k in range(1, hops + 1):
+                layer = near.follow(layer.select("id")).select(F.col("dst").alias("id")).distinct()
+                met = layer.withColumn("dist", F.lit(depth + k))
+                ahead = met if ahead is None else ahead.union(met)
+            if hops > 1:
+                ahead = ahead.groupBy("id").agg(F.min("dist").alias("dist"))
+            depth += hops
+            new, rows = found.add(ahead.join(found.whole().select("id"), "id", "left_anti"), f"dist = {depth}")
+            frontier = new.filter(F.col("dist") == depth)
+        return found.result()
+
+
+def reach_set(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id): what any source (id) reaches; HOPS edges a round, as no distance is asked for."""
+    first = sources.filter("id is not null").select("id").distinct()
+    with placed(edges.select("src", "dst")) as near, Layers(edges.sparkSession, "reach_set") as found:
+        frontier, rows = found.add(first)
+        while rows:
+            layer, ahead = frontier, None
+            for _ in range(HOPS):
+                layer = near.follow(layer).select(F.col("dst").alias("id")).distinct()
                 ahead = layer if ahead is None else ahead.union(layer)
-            visited = found[0]
-            for x in found[1:]:
-                visited = visited.union(x)
-            new, rows = counted(ahead.distinct().join(visited, "id", "left_anti"), "reached")
-            if not rows:
-                return visited
-            found.append(new)
-            if len(found) > 24:
-                old = found[0]
-                for x in found[1:-1]:
-                    old = old.union(x)
-                found = [stored(old, "visited"), found[-1]]
+            frontier, rows = found.add(ahead.distinct().join(found.whole(), "id", "left_anti"))
+        return found.result()
+
+
+def spread(labels: DataFrame, edges: DataFrame, largest: bool = True) -> DataFrame:
+    """(id, label): the largest (or least) label among a vertex's ancestors and its own; labels are ids.
+
+    Rounds write only what changed. A label names an ancestor, so the label of the named vertex is one of
+    an ancestor as well: long paths are shortened by that.
+    """
+    best = F.max if largest else F.min
+    better = "got > label" if largest else "got < label"
+    with placed(edges.select("src", "dst")) as near, Layers(edges.sparkSession, "spread", {"label": best}) as found:
+        active, rows = found.add(labels.filter("id is not null").select("id", "label"))
+        while rows:
+            layer, sent = active, None
+            for _ in range(HOPS):
+                layer = near.follow(layer).groupBy(F.col("dst").alias("id")).agg(best("label").alias("label"))
+                sent = layer if sent is None else sent.union(layer)
+            sent = sent.groupBy("id").agg(best("label").alias("got"))
+            now = found.whole()
+            new = sent.join(now, "id").filter(better).select("id", F.col("got").alias("label"))
+            if found.number >= JUMP_FROM:
+                far = now.select(F.col("id").alias("label"), F.col("label").alias("far"))
+                new = new.join(far, "label", "left").select("id", (F.greatest if largest else F.least)("label", "far").alias("label"))
+            active, rows = found.add(new)
+        return found.result()
 
 
 def start(graph: Graph, root: int | None) -> DataFrame:
@@ -68,7 +93,41 @@ def hop_distance(graph: Graph, root: int | None = None, compat: bool = False) ->
     """(id, dist) of every vertex; unreached is null, in compat the largest int."""
     found = reach(graph.edges, start(graph, root))
     dist = F.coalesce("dist", F.lit(UNREACHED)) if compat else F.col("dist")
-    return graph.vertices.select("id").join(found, "id", "left").select("id", dist.alias("dist"))
+    return graph.vertices.filter("id is not null").select("id").join(found, "id", "left").select("id", dist.alias("dist"))
+
+
+def search_tree(graph: Graph, root: int | None = None) -> DataFrame:
+    """(id, dist, father) of the vertices reached: the father is the least vertex one edge nearer to the root, null for the root."""
+    found = reach(graph.edges, start(graph, root))
+    near = found.select(F.col("id").alias("src"), (F.col("dist") + 1).alias("dist"))
+    far = found.select(F.col("id").alias("dst"), "dist")
+    fathers = graph.edges.select("src", "dst").join(near, "src").join(far, ["dst", "dist"]).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("father"))
+    return found.join(fathers, "id", "left").select("id", "dist", "father")
+
+
+def to_father(tree: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """(id, value): for each vertex of a tree (id, father), the value (id, value) of the vertex it has stored as its father; null for the root."""
+    theirs = values.select(F.col("id").alias("father"), F.col(value).alias("__theirs"))
+    return tree.select("id", "father").join(theirs, "father", "left").select("id", F.col("__theirs").alias(value))
+
+
+def echo_sizes(tree: DataFrame) -> DataFrame:
+    """(id, size): vertices below and including each one of a search tree (id, dist, father).
+
+    The echo: from the farthest layer on, each vertex sends its sum to its stored father; a layer is sent
+    once all of it has been received.
+    """
+    deepest = tree.agg(F.max("dist")).first()[0]
+    with Layers(tree.sparkSession, "echo") as done:
+        for depth in range(deepest if deepest is not None else -1, -1, -1):
+            own = tree.filter(F.col("dist") == depth).select("id", "father")
+            if done.layers:
+                got = done.layers[-1].groupBy(F.col("father").alias("id")).agg(F.sum("size").alias("got"))
+                own = own.join(got, "id", "left").select("id", "father", (1 + F.coalesce("got", F.lit(0))).cast("long").alias("size"))
+            else:
+                own = own.withColumn("size", F.lit(1).cast("long"))
+            done.add(own)
+        return done.result().select("id", "size") if done.layers else tree.select("id", F.lit(1).cast("long").alias("size"))
 
 
 def bfs_layers(graph: Graph, root: int | None = None, compat: bool = False) -> DataFrame:
@@ -95,26 +154,15 @@ def visit_all(graph: Graph) -> DataFrame:
     """One row: vertices visited and rounds, when each round visits what its pivot reaches and pivots are taken in the order of ids.
 
     A vertex is a pivot if no smaller vertex reaches it, so the pivots are the vertices whose least
-    ancestor (itself included) is their own: a minimum passed along the edges to a fixpoint. The round
-    that finds no pivot left counts as well.
+    ancestor (itself included) is their own. The round that finds no pivot left counts as well.
     """
-    state = stored(graph.vertices.select("id", F.col("id").alias("least")), "least")
-    with placed(graph.edges.select("src", "dst").distinct(), "src") as near:
-        active = state
-        while True:
-            sent = active.join(near, F.col("id") == F.col("src")).groupBy("dst").agg(F.min("least").alias("got"))
-            joined = state.join(sent, F.col("id") == F.col("dst"), "left")
-            new, moved = counted(joined.select("id", F.least("least", "got").alias("least"), (F.col("got") < F.col("least")).alias("moved")), "least", "moved")
-            active = new.filter("moved").select("id", "least")
-            state = new.select("id", "least")
-            if not moved:
-                break
-    return state.agg(F.count(F.lit(1)).alias("visited"), (F.count(F.when(F.col("id") == F.col("least"), 1)) + 1).alias("rounds"))
+    state = spread(graph.vertices.select("id", F.col("id").alias("label")), graph.edges, largest=False)
+    return state.agg(F.count(F.lit(1)).alias("visited"), (F.count(F.when(F.col("id") == F.col("label"), 1)) + 1).alias("rounds"))
 
 
 def echo(graph: Graph, root: int | None = None) -> DataFrame:
     """One row: vertices that a wave over edges in both directions reaches from the root and that echo back."""
-    found = reach(graph.undirected().edges, start(graph, root))
+    found = reach_set(graph.undirected().edges, start(graph, root))
     return found.agg(F.count(F.lit(1)).alias("echoes"))
 
 
@@ -124,9 +172,9 @@ def cascade(graph: Graph, seeds: DataFrame, p: float = 0.51, seed: int = 1) -> D
     An edge's draw is a hash of its ends and its number among equal edges, so it does not hang on layout.
     """
     draw = lambda *c: F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(1 << 30)) / F.lit(float(1 << 30)) < p
-    counted = graph.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    alive = counted.filter(F.exists(F.sequence(F.lit(1), F.col("n")), lambda k: draw("src", "dst", k)))
-    return reach(alive, seeds.filter(draw("id", F.lit(0)))).select("id")
+    many = graph.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    alive = many.filter(F.exists(F.sequence(F.lit(1), F.col("n")), lambda k: draw("src", "dst", k)))
+    return reach_set(alive, seeds.filter(draw("id", F.lit(0))))
 
 
 def cascade_seeds(graph: Graph, count: int, seed: int = 1) -> DataFrame:

@@ -32,9 +32,25 @@ def fresh(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str = "table") -> DataFrame:
+def stored(df: DataFrame, tag: str = "table", codec: str | None = None) -> DataFrame:
     """df written as Parquet and read back: lineage ends here, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = fresh(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored_at(df, fresh(df.sparkSession, tag), codec)
+
+
+def stored_at(df: DataFrame, path: str, codec: str | None = None) -> DataFrame:
+    writer = df.write.option("compression", codec) if codec else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def file_system(uri: str):
+    """(pyarrow file system, path in it) of a folder of any scheme that pyarrow knows."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
