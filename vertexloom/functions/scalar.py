@@ -92,9 +92,43 @@ def power_law(low: float, high: float, exponent: float, seed: int, *keys: Column
     return F.pow(low**e + (high**e - low**e) * uniform(seed, *keys), F.lit(1 / e))
 
 
+def binomial_steps(n: int, p: float) -> tuple[int, list[float]]:
+    """(least, probabilities of at most least, least + 1, ...) of the binomial law, as far as a draw of 53 bits can tell."""
+    if p <= 0 or n <= 0:
+        return 0, [1.0]
+    if p >= 1:
+        return n, [1.0]
+    base = math.lgamma(n + 1)
+    chance = lambda k: math.exp(base - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p))
+    mode = min(n, int((n + 1) * p))
+    low = high = mode
+    while low > 0 and chance(low - 1) > 1e-20:
+        low -= 1
+    while high < n and chance(high + 1) > 1e-20:
+        high += 1
+    each = [chance(k) for k in range(low, high + 1)]
+    whole = math.fsum(each)
+    out, total = [], 0.0
+    for x in each:
+        total += x / whole
+        out.append(min(total, 1.0))
+    out[-1] = 1.0
+    return low, out
+
+
 def binomial(n: int, p: float, seed: int, *keys: Column | str) -> Column:
-    """Successes among n trials: by trials up to 64, beyond by the normal approximation, kept within 0..n."""
-    if n <= 64:
-        return F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.lit(0), lambda acc, i: acc + (uniform(seed, i, *keys) < p).cast("int")) if n > 0 else F.lit(0)
-    mean, deviation = n * p, math.sqrt(n * p * (1 - p))
+    """Successes among n trials, by inversion of the law's distribution function for any n: a binary search of one uniform draw."""
+    least, steps = binomial_steps(n, p)
+    if len(steps) == 1:
+        return F.lit(least)
+    size = 1 << (len(steps) - 1).bit_length()
+    table, draw = F.array(*[F.lit(x) for x in steps]), uniform(seed, *keys)
+    halves = F.array(*[F.lit(size >> k) for k in range(1, size.bit_length())])
+    at = F.aggregate(halves, F.lit(0), lambda low, h: F.when((low + h < len(steps)) & (F.try_element_at(table, low + h) <= draw), low + h).otherwise(low))
+    return F.lit(least) + at
+
+
+def binomial_by_normal(n: int, p: float, seed: int, *keys: Column | str) -> Column:
+    """Successes among n trials by the normal approximation, rounded and kept within 0..n."""
+    mean, deviation = n * p, math.sqrt(max(0.0, n * p * (1 - p)))
     return F.least(F.greatest(F.round(mean + deviation * normal(seed, *keys)), F.lit(0.0)), F.lit(float(n)))

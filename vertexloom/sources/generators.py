@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..graph import Graph
+from ..operators.iterate import counted
 
 MOST_DEGREE = 32767
 COPIES = 4096
+TRIES = 1024
 
 
 class GraphSpecError(ValueError):
@@ -91,23 +92,34 @@ def tree(spark: SparkSession, height: int, branch: int = 2) -> Graph:
     return graph_of(spark, tree_size(height, branch), edges)
 
 
-def randomized_tree(spark: SparkSession, n: int, seed: int) -> Graph:
-    """Two children who share the remaining vertices at random. The draws are sequential, so edges are made on the driver."""
+def randomized_tree(spark: SparkSession, n: int, seed: int, levels: int = 8) -> Graph:
+    """Two children who share the remaining vertices at random; numbers in pre-order.
+
+    A vertex with `left` vertices below holds the numbers up to id + left, so a level is a projection of
+    the one above. `levels` of them are one job; a share is a draw for (seed, id), whatever the partitions.
+    """
     need(n > 0, "a tree has a vertex at least")
-    draw, edges, fresh = random.Random(seed), [], 1
-    todo = [(0, n - 1)]
-    while todo:
-        father, left = todo.pop()
-        if left == 1:
-            edges.append((father, fresh))
-            fresh += 1
-        elif left > 1:
-            a, b = fresh, fresh + 1
-            fresh += 2
-            edges += [(father, a), (father, b)]
-            share = round(draw.random() * (left - 2))
-            todo += [(b, left - 2 - share), (a, share)]
-    return graph_of(spark, n, spark.createDataFrame(edges, "src long, dst long"))
+    frontier = spark.createDataFrame([(0, n - 1)], "id long, left long")
+    out: list[DataFrame] = []
+    share = F.round(scalar.uniform(seed, "id") * (F.col("left") - 2)).cast("long")
+    first = F.struct((F.col("id") + 1).alias("id"), F.when(F.col("left") == 1, F.lit(0)).otherwise(share).cast("long").alias("left"))
+    second = F.struct((F.col("id") + 2 + share).alias("id"), (F.col("left") - 2 - share).cast("long").alias("left"))
+    while True:
+        rows = frontier.select("id", "left", F.lit(0).cast("long").alias("src"), F.lit(0).alias("level"))
+        whole = None
+        for level in range(1, levels + 1):
+            kids = F.when(F.col("left") == 1, F.array(first)).otherwise(F.array(first, second))
+            rows = rows.filter("left > 0").select(F.col("id").alias("src"), F.explode(kids).alias("kid")).select("kid.id", "kid.left", "src", F.lit(level).alias("level"))
+            whole = rows if whole is None else whole.union(rows)
+        made, more = counted(whole, "tree", f"level = {levels} and left > 0")
+        out.append(made.select("src", F.col("id").alias("dst")))
+        if not more:
+            break
+        frontier = made.filter((F.col("level") == levels) & (F.col("left") > 0)).select("id", "left")
+    edges = out[0]
+    for x in out[1:]:
+        edges = edges.union(x)
+    return graph_of(spark, n, edges)
 
 
 def lattice_edges(spark: SparkSession, rows: int, cols: int, loop_rows: bool, loop_cols: bool, rows_filled: int | None = None, cols_filled: int | None = None) -> DataFrame:
@@ -126,19 +138,27 @@ def lattice(spark: SparkSession, rows: int, cols: int, loop_rows: bool = False,
     return graph_of(spark, rows * cols, lattice_edges(spark, rows, cols, loop_rows, loop_cols))
 
 
+def counted_out(spark: SparkSession, rows: DataFrame, many: int, name: str) -> DataFrame:
+    """Each row with every number below `many`."""
+    blocks = rows.withColumn("__hi", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((many - 1) // COPIES).cast("long"))))
+    if many > COPIES:
+        blocks = blocks.repartition(min(100_000, many // COPIES + 1), *blocks.columns)
+    out = blocks.withColumn("__lo", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(min(COPIES, many) - 1).cast("long"))))
+    return out.withColumn(name, F.col("__hi") * COPIES + F.col("__lo")).filter(F.col(name) < many).drop("__hi", "__lo")
+
+
 def product(spark: SparkSession, macro_vertices: int, macro: DataFrame, micro_vertices: int, micro: DataFrame, cellwise: bool) -> Graph:
     """Each macro vertex becomes a copy of the micro graph; macro edges join roots, or (cellwise) all equal cells.
 
-    Copies are counted out in two steps, so that no row holds the numbers of all copies.
+    Copies are counted out in two steps, so that no row holds the numbers of all copies; between the steps
+    the rows are dealt out, since the micro graph may be few rows in few partitions.
     """
-    steps = micro.select("src", "dst", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((macro_vertices - 1) // COPIES).cast("long"))).alias("hi"))
-    copies = steps.select("src", "dst", "hi", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(min(COPIES, macro_vertices) - 1).cast("long"))).alias("lo"))
-    copies = copies.withColumn("copy", F.col("hi") * COPIES + F.col("lo")).filter(F.col("copy") < macro_vertices)
+    copies = counted_out(spark, micro.select("src", "dst"), macro_vertices, "copy")
     base = F.col("copy") * micro_vertices
     inner = copies.select((base + F.col("src")).alias("src"), (base + F.col("dst")).alias("dst"))
     outer = macro.select((F.col("src") * micro_vertices).alias("src"), (F.col("dst") * micro_vertices).alias("dst"))
     if cellwise:
-        outer = outer.select("src", "dst", F.explode(F.sequence(F.lit(0), F.lit(micro_vertices - 1))).alias("cell")).select((F.col("src") + F.col("cell")).alias("src"), (F.col("dst") + F.col("cell")).alias("dst"))
+        outer = counted_out(spark, outer, micro_vertices, "cell").select((F.col("src") + F.col("cell")).alias("src"), (F.col("dst") + F.col("cell")).alias("dst"))
     return graph_of(spark, macro_vertices * micro_vertices, inner.union(outer))
 
 
@@ -202,35 +222,45 @@ class Degrees:
             return scalar.pareto(self.a, self.b, seed, *keys)
         if self.kind == "binomial":
             return scalar.binomial(int(self.a), self.b, seed, *keys)
+        if self.kind == "nearly binomial":
+            return scalar.binomial_by_normal(int(self.a), self.b, seed, *keys)
         if self.kind == "power":
             return scalar.power_law(1.0, self.a, self.b, seed, *keys)
         raise GraphSpecError(f"no such law of degrees: {self.kind}")
 
 
-def degree_distribution(spark: SparkSession, n: int, law: Degrees, seed: int = 1, distinct: bool = False, tries: int = 16) -> Graph:
-    """Out-degrees drawn from the law, rounded, drawn anew (up to `tries` times, then kept in range) if out of 0..32767; uniform targets.
+def degree_distribution(spark: SparkSession, n: int, law: Degrees, seed: int = 1, distinct: bool = False) -> Graph:
+    """Out-degrees drawn from the law, rounded, drawn anew while out of 0..32767; uniform targets.
 
-    distinct: no target twice for a source. Its draws go on beyond the degree, the first ones that differ count.
+    A law that gives no degree in TRIES draws is an error. distinct: no target twice for a source, and all
+    sets of targets alike: a source takes its first targets that differ out of a sequence of draws, or,
+    where it wants a quarter of all vertices or more, the first vertices in a random order of its own;
+    degrees above n are drawn anew as well.
     """
     need(n > 0, "a graph has a vertex at least")
-    degree = F.lit(None).cast("double")
-    for k in range(tries - 1, -1, -1):
-        d = F.round(law.draw(seed, F.lit(k), "id"))
-        degree = F.when((d >= 0) & (d <= MOST_DEGREE), d).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(float(MOST_DEGREE)), d)) if k == tries - 1 else degree)
-    most = F.least(degree, F.lit(float(n))) if distinct else degree
-    rows = spark.range(n).select("id", most.cast("long").alias("degree")).filter("degree > 0")
-    draws = F.col("degree") if not distinct else F.col("degree") * 4 + 64
-    drawn = rows.select("id", "degree", F.explode(F.sequence(F.lit(1).cast("long"), draws)).alias("k"))
-    drawn = drawn.select("id", "degree", "k", F.floor(scalar.uniform(seed + 1, "id", "k") * n).alias("dst"))
+    top = min(MOST_DEGREE, n) if distinct else MOST_DEGREE
+
+    def first_of(ks: Column) -> Column:
+        draws = F.transform(ks, lambda k: F.round(law.draw(seed, k, "id")).cast("double"))
+        return F.try_element_at(F.filter(draws, lambda d: (d >= 0) & (d <= top)), F.lit(1))
+
+    early, late = F.sequence(F.lit(0), F.lit(3)), F.sequence(F.lit(4), F.lit(TRIES - 1))
+    none = F.raise_error(F.lit("the law gives no degree in range")).cast("double")
+    degree = F.coalesce(first_of(early), F.when(F.col("id").isNotNull(), first_of(late)), none)
+    rows = spark.range(n).select("id", degree.cast("long").alias("degree")).filter("degree > 0")
+    target = F.floor(scalar.uniform(seed + 1, "id", "k") * n)
     if not distinct:
-        return graph_of(spark, n, drawn.select(F.col("id").alias("src"), "dst"))
-    first = drawn.groupBy("id", "dst").agg(F.min("k").alias("k"), F.first("degree").alias("degree"))
-    # a source's targets in the order of their draws; few sources ask for nearly all vertices, theirs are filled up in order
-    ordered = first.groupBy("id").agg(F.first("degree").alias("degree"), F.sort_array(F.collect_list(F.struct("k", "dst"))).alias("t"))  # at most 4 * 32767 + 64 draws
-    got = ordered.select("id", "degree", F.transform("t", lambda x: x["dst"]).alias("t"))
-    short = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda x: ~F.array_contains("t", x))
-    whole = F.when(F.size("t") >= F.col("degree"), F.slice("t", 1, F.col("degree").cast("int"))).otherwise(F.concat("t", F.slice(short, 1, F.greatest(F.lit(1), (F.col("degree") - F.size("t")).cast("int")))))
-    return graph_of(spark, n, got.select(F.col("id").alias("src"), F.explode(whole).alias("dst")))
+        drawn = rows.select("id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("degree"))).alias("k"))
+        return graph_of(spark, n, drawn.select(F.col("id").alias("src"), target.alias("dst")))
+    few = rows.filter(F.col("degree") * 4 < n)
+    drawn = few.select("id", "degree", F.explode(F.sequence(F.lit(1).cast("long"), F.col("degree") * 4 + 64)).alias("k")).select("id", "degree", "k", target.alias("dst"))
+    firsts = drawn.groupBy("id", "dst").agg(F.min("k").alias("at"), F.first("degree").alias("degree"))
+    many = rows.filter(F.col("degree") * 4 >= n).select("id", "degree", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("dst"))
+    many = many.select("id", "dst", F.xxhash64(F.lit(seed + 2), "id", "dst").alias("at"), "degree")  # n is at most four times a degree here
+    both = firsts.select("id", "dst", "at", "degree").union(many) if n > 4 else many
+    ordered = both.groupBy("id").agg(F.first("degree").alias("degree"), F.sort_array(F.collect_list(F.struct("at", "dst"))).alias("t"))  # at most 4 * 32767 + 64 of them
+    enough = F.when(F.size("t") >= F.col("degree"), F.slice("t", 1, F.col("degree").cast("int"))).otherwise(F.raise_error(F.lit("too few targets differ")))
+    return graph_of(spark, n, ordered.select(F.col("id").alias("src"), F.explode(enough).alias("x")).select("src", "x.dst"))
 
 
 def ordered_tree(spark: SparkSession, m: int, n: int) -> Graph:

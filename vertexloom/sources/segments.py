@@ -9,7 +9,7 @@ labels if there are any. HIP: `src-s` and `dst-s` hold the edges out of segment
 and offset (`in-src-s`, `in-dst-s` those into it); in the compact form the source file holds
 (offset, count) for each run.
 
-Files are read whole by executors, one edge file pair at a time, from any file system that pyarrow
+Executors read an edge file pair at a time in pieces of PIECE numbers, from any file system that pyarrow
 knows; a writer's task writes the files of its segment under a name of its own and renames them.
 """
 
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.index import with_row_number
 from ..graph import Graph
+from ..storage import file_system, stored
 
 # Fixed values of the formats.
 SVCII_VERSION = 31
@@ -41,12 +42,6 @@ class GraphFormatError(ValueError):
     """A header or an edge file is not what it should be."""
 
 
-def file_system(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
-
-
 def put(out: io.BytesIO, *numbers: int) -> None:
     out.write(struct.pack(f">{len(numbers)}i", *numbers))
 
@@ -169,6 +164,63 @@ def read_bytes(folder: str, name: str) -> bytes:
         return f.read()
 
 
+def numbers_in_pieces(folder: str, name: str, n: int) -> Iterator[np.ndarray]:
+    """The n numbers of a file, PIECE at a time; the file has to hold just so many."""
+    fs, path = file_system(f"{folder}/{name}")
+    with fs.open_input_stream(path, compression=None) as f:
+        for at in range(0, n, PIECE):
+            want = 4 * min(PIECE, n - at)
+            data = f.read(want)
+            if len(data) != want:
+                raise GraphFormatError(f"{name} has {at + len(data) // 4} numbers, its header says {n}")
+            yield np.frombuffer(data, ">i4")
+        if f.read(1):
+            raise GraphFormatError(f"{name} has more than the {n} numbers of its header")
+
+
+def runs_in_pieces(folder: str, name: str, n: int) -> Iterator[np.ndarray]:
+    """The n numbers that a file of (number, count) stands for, PIECE at a time."""
+    fs, path = file_system(f"{folder}/{name}")
+    value, left, done = 0, 0, 0
+    held: list[np.ndarray] = []
+    room = PIECE
+    with fs.open_input_stream(path, compression=None) as f:
+        while data := f.read(8 * PIECE):
+            if len(data) % 8:
+                raise GraphFormatError(f"{name} ends within a run")
+            for value, left in np.frombuffer(data, ">i4").reshape(-1, 2).tolist():
+                done += left
+                while left:
+                    take = min(left, room)
+                    held.append(np.full(take, value, np.int32))
+                    left, room = left - take, room - take
+                    if not room:
+                        yield np.concatenate(held)
+                        held, room = [], PIECE
+    if done != n:
+        raise GraphFormatError(f"{name} has {done} numbers, its header says {n}")
+    if held:
+        yield np.concatenate(held)
+
+
+def raw_numbers(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """(file, at, value) of files of 32-bit big-endian numbers whose names match a glob: what is in them, whatever they mean. Rest bytes are an error."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length")
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for uri, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if size % 4:
+                    raise GraphFormatError(f"{uri} has {size % 4} bytes over")
+                top, _, name = uri.rpartition("/")
+                at = 0
+                for x in numbers_in_pieces(top, name, size // 4):
+                    yield pa.record_batch([pa.array([name] * len(x)), pa.array(np.arange(at, at + len(x))), pa.array(x.astype(np.int64))], names=["file", "at", "value"])
+                    at += len(x)
+
+    return files.mapInArrow(load, "file string, at long, value long")
+
+
 def read_header(path: str, form: str) -> Header:
     return (Header.of_svcii if form == "svcii" else Header.of_hip)(read_bytes(path, INFO))
 
@@ -189,30 +241,27 @@ def read_graph(spark: SparkSession, path: str, form: str) -> Graph:
     else:
         units = [(i, -1, sum(head.counts[i])) for i in range(head.segments) if sum(head.counts[i])]
 
-    def numbers(name: str) -> np.ndarray:
-        return np.frombuffer(read_bytes(path, name), ">i4").astype(np.int64)
-
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, n in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                label = None
                 if form == "svcii":
-                    src, dst = numbers(f"src-{i}-{j}"), numbers(f"dest-{i}-{j}") + bases[j]
-                    label = numbers(f"label-{i}-{j}").astype(np.int32) if labelled else None
+                    names = [f"src-{i}-{j}", f"dest-{i}-{j}"] + [f"label-{i}-{j}"] * labelled
+                    ends = np.array([n])
+                    firsts = np.array([bases[j]])
                 else:
-                    src, dst = numbers(f"src-{i}"), numbers(f"dst-{i}")
-                    if head.forms[i] == HIP_COMPACT:
-                        src = np.repeat(src[::2], src[1::2])
-                    elif head.forms[i] != HIP_NORMAL:
+                    names = [f"src-{i}", f"dst-{i}"]
+                    ends, firsts = np.cumsum(head.counts[i]), np.array(bases)
+                    if head.forms[i] not in (HIP_NORMAL, HIP_COMPACT):
                         raise GraphFormatError(f"segment {i} has the unknown form {head.forms[i]}")
-                    dst = dst + np.repeat(np.array(bases), head.counts[i])
-                if len(src) != n or len(dst) != n:
-                    raise GraphFormatError(f"segment {i} has {len(src)} sources and {len(dst)} targets, its header says {n}")
-                for at in range(0, n, PIECE):
-                    cols = [pa.array(src[at : at + PIECE] + bases[i]), pa.array(dst[at : at + PIECE])]
-                    if labelled:
-                        cols.append(pa.array(label[at : at + PIECE]))
-                    yield pa.record_batch(cols, names=["src", "dst", "label"][: len(cols)])
+                compact = form == "hip" and head.forms[i] == HIP_COMPACT
+                sources = runs_in_pieces(path, names[0], n) if compact else numbers_in_pieces(path, names[0], n)
+                others = [numbers_in_pieces(path, x, n) for x in names[1:]]
+                at = 0
+                for src, dst, *label in zip(sources, *others, strict=True):
+                    target = np.searchsorted(ends, np.arange(at, at + len(dst)), side="right")
+                    cols = [pa.array(src.astype(np.int64) + bases[i]), pa.array(dst.astype(np.int64) + firsts[target])]
+                    yield pa.record_batch(cols + [pa.array(x.astype(np.int32)) for x in label], names=["src", "dst", "label"][: len(cols) + len(label)])
+                    at += len(dst)
 
     files = spark.createDataFrame(units, "i int, j int, n long").repartition(max(1, len(units)))
     root = None if head.root is None else bases[head.root[0]] + head.root[1]
@@ -237,8 +286,6 @@ def write_graph(graph: Graph, path: str, form: str, segments: int = 4, compact:
     spark = graph.spark
     fs, top = file_system(path)
     fs.create_dir(top, recursive=True)
-    from ..storage import stored
-
     places = stored(place(graph, segments, colocated, policy), "places")
     labelled = "label" in graph.edges.columns and form == "svcii"
     a = places.select(F.col("id").alias("src"), F.col("segment").alias("i"), F.col("offset").alias("a"))

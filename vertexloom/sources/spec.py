@@ -91,7 +91,8 @@ def load_graph(spark: SparkSession, form: str, spec: str, compat: bool = False)
     """The graph of a format ('svcii', 'svc-ii', 'hip', 'parquet': spec is a path) or a generator.
 
     compat takes specifications as the older tool read them: Uniform and DiscreteUniform change places,
-    RandomizedTree is seed:n, LatticeLooped is cols:rows, FastErdos and ApproximateErdos are n:trials:p.
+    RandomizedTree is seed:n, LatticeLooped is cols:rows, FastErdos and ApproximateErdos are n:trials:p, and
+    ordinary inputs of Petri nets gain when a rule fires.
     """
     name = form.lower()
     if name in ("svcii", "svc-ii", "hip"):
@@ -124,7 +125,7 @@ def load_graph(spark: SparkSession, form: str, spec: str, compat: bool = False)
         else:
             (n, p, seed) = fields(spec, (int, float, int))
             trials, p = n, p / n
-        return g.degree_distribution(spark, n, g.Degrees("binomial", trials, p), seed, distinct=name == "fasterdos")
+        return g.degree_distribution(spark, n, g.Degrees("binomial" if name == "fasterdos" else "nearly binomial", trials, p), seed, distinct=name == "fasterdos")
     if name in LAWS:
         law, kinds = LAWS[name]
         if compat and name in ("uniform", "discreteuniform"):
@@ -134,7 +135,7 @@ def load_graph(spark: SparkSession, form: str, spec: str, compat: bool = False)
     if name in ("petrinetstatespace", "biopetrinetstatespace"):
         largest, _, path = spec.partition(":")
         lines = [r.value for r in spark.read.text(path).toLocalIterator()]  # a net's rules
-        return PetriNet.parse(lines, int(largest), biological=name.startswith("bio")).graph(spark)
+        return PetriNet.parse(lines, int(largest), biological=name.startswith("bio"), compat=compat).graph(spark)
     raise g.GraphSpecError(f"unknown format or generator {form!r}")
 
 

@@ -25,7 +25,7 @@ def part_succession(spark: SparkSession, folder: str) -> Graph:
 
 def followers(spark: SparkSession, folder: str) -> DataFrame:
     """Every event with the user of the next one in time, by a join of row numbers: no task sees all events."""
-    rows = with_row_number(table(spark, folder, "events").select("ts", "event_id", F.col("user_id").alias("src"), "event_type", "value"), "ts", "event_id")
+    rows = with_row_number(table(spark, folder, "events").select("ts", "event_id", F.col("user_id").alias("src")), "ts", "event_id")
     ahead = rows.select((F.col("row") - 1).alias("row"), F.col("src").alias("dst"))
     return rows.join(ahead, "row")
 
@@ -35,10 +35,11 @@ def user_succession(spark: SparkSession, folder: str) -> Graph:
     return Graph.of_edges(followers(spark, folder).select("src", "dst"))
 
 
-def error_succession(spark: SparkSession, folder: str) -> Graph:
-    """The sparse part of it: distinct pairs behind an error event of a value over 100."""
-    rows = followers(spark, folder).filter("event_type = 'error' and value > 100")
-    return Graph.of_edges(rows.select("src", "dst").distinct())
+def outer_succession(spark: SparkSession, folder: str) -> Graph:
+    """A sparse graph of all users: distinct edges to the users who follow a user's first event and the last one."""
+    rows = followers(spark, folder)
+    ends = rows.groupBy("src").agg(F.min_by("dst", "row").alias("a"), F.max_by("dst", "row").alias("b"))
+    return Graph.of_edges(ends.select("src", F.explode(F.array_distinct(F.array("a", "b"))).alias("dst")))
 
 
 def customer_suppliers(spark: SparkSession, folder: str) -> Graph:
