@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-# Edges by graph: parts that follow one another, users that follow one another (a multigraph), its sparse part, a bipartite graph.
+# Edges by graph: parts that follow one another, users that follow one another (a multigraph), users to the ones behind their first and last event, a bipartite graph.
 PARTS = "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1"
-FOLLOW = "SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst, event_type, value FROM events"
+FOLLOW = "SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst, row_number() OVER (ORDER BY ts, event_id) AS k FROM events"
 USERS = f"SELECT src, dst FROM ({FOLLOW}) WHERE dst IS NOT NULL"
-ERRORS = f"SELECT DISTINCT src, dst FROM ({FOLLOW}) WHERE dst IS NOT NULL AND event_type = 'error' AND value > 100"
+OUTER = f"SELECT src, arg_min(dst, k) AS dst FROM ({FOLLOW}) WHERE dst IS NOT NULL GROUP BY src UNION SELECT src, arg_max(dst, k) FROM ({FOLLOW}) WHERE dst IS NOT NULL GROUP BY src"
 TRADE = "SELECT DISTINCT o.o_custkey AS src, l.l_suppkey + 1000000000 AS dst FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey"
 
 
@@ -21,10 +21,18 @@ def hops(edges: str, root: str, depth: int = 40) -> str:
 
 
 def closure(edges: str) -> str:
-    """CTEs down to c (id, comp): the least id of those mutually reachable."""
+    """CTEs down to c (id, comp): the least id of those mutually reachable.
+
+    What a vertex with many edges reaches and is reached by (g) is one component. It becomes one node (the
+    least id of it), and t is the closure over the nodes, which are few where g is large.
+    """
     return (
-        f"{ctes(edges)}, t AS (SELECT id AS s, id AS t FROM v UNION SELECT t.s, e.dst FROM t JOIN e ON e.src = t.t), "
-        "c AS MATERIALIZED (SELECT a.s AS id, min(a.t) AS comp FROM t a JOIN t b ON a.s = b.t AND a.t = b.s GROUP BY a.s)"
+        f"{ctes(edges)}, p AS MATERIALIZED (SELECT src AS id FROM e GROUP BY src ORDER BY count(*) DESC, src LIMIT 1), "
+        "f AS (SELECT id FROM p UNION SELECT e.dst FROM f JOIN e ON e.src = f.id), b AS (SELECT id FROM p UNION SELECT e.src FROM b JOIN e ON e.dst = b.id), "
+        "g AS MATERIALIZED (SELECT f.id FROM f JOIN b ON b.id = f.id), k AS MATERIALIZED (SELECT v.id, CASE WHEN g.id IS NULL THEN v.id ELSE (SELECT min(id) FROM g) END AS node FROM v LEFT JOIN g ON g.id = v.id), "
+        "r AS MATERIALIZED (SELECT DISTINCT a.node AS src, b.node AS dst FROM e JOIN k a ON a.id = e.src JOIN k b ON b.id = e.dst WHERE a.node <> b.node), "
+        "t AS (SELECT DISTINCT node AS s, node AS t FROM k UNION SELECT t.s, r.dst FROM t JOIN r ON r.src = t.t), "
+        "m AS MATERIALIZED (SELECT a.s AS node, min(a.t) AS comp FROM t a JOIN t b ON a.s = b.t AND a.t = b.s GROUP BY a.s), c AS MATERIALIZED (SELECT k.id, m.comp FROM k JOIN m ON m.node = k.node)"
     )
 
 

@@ -1,16 +1,22 @@
-"""Streams of edges: windowed degree counts with late data, and distances kept up to date as edges come."""
+"""Streams of edges: windowed degree counts with late data, and distances kept up to date as edges come.
+
+Edges with a null end are left out by distances; windowed degrees count them under their source (a null
+source is a row of its own), edges without a time are left out. Repeated edges count again in degrees, once in distances.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..operators.iterate import Layers, placed
 from ..operators.traversal import reach
+from ..storage import dropped
 
 
 def windowed_degrees(edges: DataFrame, time: str = "ts", width: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
-    """(window_start, id, degree): out-degrees by window of an edge stream (src, dst, time); later edges than the watermark are left out."""
+    """(window_start, id, degree): out-degrees by window of an edge stream (src, time, ...); later edges than the watermark are left out."""
     window = F.window(F.col(time), width, slide) if slide else F.window(F.col(time), width)
     counted = edges.withWatermark(time, late).groupBy(window.alias("w"), F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
     return counted.select(F.col("w.start").alias("window_start"), "id", "degree")
@@ -24,45 +30,63 @@ def distinct_edges(edges: DataFrame, time: str = "ts", late: str = "1 hour") ->
 class DistanceKeeper:
     """A foreachBatch sink that keeps (id, dist) from a root for all edges so far, as Parquet generations under a path.
 
-    A batch only relaxes what its edges shorten: distances go down by rounds over the vertices that
-    changed. Generation n is written whole before it is named, so a repeated batch gives the same result.
+    A batch writes its own edges and relaxes what they shorten: distances go down by rounds over the
+    vertices that changed. Generation n is the distances after batch n; a generation counts once it is
+    written whole. A batch starts from the latest one below it in the folder, so a new process goes on
+    where another ended, and a repeated batch gives the same result. The last two generations are kept.
     """
 
     def __init__(self, root: int, path: str):
-        self.root, self.path, self.generation = root, path, -1
-
-    def state(self, spark, generation: int) -> tuple[DataFrame, DataFrame]:
-        base = f"{self.path}/{generation}"
-        return spark.read.parquet(f"{base}/dist"), spark.read.parquet(f"{base}/edges")
+        self.root, self.path = root, path.rstrip("/")
+
+    def generations(self, spark: SparkSession) -> list[int]:
+        """Whole generations in the folder, ascending."""
+        base = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/dist")
+        fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(base):
+            return []
+        found = (int(x.getPath().getName().partition("=")[2]) for x in fs.listStatus(base))
+        return sorted(n for n in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/dist/batch={n}/_SUCCESS")))
+
+    def distances(self, spark: SparkSession, generation: int | None = None) -> DataFrame:
+        """(id, dist) of a generation, or of the latest."""
+        known = self.generations(spark)
+        if not known:
+            return spark.createDataFrame([(self.root, 0)], "id long, dist int")
+        return spark.read.schema("id long, dist int").parquet(f"{self.path}/dist/batch={known[-1] if generation is None else generation}")
+
+    def edges(self, spark: SparkSession, upto: int) -> DataFrame:
+        """(src, dst) of all batches up to one."""
+        return spark.read.schema("src long, dst long, batch long").option("basePath", f"{self.path}/edges").parquet(f"{self.path}/edges").filter(F.col("batch") <= upto).select("src", "dst")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = batch.select("src", "dst").distinct()
-        if batch_id == 0 or self.generation < 0:
-            edges, dist = new, spark.createDataFrame([(self.root, 0)], "id long, dist int")
-        else:
-            dist, edges = self.state(spark, self.generation)
-            edges = edges.union(new).distinct()
-        base = f"{self.path}/{batch_id}"
-        edges.write.mode("overwrite").parquet(f"{base}/edges")
-        edges = spark.read.parquet(f"{base}/edges")
-        improve(dist, edges, new).write.mode("overwrite").parquet(f"{base}/dist")
-        self.generation = batch_id
+        known = [n for n in self.generations(spark) if n < batch_id]
+        dist = self.distances(spark, known[-1]) if known else spark.createDataFrame([(self.root, 0)], "id long, dist int")
+        new = batch.filter("src is not null and dst is not null").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct()
+        new.write.mode("overwrite").parquet(f"{self.path}/edges/batch={batch_id}")
+        new = spark.read.schema("src long, dst long").parquet(f"{self.path}/edges/batch={batch_id}")
+        improve(dist, self.edges(spark, batch_id), new).write.mode("overwrite").parquet(f"{self.path}/dist/batch={batch_id}")
+        for old in known[:-1]:
+            dropped(spark, f"{self.path}/dist/batch={old}")
 
 
 def improve(dist: DataFrame, edges: DataFrame, new: DataFrame) -> DataFrame:
-    """(id, dist) after new edges: a frontier of shortened vertices is passed on until none is left."""
-    from ..storage import stored
-
-    state = stored(dist.select("id", "dist"), "dist")
-    frontier = state.join(new.select(F.col("src").alias("id")).distinct(), "id", "left_semi")
-    over = new
-    while True:
-        offers = frontier.join(over, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg((F.min("dist") + 1).alias("offer"))
-        both = stored(state.join(offers, "id", "full_outer").select("id", F.least("dist", "offer").alias("dist"), (F.col("dist").isNull() | (F.col("offer") < F.col("dist"))).alias("moved")), "dist")
-        state, frontier, over = both.select("id", "dist"), both.filter("moved").select("id", "dist"), edges
-        if frontier.isEmpty():
-            return state
+    """(id, dist) after new edges: a frontier of shortened vertices is passed on until none is left. Rounds write only what changed."""
+    spark = dist.sparkSession
+    with placed(edges) as near, Layers(spark, "improve", {"dist": F.min}) as state:
+        state.add(dist.select("id", "dist"))
+
+        def better(offers: DataFrame) -> DataFrame:
+            least = offers.groupBy("id").agg(F.min("dist").alias("dist"))
+            now = state.whole().select("id", F.col("dist").alias("old"))
+            return least.join(now, "id", "left").filter("old is null or dist < old").select("id", "dist")
+
+        first = state.whole().join(new, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("dist") + 1).alias("dist"))
+        frontier, rows = state.add(better(first))
+        while rows:
+            frontier, rows = state.add(better(near.follow(frontier).select(F.col("dst").alias("id"), (F.col("dist") + 1).alias("dist"))))
+        return state.result()
 
 
 def distances(graph: Graph, root: int) -> DataFrame:
