@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import fresh, shared_dir
+from ..storage import dropped, file_system, fresh, shared_dir, stored_at
 
-__all__ = ["file_system", "fresh", "shared_dir", "stored", "table", "text_or_empty", "tidied", "tokenizer_path"]
+__all__ = ["Scratch", "file_system", "fresh", "shared_dir", "stored", "table", "text_or_empty", "tidied", "tokenizer_path"]
 
 
 def tidy() -> None:
@@ -40,10 +40,21 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
 
 def stored(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh(spark, tag)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored_at(df, fresh(df.sparkSession, tag), codec)
+
+
+class Scratch:
+    """Stored tables that are deleted together, once what is made of them has been stored elsewhere."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.root, self.number = spark, fresh(spark, tag), 0
+
+    def stored(self, df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+        self.number += 1
+        return stored_at(df, f"{self.root}/{self.number}-{tag}", codec)
+
+    def drop(self) -> None:
+        dropped(self.spark, self.root)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,15 +65,6 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def file_system(uri: str):
-    """(pyarrow file system, path in it) of a folder of any scheme that pyarrow knows."""
-    from pyarrow import fs
-
-    if "://" not in uri:
-        uri = f"file://{uri.removeprefix('file:')}"
-    return fs.FileSystem.from_uri(uri)
-
-
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from ..storage import dropped, fresh, stored_at
 
 MAX_ROUNDS = 60
 
@@ -38,16 +38,25 @@ def state(links: DataFrame) -> tuple:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable, for each node that has a link. links: (a long, b long)."""
+    """(node, component): the smallest node reachable, for each node that has a link. links: (a long, b long).
+
+    A link with a null end or to itself is none; repeated links are one. Without links the result is
+    empty. Of the rounds' tables only the last is kept.
+    """
+    spark = links.sparkSession
     clean = links.filter("a is not null and b is not null and a <> b")
-    now = stored(clean.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    path = fresh(spark, "links")
+    now = stored_at(clean.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), path, "zstd")
     last = state(now)
-    for _ in range(MAX_ROUNDS):
-        now = stored(small_star(large_star(now)), "links")
-        new = state(now)
+    for _ in range(MAX_ROUNDS if last[0] else 0):
+        new_path = fresh(spark, "links")
+        now = stored_at(small_star(large_star(now)), new_path, "zstd")
+        dropped(spark, path)
+        path, new = new_path, state(now)
         if new == last:
             break
         last = new
     else:
-        raise RuntimeError("components did not settle")
+        if last[0]:
+            raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())

@@ -1,19 +1,23 @@
-"""Groups of near copies by exact resemblance of word shingles, found through shared prefixes.
+"""Groups of near copies: SimHash proposes, exact resemblance of word shingles decides, shared prefixes find the rest.
 
 A text stands for the set of hashes of its shingles (five lower-cased words; a text of fewer words is one
-shingle). Two sets with a Jaccard index of 4/5 or more share one of their first n - ceil(4n/5) + 1
-members in any order that holds for all sets, so each set goes to a bucket for each of these. The order
-puts first what a sample holds seldom; it changes the work, never the result. Lengths and the counts of hashes
-by their low bits rule out pairs that cannot reach 4/5, and the sets themselves decide.
-
-A small bucket makes all its pairs, a large one a few for each member. Each set is first held against its nearest
-candidate alone; then all candidates that this leaves in different groups, and in large buckets all pairs across groups,
-dealt out in cells of bounded size. So a group of n near copies doesn't make its pairs, and no link between groups is lost.
-Groups are the components of the links. Only texts of candidates move for the last check: a bitmap drops most others
-before the shuffle.
-
-Nulls: a null text is empty; texts without words are alike. Rows with a null doc_id take no part. Empty tables give
-an empty result.
+shingle); two texts are linked at a Jaccard index of 4/5 or more. At that index, fingerprints of 64 bits differ in ten
+bits in the mean, which no index by Hamming distance can search in full. So the links of the SimHash
+index (within three bits) are proposals, and the rest comes from prefixes: sets that reach 4/5 share one
+of their first n - ceil(4n/5) + 1 members in any order that holds for all sets, so each set goes to a
+bucket for each of these. The order puts first what a sample holds seldom; it changes the work, never the
+result. Lengths and counts of hashes by their low bits rule out pairs that cannot reach 4/5, and the sets themselves decide.
+
+A small bucket makes all its pairs. In a large one, sorted by the Gray rank of the (rotated) fingerprints,
+each member is paired with the nearest of the next few. Each set is first held against its nearest
+candidate alone, then against those that this leaves in other groups; then, in large buckets,
+what is outside of the largest group is held against all other groups, dealt out in cells of bounded size. So a group of n near copies doesn't
+make its pairs, and no link between groups is lost. Groups are the components of the links. Only texts of
+candidates move for a check: a bitmap drops most others before the shuffle.
+
+Nulls: a null text is empty; texts without words are alike. Rows with a null doc_id take no part. Repeated rows and
+unlike texts under one doc_id: a row is told by (doc_id, hash of its text), and repeated rows are one. Empty tables give
+an empty result. Further columns are left aside.
 """
 
 from __future__ import annotations
@@ -28,14 +32,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import sketch
-from .common import stored, text_or_empty, tidied
+from . import simhash, sketch
+from .common import Scratch, stored, text_or_empty, tidied
 from .components import components
 
 SAMPLE = 64
 COMMON = 50_000
 SMALL = 16
-AHEAD = 4
+AHEAD = 8
 CELL = 2048
 COUNTS = 64
 BITMAP = 1 << 24
@@ -83,6 +87,11 @@ def sets_of(batch: pa.RecordBatch, column: int) -> list[np.ndarray]:
     return shingle_sets([x.as_py().encode() for x in batch.column(column)])
 
 
+def bits_of(hashes: np.ndarray) -> int:
+    """SimHash fingerprint of a set of shingle hashes, as a signed number."""
+    return simhash.signed(simhash.majority(simhash.bit_counts(hashes), len(hashes))) if len(hashes) else 0
+
+
 def common_shingles(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """(hashes in ascending order, times): of a sample of texts, the commonest COMMON shingles that at least three distinct ones hold."""
 
@@ -100,7 +109,7 @@ def common_shingles(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray,
 
 
 def marked_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie, key, n, counts, fine, prefix) of every row of docs (doc_id, tie, text)."""
+    """(doc_id, tie, key, n, bits, counts, fine, prefix) of every row of docs (doc_id, tie, text)."""
     common, times = common_shingles(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,13 +120,14 @@ def marked_rows(docs: DataFrame) -> DataFrame:
                 b.column(1),
                 pa.array([set_key(s) for s in sets], pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([bits_of(s) for s in sets], pa.int64()),
                 pa.array([low_counts(s) for s in sets], pa.binary()),
                 pa.array([fine_counts(s) for s in sets], pa.binary()),
                 pa.array([prefix(s, common, times).view(np.int64) for s in sets], pa.list_(pa.int64())),
             ]
-            yield pa.record_batch(cols, names=["doc_id", "tie", "key", "n", "counts", "fine", "prefix"])
+            yield pa.record_batch(cols, names=["doc_id", "tie", "key", "n", "bits", "counts", "fine", "prefix"])
 
-    return docs.select("doc_id", "tie", "text").mapInArrow(tidied(run), "doc_id long, tie long, key long, n long, counts binary, fine binary, prefix array<long>")
+    return docs.select("doc_id", "tie", "text").mapInArrow(tidied(run), "doc_id long, tie long, key long, n long, bits long, counts binary, fine binary, prefix array<long>")
 
 
 def runs(batches: Iterator[pa.RecordBatch], columns: int, least: int = 1 << 15) -> Iterator[pa.RecordBatch]:
@@ -141,26 +151,44 @@ def runs(batches: Iterator[pa.RecordBatch], columns: int, least: int = 1 << 15)
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def neighbours(token: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row (sorted by token) the one that differs least in bits among the next AHEAD of its token in Gray order, all bits rotated by the token."""
+    turn = (token % 64).astype(np.uint64)
+    code = bits.view(np.uint64)
+    order = np.lexsort((simhash.gray_rank(code << turn | code >> (np.uint64(63) - turn) >> np.uint64(1)), token))
+    t, c = token[order], code[order]
+    best, to = np.full(len(order), 65), np.full(len(order), -1)
+    for k in range(1, min(AHEAD, len(order) - 1) + 1):
+        apart = np.bitwise_count(c[k:] ^ c[:-k]).astype(np.int64)
+        apart[t[k:] != t[:-k]] = 65
+        at = np.flatnonzero(apart < best[:-k])
+        best[at], to[at] = apart[at], at + k
+    have = np.flatnonzero(to >= 0)
+    return order[have], order[to[have]]
+
+
 def first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, token): pairs of the buckets (token, n, key); a row without b is a member of a large bucket."""
+    """(a, b, token): pairs of the buckets (token, n, key, bits); a row without b is a member of a large bucket."""
     for whole in runs(batches, 1):
-        token, n, key = (whole.column(i).to_numpy() for i in range(3))
+        token, n, key, bits = (whole.column(i).to_numpy() for i in range(4))
         start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.append(start, len(token)))
         first, many = np.repeat(start, size), np.repeat(size, size)
         at = np.arange(len(token))
         left, right = [], []
         for k in range(1, SMALL):
-            ok = (at + k < first + many) & ((many <= SMALL) | (k <= AHEAD))
+            ok = (at + k < first + many) & (many <= SMALL)
             left.append(at[ok])
             right.append(at[ok] + k)
-        middle = first + many // 2  # large buckets: all with the one of middle length
-        ok = (many > SMALL) & (at != middle)
-        a, b = np.concatenate([*left, at[ok]]), np.concatenate([*right, middle[ok]])
+        large = np.flatnonzero(many > SMALL)
+        if len(large):
+            i, j = neighbours(token[large], bits[large])
+            left.append(large[i])
+            right.append(large[j])
+        a, b = np.concatenate(left), np.concatenate(right)
         near = 5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])
         pairs = np.unique(np.stack([np.minimum(key[a], key[b])[near], np.maximum(key[a], key[b])[near]]), axis=1)
-        large = many > SMALL
-        gone = np.concatenate([np.zeros(pairs.shape[1], bool), np.ones(int(large.sum()), bool)])
+        gone = np.concatenate([np.zeros(pairs.shape[1], bool), np.ones(len(large), bool)])
         cols = [
             pa.array(np.concatenate([pairs[0], key[large]])),
             pa.array(np.concatenate([pairs[1], key[large]]), mask=gone),
@@ -186,18 +214,19 @@ def cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = (token[1:] != token[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
         edges = np.concatenate([[0], np.flatnonzero(new) + 1, [len(token)]])
         for lo, hi in zip(edges, edges[1:]):
-            at = lo
-            while at < hi:
-                end = min(hi, at + 32)
-                far = int(np.searchsorted(n[at:hi], 5 * n[end - 1] // 4, side="right")) + at  # sorted by n
-                apart = np.abs(counts[at:end, None] - counts[None, at:far]).sum(axis=2, dtype=np.int64)
-                ok = possible(n[at:end, None], n[None, at:far], apart) & (label[at:end, None] != label[None, at:far])
+            kinds, where, many = np.unique(label[lo:hi], return_inverse=True, return_counts=True)
+            beside = np.flatnonzero(where != np.argmax(many)) + lo  # pairs within the largest group are none
+            for at in range(0, len(beside), 32):
+                some = beside[at : at + 32]
+                a = int(np.searchsorted(n[lo:hi], -(-4 * n[some[0]] // 5))) + lo  # sorted by n
+                z = int(np.searchsorted(n[lo:hi], 5 * n[some[-1]] // 4, side="right")) + lo
+                apart = np.abs(counts[some, None] - counts[None, a:z]).sum(axis=2, dtype=np.int64)
+                ok = possible(n[some, None], n[None, a:z], apart) & (label[some, None] != label[None, a:z])
                 i, j = np.nonzero(ok)
-                a, b = key[at + i], key[at + j]
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                p, q = key[some[i]], key[a + j]
+                pairs = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)]), axis=1)
                 if pairs.shape[1]:
                     yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-                at = end
 
 
 def by_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,11 +247,11 @@ def by_fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), b.column(1), pa.array(apart)], names=["a", "b", "apart"]).filter(ok)
 
 
-def narrowed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def narrowed(pairs: DataFrame, nodes: DataFrame, put) -> DataFrame:
     """The distinct pairs (a, b) that may reach 4/5 by their fine counts, and how far apart they are at least."""
     a, b = nodes.select("key", "n", "fine").toDF("a", "na", "fa"), nodes.select("key", "n", "fine").toDF("b", "nb", "fb")
     both = pairs.distinct().join(a, "a").join(b, "b").select("a", "b", "na", "nb", "fa", "fb")
-    return stored(both.mapInArrow(tidied(by_fine), "a long, b long, apart long"), "pairs")
+    return put(both.mapInArrow(tidied(by_fine), "a long, b long, apart long"), "pairs")
 
 
 def by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,10 +273,10 @@ def bitmap(keys: DataFrame, h: Column) -> np.ndarray:
     return out
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, put) -> DataFrame:
     """The pairs (a, b) of keys whose sets reach 4/5; docs are (doc_id, tie, text)."""
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    wanted = stored(ends.join(nodes.select("key", "doc_id", "tie"), "key"), "wanted")
+    wanted = put(ends.join(nodes.select("key", "doc_id", "tie"), "key"), "wanted")
     h = F.xxhash64("doc_id", "tie")
     held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, h))  # BITMAP / 8 bytes
 
@@ -256,44 +285,66 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
         return pd.Series((held.value[bit >> 6] >> (bit & 63)) & 1 == 1)
 
     some = docs.filter(F.pandas_udf(maybe, "boolean")(h))
-    texts = stored(some.join(wanted, ["doc_id", "tie"]).select("key", "text"), "texts")
+    own = Scratch(docs.sparkSession, "texts")
+    texts = own.stored(some.join(wanted, ["doc_id", "tie"]).select("key", "text"), "texts")
     if texts.count() > wanted.count():  # repeated rows
         texts = texts.dropDuplicates(["key"])
     a, b = texts.toDF("a", "ta"), texts.toDF("b", "tb")
-    return stored(pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(tidied(by_sets), "a long, b long"), "links")
+    links = put(pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(tidied(by_sets), "a long, b long"), "links")
+    own.drop()
+    return links
+
+
+def proposals(nodes: DataFrame, put) -> DataFrame:
+    """Pairs (a, b) by SimHash: equal fingerprints, and links of the Gray-order index."""
+    codes = put(nodes.groupBy("bits").agg(F.min("key").alias("node")), "codes")
+    same = nodes.join(codes, "bits").filter("key <> node").select(F.col("node").alias("a"), F.col("key").alias("b"))
+    index = simhash.links(codes, put=put)
+    both = same.union(index)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def apart_from(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different groups."""
+    la, lb = label.toDF("a", "la"), label.toDF("b", "lb")
+    return pairs.join(la, "a", "left").join(lb, "b", "left").filter("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, tie, component) of every row with a doc_id; tie is the hash of the text, component names the group."""
+    scratch = Scratch(docs.sparkSession, "likeness")
+    put = scratch.stored
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).filter("doc_id is not null")
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    marked = stored(marked_rows(rows), "likeness")
-    nodes = stored(marked.dropDuplicates(["key"]), "nodes")  # any row of a set stands for it
-    entries = nodes.select(F.explode("prefix").alias("token"), "n", "key").repartition("token").sortWithinPartitions("token", "n", "key")
-    found = stored(entries.mapInArrow(tidied(first_pairs), "a long, b long, token long"), "found")
+    marked = put(marked_rows(rows), "marked")
+    nodes = put(marked.dropDuplicates(["key"]), "nodes")  # any row of a set stands for it
+    entries = nodes.select(F.explode("prefix").alias("token"), "n", "key", "bits").repartition("token").sortWithinPartitions("token", "n", "key")
+    found = put(entries.mapInArrow(tidied(first_pairs), "a long, b long, token long"), "found")
     short = nodes.select("key", "n", "counts")
     a, b = short.toDF("a", "na", "ca"), short.toDF("b", "nb", "cb")
-    both = found.filter("b is not null").select("a", "b").distinct().join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ca", "cb")
-    pairs = narrowed(both.mapInArrow(tidied(by_counts), "a long, b long"), nodes)
+    both = found.filter("b is not null").select("a", "b").union(proposals(nodes, put)).distinct().join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ca", "cb")
+    pairs = narrowed(both.mapInArrow(tidied(by_counts), "a long, b long"), nodes, put)
 
     ways = pairs.select("a", "b", "apart").union(pairs.select("b", "a", "apart"))
     nearest = ways.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("to")).select("a", F.col("to.b").alias("b"))
     nearest = nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = verified(stored(nearest, "nearest"), nodes, rows)
-
-    label = stored(components(links).toDF("key", "label"), "labels")
-    la, lb = label.toDF("a", "la"), label.toDF("b", "lb")
-    rest = pairs.join(la, "a", "left").join(lb, "b", "left").filter("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
-    far = across(found.filter("b is null").select("token", F.col("a").alias("key")), label, short)
-    rest = rest.union(narrowed(far, nodes).select("a", "b"))
-    links = links.union(verified(stored(rest.distinct(), "rest"), nodes, rows))
+    links = verified(put(nearest, "nearest"), nodes, rows, put)
+    label = components(links).toDF("key", "label")
+    rest = put(apart_from(pairs, label), "rest")
+    links = links.union(verified(rest, nodes, rows, put))
+    label = put(components(links).toDF("key", "label"), "labels")
+    far = narrowed(across(found.filter("b is null").select("token", F.col("a").alias("key")), label, short, put), nodes, put).select("a", "b")
+    if not far.isEmpty():
+        links = links.union(verified(far, nodes, rows, put))
     label = components(links).toDF("key", "component")
-    return marked.select("doc_id", "tie", "key").join(label, "key", "left").select("doc_id", "tie", F.coalesce("component", "key").alias("component"))
+    out = stored(marked.select("doc_id", "tie", "key").join(label, "key", "left").select("doc_id", "tie", F.coalesce("component", "key").alias("component")), "groups")
+    scratch.drop()
+    return out
 
 
-def across(large: DataFrame, label: DataFrame, short: DataFrame) -> DataFrame:
+def across(large: DataFrame, label: DataFrame, short: DataFrame, put) -> DataFrame:
     """Pairs (a, b) of keys across groups within the large buckets (token, key) that may reach 4/5."""
-    named = stored(large.join(label, "key", "left").select("token", "key", F.coalesce("label", "key").alias("label")), "large")
+    named = put(large.join(label, "key", "left").select("token", "key", F.coalesce("label", "key").alias("label")), "large")
     split = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("many")).filter("lo <> hi")
     rows = named.join(split.select("token", F.ceil(F.col("many") / CELL).cast("int").alias("cells")), "token").join(short, "key")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))

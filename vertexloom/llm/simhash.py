@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty, tidied
+from .common import Scratch, stored, text_or_empty, tidied
 from .components import components
 
 SEED = 42
@@ -55,8 +55,17 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     counts = np.zeros(BITS, np.int64)
     for at in range(0, n, 1 << 16):
         a, z = starts[at : min(n, at + (1 << 16))].tolist(), last[at : at + (1 << 16)].tolist()
-        hashes = np.array([h(flat[i:j], SEED) for i, j in zip(a, z, strict=True)], dtype=">u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
+        counts += bit_counts(np.array([h(flat[i:j], SEED) for i, j in zip(a, z, strict=True)], np.uint64))
+    return majority(counts, n)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set, the highest bit first."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32).astype(np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The fingerprint of n hashes by their bits' counts."""
     return int.from_bytes(np.packbits(2 * counts > n).tobytes())
 
 
@@ -176,8 +185,8 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:
-    """Links (a, b) between the ids of nodes (bits, node) that connect all bits within the distance. bits are distinct."""
+def links(nodes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, depth: int = DEPTH, put=stored) -> DataFrame:
+    """Links (a, b) between the ids of nodes (bits, node) that connect all bits within the distance. bits are distinct. put stores a table."""
     spark = nodes.sparkSession
     blocks = distance + 1
     masks, found = [0], []
@@ -191,7 +200,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, dept
             dealt = rows.withColumn("child", F.explode(F.array(*[F.lit(c) for _, c in pairs])))
         dealt = dealt.select(F.col("child").alias("mask"), F.col("bits").bitwiseAND(F.col("child")).alias("value"), "bits", "node")
         sizes = dealt.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        sized = stored(dealt.join(sizes, ["mask", "value"]), "buckets")
+        sized = put(dealt.join(sizes, ["mask", "value"]), "buckets")
         last = level == depth - 1
         found.append(sized if last else sized.filter(F.col("n") <= bucket))
         rows = sized.filter(F.col("n") > bucket).select("mask", "bits", "node")
@@ -236,6 +245,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = DISTANCE, b
     """(doc_id, bits long, component_id long) of every row."""
     marked = stored(fingerprints(docs, words), "simhash")
     nodes = stored(marked.groupBy("bits").agg(F.min("doc_id").alias("node")), "nodes")
-    linked = components(links(nodes.filter("node is not null"), distance, bucket))
+    scratch = Scratch(docs.sparkSession, "simhash")
+    linked = components(links(nodes.filter("node is not null"), distance, bucket, put=scratch.stored))
+    scratch.drop()
     named = nodes.join(linked, "node", "left").select("bits", F.coalesce("component", "node").alias("component_id"))
     return marked.join(named, "bits").select("doc_id", "bits", "component_id")
