@@ -166,6 +166,11 @@ def anchor_hashes(padded: np.ndarray, anchor: np.ndarray, k: int) -> np.ndarray:
     return x >> np.uint64(64 - HASH_BITS)
 
 
+def anchor_bytes(length: int) -> int:
+    """Bytes of the strings among which a window of `length` bytes has its anchor."""
+    return max(8, length // 2 + 1)
+
+
 class Chunk:
     """Documents of a chunk, and its stretches."""
 
@@ -176,7 +181,7 @@ class Chunk:
         self.ends = np.cumsum(self.sizes)
         self.padded = np.frombuffer(unsqueeze(text) + bytes(length + 32), np.uint8)
         self.data = self.padded[: int(self.ends[-1])]
-        self.length, self.k = length, max(8, length // 2 + 1)
+        self.length, self.k = length, anchor_bytes(length)
         self.anchor, self.first, self.last, self.doc = stretches(self.data, self.ends, length, self.k)
         self.hash = anchor_hashes(self.padded, self.anchor, self.k)
 
@@ -384,7 +389,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK, carr
             least = np.concatenate([np.frombuffer(x[: 8 * n], np.int64) for x, n in zip(bodies, ns, strict=True)])
             words = np.concatenate([np.frombuffer(x[8 * n :], ">u8").reshape(n, -1) for x, n in zip(bodies, ns, strict=True)]).astype(np.uint64)
             del bodies
-            masks = window_masks(words, least, length)
+            masks = window_masks(words, least, length)  # a row of words for each item
             edges = np.cumsum([0, *ns])
             yield answer_batch([(r["chunk"], bucket, squeeze(masks[a:z].tobytes())) for r, a, z in zip(rows, edges, edges[1:])])
 
@@ -398,8 +403,13 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK, carr
     return known.join(stored(windows, "windows"), "chunk", "left").withColumn("buckets", F.lit(buckets))
 
 
+def mask_words(length: int) -> int:
+    """32-bit words that hold a bit for each window of a stretch."""
+    return -(-(length - anchor_bytes(length) + 1) // 32)
+
+
 def window_masks(words: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
-    """For each item, a bit for each window that also starts in a smaller document. Equal stretches are sorted once."""
+    """For each item, a bit for each window that also starts in a smaller document, in mask_words words. Equal stretches are sorted once."""
     digest = np.zeros(len(words), np.uint64)
     for i in range(words.shape[1]):
         digest = mix64((digest + np.uint64(i + 1)) * np.uint64(0x9E3779B97F4A7C15) + words[:, i])
@@ -414,11 +424,11 @@ def window_masks(words: np.ndarray, least: np.ndarray, length: int) -> np.ndarra
     best = radix_groups(words[heads, :-1], many, least[heads], length)
     start = np.cumsum(many) - many
     # a window's bit for an item: the least document of its equals is smaller than the item's own
-    masks = np.zeros(len(words), np.uint32)
+    masks = np.zeros((len(words), mask_words(length)), np.uint32)
     own_many, own_start = many[kind], start[kind]
     for j in range(int(many.max())):
         has = np.flatnonzero(own_many > j)
-        masks[has] |= (best[own_start[has] + j] < least[has]).astype(np.uint32) << np.uint32(j)
+        masks[has, j // 32] |= (best[own_start[has] + j] < least[has]).astype(np.uint32) << np.uint32(j % 32)
     return masks
 
 
@@ -449,14 +459,14 @@ def removed(r: dict, length: int) -> tuple[Chunk, np.ndarray]:
         item, heads, least = c.items(here)
         own = here[heads]
         edges = bucket_edges(c.hash[own], r["buckets"])
-        masks = np.zeros(len(own), np.uint32)
+        masks = np.zeros((len(own), mask_words(length)), np.uint32)
         for b, body in answers_of(r["windows"]).items():
-            masks[edges[b] : edges[b + 1]] = np.frombuffer(unsqueeze(body), np.uint32)
+            masks[edges[b] : edges[b + 1]] = np.frombuffer(unsqueeze(body), np.uint32).reshape(-1, masks.shape[1])
         many = c.last[here] - c.first[here] + 1
         mask = masks[item]
         later = c.key[c.doc[here]] > least[item]  # the same stretch in a smaller document of the chunk
         for j in range(int(many.max())):
-            hit = np.flatnonzero((many > j) & (later | ((mask >> np.uint32(j)) & 1 == 1)))
+            hit = np.flatnonzero((many > j) & (later | ((mask[:, j // 32] >> np.uint32(j % 32)) & 1 == 1)))
             start = c.first[here[hit]] + j
             np.add.at(cover, start, 1)
             np.add.at(cover, start + length, -1)
