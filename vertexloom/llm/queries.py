@@ -69,8 +69,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import held_out, predict, train
 
     docs = table(spark, sf_dir, "documents")
-    langs, weights = train(docs, ~held_out())
-    return predict(docs.select("doc_id", "text"), langs, weights).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict(docs.select("doc_id", "text"), *train(docs, ~held_out())).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
