@@ -11,8 +11,10 @@ The labelled pages are made by `labelled_pages`: layouts of known structure with
 which an attribute marks the article and what in it is no part of it.
 
 Nulls: a null or empty page, and one without an article, has an empty text; a null url or page_id is
-kept. Repeated rows each get their text. Unclosed elements, tags and comments end with the page. Empty
-tables give an empty result. Further columns are left aside.
+kept. Repeated rows each get their text. Unclosed comments and raw elements (script, style, title and their like) end with
+the page, other unclosed elements with their parent, a head at the first tag that cannot stand in it; a quote
+that is never closed is a character like others, and a tag that is never closed ends the page. Parsing takes time in proportion to the
+page, whatever its tags. Empty tables give an empty result. Further columns are left aside.
 """
 
 from __future__ import annotations
@@ -35,14 +37,17 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED_TAGS = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "select", "textarea", "button", "title", "head")
-RAW_TAGS = frozenset(DROPPED_TAGS)
+# Elements whose content is raw text, those of the head, and others whose content is no text of the page.
+RAW_TAGS = frozenset("script style title textarea iframe noscript noembed noframes xmp".split())
+HEAD_TAGS = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
+DROPPED_TAGS = frozenset("template svg object canvas audio video select button".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 BARRIERS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<]*\Z", re.S)
-RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>" if t != "head" else r"</head(?=[\s/>])[^>]*>|(?=<body[\s>])", re.I) for t in RAW_TAGS}
+OPENING = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)|<[!?/]")
+TAG_MARK = re.compile(r"[>\"']")
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW_TAGS}
 NAMES = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 LABEL = re.compile(r"data-label\s*=\s*\"(\w+)\"")
 PIECE = re.compile(r"[A-Za-z]+?(?=[A-Z][a-z]|[^A-Za-z]|\Z)")
@@ -67,10 +72,56 @@ class Node:
         self.links = self.chars = self.marks = self.linked = 0
 
 
+class Scanner:
+    """Tags of a page in order. Each character is looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.unclosed = page, set()
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag that is open at `at` ends: behind its `>`, which no quotes hold; -1 if it never does."""
+        page = self.page
+        while m := TAG_MARK.search(page, at):
+            at, mark = m.end(), m[0]
+            if mark == ">":
+                return at
+            if mark not in self.unclosed:
+                close = page.find(mark, at)
+                if close < 0:
+                    self.unclosed.add(mark)  # nor is there one behind later quotes
+                else:
+                    at = close + 1
+        return -1
+
+    def __iter__(self) -> Iterator[tuple[str, str, str, str]]:
+        """(text before, "/" or "", tag in lower case, attributes); the last one has no tag."""
+        page, at, begin = self.page, 0, 0
+        while m := OPENING.search(page, at):
+            if m[2] is None:
+                close = page.find("-->", m.end()) if m[0] == "<!--" else page.find(">", m.end())
+                yield page[begin : m.start()], "", "", ""
+                at = begin = len(page) if close < 0 else close + (3 if m[0] == "<!--" else 1)
+                continue
+            end = self.tag_end(m.end())
+            yield page[begin : m.start()], m[1], m[2].lower() if end >= 0 else "", page[m.end() : end - 1]
+            if end < 0:
+                return
+            at = begin = end
+            tag = m[2].lower()
+            if not m[1] and tag in RAW_TAGS and page[end - 2] != "/":
+                close = RAW_END[tag].search(page, end)
+                at = begin = self.tag_end(close.end()) if close else len(page)
+                if at < 0:
+                    return
+        yield page[begin:], "", "", ""
+
+
 def parse(page: str) -> list[Node]:
     """Nodes in page order, the root first; runs of text are nodes with the tag '#' and that of their element."""
     nodes = [Node("html", "", -1, None)]
-    stack, run, linked, in_link, at = [0], [], 0, 0, 0
+    stack, run, linked, in_link = [0], [], 0, 0
+    places: dict[str, list[int]] = {}  # of open elements in the stack, by tag
+    hidden, depth, head = "", 0, False
 
     def close_run() -> None:
         nonlocal linked
@@ -85,26 +136,41 @@ def parse(page: str) -> list[Node]:
                 nodes.append(n)
             linked = 0
 
-    while at < len(page):
-        m = TOKEN.search(page, at)
-        piece = page[at : m.start() if m else len(page)]
-        if piece:
+    def close_to(level: int) -> None:
+        while len(stack) > level:
+            places[nodes[stack.pop()].tag].pop()
+
+    def last(tags: tuple[str, ...]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+    for piece, slash, tag, attrs in Scanner(page):
+        if piece and not hidden and not head:
             piece = unescape(piece) if "&" in piece else piece
             run.append(piece)
             if in_link:
                 linked += len(piece)
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
+        if not tag:
             continue
-        tag, attrs = m[2].lower(), m[3]
-        if not m[1]:
-            if tag in RAW_TAGS and not attrs.endswith("/"):
-                end = RAW_END[tag].search(page, at)
-                at = end.end() if end else len(page)
+        if head:
+            head = tag in HEAD_TAGS and not (slash and tag == "head")
+            if head or tag == "head":
+                continue
+        if hidden:
+            if tag == hidden:
+                depth += -1 if slash else 0 if attrs.endswith("/") else 1
+                if not depth:
+                    hidden = ""
+                continue
+            if not (slash and places.get(tag)):  # the end of what the hidden element is in ends it as well
                 continue
-            if tag == "a":
+            hidden = ""
+        if not slash:
+            if tag in DROPPED_TAGS:
+                if not attrs.endswith("/"):
+                    hidden, depth = tag, 1
+            elif tag == "head":
+                head = True
+            elif tag == "a":
                 in_link += 1
             elif tag == "br":
                 run.append(" ")
@@ -114,29 +180,25 @@ def parse(page: str) -> list[Node]:
                     continue
                 if nodes[stack[-1]].tag == "p" or (tag in ("p", "div", "ul", "ol", "section") and any(nodes[i].tag == "p" for i in stack[-2:])):
                     while any(nodes[i].tag == "p" for i in stack[-2:]):
-                        stack.pop()
+                        close_to(len(stack) - 1)
                 if tag in CLOSES:
-                    for depth in range(len(stack) - 1, 0, -1):
-                        open_tag = nodes[stack[depth]].tag
-                        if open_tag in BARRIERS[tag]:
-                            break
-                        if open_tag in CLOSES[tag]:
-                            del stack[depth:]
-                            break
+                    level = last(CLOSES[tag])
+                    if level > last(BARRIERS[tag]):
+                        if tag == "tr":  # the cell is in a row that ends with it
+                            level = min([level, *(places[t][-1] for t in ("tr",) if places.get(t) and places[t][-1] > last(BARRIERS[tag]))])
+                        close_to(level)
                 in_link = 0
                 label = LABEL.search(attrs) if "data-label" in attrs else None
                 names = " ".join(x or y or z for x, y, z in NAMES.findall(attrs)) if attrs else ""
                 nodes.append(Node(tag, names, stack[-1], label[1] if label else None))
+                places.setdefault(tag, []).append(len(stack))
                 stack.append(len(nodes) - 1)
         elif tag == "a":
             in_link = max(0, in_link - 1)
-        elif tag in BLOCK_TAGS:
-            for depth in range(len(stack) - 1, 0, -1):
-                if nodes[stack[depth]].tag == tag:
-                    close_run()
-                    del stack[depth:]
-                    in_link = 0
-                    break
+        elif tag in BLOCK_TAGS and places.get(tag):
+            close_run()
+            close_to(places[tag][-1])
+            in_link = 0
     close_run()
     for n in reversed(nodes):  # sums over what is below
         if n.text is None:
