@@ -10,8 +10,8 @@ of it that carry no payload. Payloads shorter than min_bytes are always response
 Nulls: a null html is an empty payload; a null url is written as an empty target; a null page_id is
 kept as null, never is the first of its payload beside a numbered one, and is a response where no
 numbered row has that payload. Repeated rows are written once each; those that share the smallest
-page_id of their payload are all responses. Empty tables give no archive and no row. Further columns
-are left aside.
+page_id of their payload are all responses. Record ids are unique by archive and place, so rows that share a
+page_id don't share one. Empty tables give no archive and no row. Further columns are left aside.
 """
 
 from __future__ import annotations
@@ -43,8 +43,9 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(place: str) -> str:
+    """The id of the record at a place that no other record has."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>"
 
 
 def clean(url: str) -> str:
@@ -52,14 +53,15 @@ def clean(url: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
 
 
-def make_record(page_id: int | None, url: str, payload: bytes, first: int | None, is_revisit: bool) -> bytes:
+def make_record(place: str, page_id: int | None, url: str, payload: bytes, first: tuple[int, str] | None = None) -> bytes:
+    """A record; with first (page_id, url) a revisit of that page."""
     digest = base32_sha1(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if is_revisit else http + payload
+    block = http if first else http + payload
     fields = [
         VERSION,
-        f"WARC-Type: {'revisit' if is_revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Type: {'revisit' if first else 'response'}",
+        f"WARC-Record-ID: {record_id(place)}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {clean(url)}",
         "Content-Type: application/http; msgtype=response",
@@ -68,8 +70,8 @@ def make_record(page_id: int | None, url: str, payload: bytes, first: int | None
     ]
     if page_id is not None:
         fields.append(f"{PAGE_FIELD}: {page_id}")
-    if is_revisit:
-        fields += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(first)}", f"{PAGE_FIELD}-Refers-To: {first}"]
+    if first:
+        fields += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To-Target-URI: {clean(first[1])}", f"WARC-Refers-To-Date: {DATE}", f"{PAGE_FIELD}-Refers-To: {first[0]}"]
     fields.append(f"Content-Length: {len(block)}")
     whole = "\r\n".join(fields).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -160,12 +162,16 @@ def read_archive(stream, block: int = BLOCK) -> Iterator[tuple[int, dict[str, st
 
 
 def with_firsts(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """page_id, url, html and __first: the smallest page_id of the payload, null for payloads under min_bytes."""
+    """page_id, url, html and __first (page_id, url): the row with the smallest page_id of the payload, null for payloads under min_bytes or of one row."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), text_or_empty("url").alias("url"), text_or_empty("html").alias("html"))
-    body = F.encode("html", "UTF-8")
-    rows = rows.withColumn("__key", F.when(F.octet_length("html") >= min_bytes, F.unhex(F.sha1(body))))
-    firsts = rows.filter("__key is not null").groupBy("__key").agg(F.min("page_id").alias("__first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__key", "__first")
-    return rows.join(firsts, "__key", "left").drop("__key")  # a hot payload: the join's partition is split at run time
+    large = rows.filter(F.octet_length("html") >= min_bytes) if min_bytes > 0 else rows
+    large = large.withColumn("__key", F.unhex(F.sha1(F.encode("html", "UTF-8"))))
+    numbered = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    firsts = large.groupBy("__key").agg(F.min(numbered).alias("__first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__key", "__first")
+    out = large.join(firsts, "__key", "left").drop("__key")  # a hot payload: the join's partition is split at run time
+    if min_bytes > 0:
+        out = out.unionByName(rows.filter(F.octet_length("html") < min_bytes), allowMissingColumns=True)
+    return out.select("page_id", "url", "html", F.col("__first.page_id").alias("__first"), F.col("__first.url").alias("__first_url"))
 
 
 def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -180,12 +186,12 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         fs, top = file_system(root)
         ctx = TaskContext.get()
         for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for r in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if out is None:
                     name = f"{top}/part-{ctx.partitionId():06d}.warc.gz"
                     out = fs.open_output_stream(f"{name}.{ctx.taskAttemptId()}", compression=None)
-                page_id, url, html, first = r
-                out.write(make_record(page_id, url, html.encode(), first, first is not None and page_id != first))
+                page_id, url, html, first, first_url = r
+                out.write(make_record(f"{root}/{ctx.partitionId()}/{n}", page_id, url, html.encode(), (first, first_url) if first is not None and page_id != first else None))
                 n += 1
         if out is not None:
             size = out.tell()
@@ -193,8 +199,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
             fs.move(f"{name}.{ctx.taskAttemptId()}", name)  # whole or absent, also when a task runs twice
             yield pa.record_batch([pa.array([f"{root}/{name.rpartition('/')[2]}"]), pa.array([n]), pa.array([size])], names=["archive", "records", "bytes"])
 
-    rows = with_firsts(pages, min_bytes).select("page_id", "url", "html", "__first")
-    made = rows.mapInArrow(write, "archive string, records long, bytes long").collect()  # a row for each archive
+    made = with_firsts(pages, min_bytes).mapInArrow(write, "archive string, records long, bytes long").collect()  # a row for each archive
     return spark.createDataFrame([tuple(r) for r in made], "archive string, records long, bytes long")
 
 
