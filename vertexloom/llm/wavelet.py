@@ -24,9 +24,10 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import file_system, fresh, text_or_empty, tidied, tokenizer_path
+from .common import file_system, fresh, stored, text_or_empty, tidied, tokenizer_path
 from .tokens import encoder
 
 MAGIC = b"VLWM0002"
@@ -35,6 +36,7 @@ BLOCK = np.dtype([("ones", "<u8"), ("at", "<u8"), ("bytes", "<u4"), ("unused", "
 DOC = np.dtype([("doc_id", "<i8"), ("present", "u1"), ("pad", "u1", 7), ("end", "<u8")])
 BLOCK_BITS = 1 << 18
 SHARD_TOKENS = 1 << 22
+READERS = 100_000
 
 
 def pack(ids: np.ndarray, doc_ids: list[int | None], ends: np.ndarray, block_bits: int = BLOCK_BITS) -> bytes:
@@ -169,15 +171,35 @@ class WaveletFile:
 
     def find(self, level: int, k: int, one: int) -> int:
         """Position of the k-th one or zero of a plane."""
+        return int(self.find_all(level, np.array([k]), one)[0])
+
+    def find_all(self, level: int, ks: np.ndarray, one: int) -> np.ndarray:
+        """Positions of the ones or zeros of a plane with these numbers (ascending); each block is unpacked once."""
         ones = self.entries[level]["ones"].astype(np.int64)
         before = ones if one else np.arange(len(ones)) * self.block_bits - ones
-        b = int(np.searchsorted(before, k, side="right")) - 1
-        bits = np.unpackbits(self.packed(level, b))
-        return b * self.block_bits + int(np.flatnonzero(bits == one)[k - int(before[b])])
+        blocks = np.searchsorted(before, ks, side="right") - 1
+        out = np.empty(len(ks), np.int64)
+        for b in np.unique(blocks).tolist():
+            here = blocks == b
+            size = min(self.block_bits, self.n - b * self.block_bits)
+            bits = np.unpackbits(self.block(level, b)[0], count=size)
+            out[here] = b * self.block_bits + np.flatnonzero(bits == one)[ks[here] - before[b]]
+        return out
 
     def locate(self, token: int) -> list[int]:
-        """All positions of the token."""
-        return [self.select(token, k) for k in range(self.count(token))]
+        """All positions of the token: the range of its occurrences is carried up plane by plane."""
+        many = self.count(token)
+        if not many:
+            return []
+        code, start = self.code(token), 0
+        for level in range(self.planes):
+            a = self.ones(level, start)
+            start = int(self.zeros[level]) + a if code >> (self.planes - 1 - level) & 1 else start - a
+        at = np.arange(start, start + many)
+        for level in reversed(range(self.planes)):
+            one = code >> (self.planes - 1 - level) & 1
+            at = self.find_all(level, at - int(self.zeros[level]) if one else at, one)
+        return at.tolist()
 
     def decode(self) -> np.ndarray:
         """All tokens, from the lowest plane up."""
@@ -194,10 +216,14 @@ class WaveletFile:
         return self.alphabet.take(values)
 
 
-def write_shards(docs: DataFrame, end_id: int = 2, path: str | None = None, shard_tokens: int = SHARD_TOKENS) -> list[tuple[str, int, int]]:
-    """Encodes and writes all documents in ascending doc_id; returns (file, documents, tokens) in that order."""
+SHARDS = "file string, part long, number long, documents long, tokens long"
+
+
+def write_shards(docs: DataFrame, end_id: int = 2, path: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """Encodes and writes all documents in ascending doc_id; returns SHARDS and `begin`, the tokens of all files before, for every file. part and number give the order."""
     path = path or tokenizer_path("word_bpe_49k.json")
-    root = fresh(docs.sparkSession, "wavelet")
+    spark = docs.sparkSession
+    root = fresh(spark, "wavelet")
     fs, top = file_system(root)
     fs.create_dir(top, recursive=True)
     end = np.array([end_id], "<u4").tobytes()
@@ -205,23 +231,23 @@ def write_shards(docs: DataFrame, end_id: int = 2, path: str | None = None, shar
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, files, folder = encoder(path), *file_system(root)
         ctx = TaskContext.get()
-        names: list[str] = []
         ids: list[bytes] = []
         doc_ids: list[int | None] = []
         lengths: list[int] = []
-        made: list[tuple[str, int, int, int]] = []
-        held = 0
+        number = held = 0
 
-        def close() -> None:
-            name = f"{ctx.partitionId():06d}-{len(names):04d}.wm"
+        def close() -> pa.RecordBatch:
+            nonlocal number, held
+            name = f"{ctx.partitionId()}-{number}.wm"
             data = pack(np.frombuffer(b"".join(ids), "<u4"), doc_ids, np.cumsum(lengths))
             with files.open_output_stream(f"{folder}/{name}.{ctx.taskAttemptId()}", compression=None) as out:
                 out.write(data)
             files.move(f"{folder}/{name}.{ctx.taskAttemptId()}", f"{folder}/{name}")  # whole or absent, also when a task runs twice
-            made.append((f"{root}/{name}", ctx.partitionId(), len(doc_ids), sum(lengths)))
-            names.append(name)
+            row = (f"{root}/{name}", ctx.partitionId(), number, len(doc_ids), sum(lengths))
+            number, held = number + 1, 0
             for x in (ids, doc_ids, lengths):
                 x.clear()
+            return pa.record_batch([pa.array([x]) for x in row], names=["file", "part", "number", "documents", "tokens"])
 
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -232,17 +258,18 @@ def write_shards(docs: DataFrame, end_id: int = 2, path: str | None = None, shar
                     lengths.append(len(x) // 4 + 1)
                     held += lengths[-1]
                     if held >= shard_tokens:
-                        close()
-                        held = 0
+                        yield close()
         if doc_ids:
-            close()
-        if made:
-            yield pa.record_batch([pa.array(c) for c in zip(*made, strict=True)], names=["file", "part", "documents", "tokens"])
+            yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    made = ordered.mapInArrow(tidied(write), "file string, part long, documents long, tokens long").collect()  # a row for each file
-    return [(r.file, r.documents, r.tokens) for r in sorted(made, key=lambda r: r.file)]
+    made = stored(ordered.mapInArrow(tidied(write), SHARDS), "shards")
+    # tokens of earlier parts: a row for each part; and of earlier files of the part
+    parts = made.groupBy("part").agg(F.sum("tokens").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = F.coalesce(F.sum("tokens").over(W.partitionBy("part").orderBy("number").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return made.withColumn("own", own).join(parts.select("part", before.alias("before")), "part").select(*[x.split()[0] for x in SHARDS.split(", ")], (F.col("before") + F.col("own")).alias("begin"))
 
 
 def open_file(name: str) -> WaveletFile:
@@ -251,12 +278,8 @@ def open_file(name: str) -> WaveletFile:
     return WaveletFile(lambda at, size: handle.read_at(size, at))
 
 
-def read_shards(spark: SparkSession, shards: list[tuple[str, int, int]], tokens: bool = True) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and (if asked) tokens of each document, from the files."""
-    begin, rows = 0, []
-    for name, _, n in shards:
-        rows.append((name, begin))
-        begin += n
+def read_shards(spark: SparkSession, shards: DataFrame, tokens: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and (if asked) tokens of each document, from the files (file, begin)."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", tokens array<int>" * tokens
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,5 +297,5 @@ def read_shards(spark: SparkSession, shards: list[tuple[str, int, int]], tokens:
                     names.append("tokens")
                 yield pa.record_batch(cols, names=names)
 
-    files = spark.createDataFrame(rows, "file string, begin long")
-    return files.repartition(max(1, len(rows))).mapInArrow(tidied(read), schema)
+    files = shards.select("file", "begin").repartition(max(1, min(READERS, shards.count())), "file")
+    return files.mapInArrow(tidied(read), schema)
