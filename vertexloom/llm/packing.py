@@ -210,7 +210,13 @@ def demand_of(cut: DataFrame, size: int) -> tuple[np.ndarray, int]:
 
 
 def pack(docs: DataFrame, length: int = LENGTH, grain: int = GRAIN, end_id: int = 1, path: str | None = None, slack: float = 0.02) -> DataFrame:
-    """doc_id, start, length, doc_tokens, sequence_id, offset and ids (32-bit little-endian) of every piece."""
+    """doc_id, start, length, doc_tokens, sequence_id, offset and ids (32-bit little-endian) of every piece.
+
+    slack: where more than this share of all sequences would stay unused, rests over half a sequence are
+    cut once more, at the half. No id is lost by that; a document so cut has one piece more.
+    Nulls: a null text still has its end id; a null doc_id is kept. Rows with the same id or text are documents of their own.
+    The ids move once, by sequence.
+    """
     if length % grain:
         raise ValueError("grain must divide length")
     cut = pieces(docs, length, grain, end_id, path)
@@ -232,12 +238,10 @@ def pack(docs: DataFrame, length: int = LENGTH, grain: int = GRAIN, end_id: int
     parts = cut.groupBy("class", "part").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("class").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = parts.select("class", "part", before.alias("before"))
-    narrow = cut.select("part", "row", "start", "length", "class", "place").join(offsets, ["class", "part"])
-    ranked = narrow.withColumn("rank", F.col("before") + F.col("place"))
-    # size patterns of the program with size classes each, and those of the rest, bound this table
-    table = F.broadcast(spark.createDataFrame(slots, "class int, lo long, hi long, each long, first long"))
-    placed = ranked.join(table, "class").filter("rank >= lo and rank < hi")
-    placed = placed.withColumn("sequence_id", F.expr("first + (rank - lo) div each"))
+    ranked = cut.join(offsets, ["class", "part"]).withColumn("rank", F.col("before") + F.col("place"))
+    # size patterns of the program with size classes each, and those of the rest, bound this table: for each class its slots in order of ranks
+    table = F.broadcast(spark.createDataFrame(slots, "class int, lo long, hi long, each long, first long").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "each", "first"))).alias("slots")))
+    slot = F.filter("slots", lambda s: (F.col("rank") >= s["lo"]) & (F.col("rank") < s["hi"]))[0]
+    placed = ranked.join(table, "class").withColumn("slot", slot).withColumn("sequence_id", F.expr("slot.first + (rank - slot.lo) div slot.each"))
     order = W.partitionBy("sequence_id").orderBy(F.desc("length"), "part", "row", "start").rowsBetween(W.unboundedPreceding, -1)
-    placed = placed.select("part", "row", "start", "sequence_id", F.coalesce(F.sum("length").over(order), F.lit(0)).alias("offset"))
-    return cut.join(placed, ["part", "row", "start"]).select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")
+    return placed.select("doc_id", "part", "row", "start", "length", "doc_tokens", "ids", "sequence_id").withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0))).select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")
