@@ -10,20 +10,23 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 NULL_KEY = -(1 << 63)
+RANGE_ROWS = 50_000
 
 
 def with_lookahead(docs: DataFrame) -> DataFrame:
     """(key, doc_id, text, look): partition i holds a range of ascending keys, then (look) the first document behind it.
 
     Behind the last document comes the first of all. Ranges come from approximate quantiles of doc_id;
-    the driver holds a boundary and the smallest id of each range. A null doc_id sorts first.
+    the driver holds a boundary and the smallest id of each range. There are as many ranges as shuffle
+    partitions, and one for every RANGE_ROWS documents at least. A null doc_id sorts first, a null text is
+    empty, rows with one id follow one another in the order of a hash of their texts. An empty table gives an empty one.
     """
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"),
         F.col("doc_id").cast("long").alias("doc_id"),
         text_or_empty().alias("text"),
     )
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // RANGE_ROWS)
     shares = [i / parts for i in range(1, parts)] or [0.5]
     cuts = rows.agg(F.percentile_approx("key", shares, 100 * parts)).first()[0] or []
     bounds = np.unique(np.array(cuts, np.int64))
