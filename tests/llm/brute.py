@@ -123,3 +123,29 @@ def cut_hits(text, items):
             at, i = spans[j][1], j
         i += 1
     return "".join([*out, text[at:]])
+
+
+def naive_bayes(rows, text, buckets):
+    """(language, score) by a plain multinomial naive Bayes over [(language, text)], n-gram by n-gram."""
+    import math
+
+    from vertexloom.llm import langid
+
+    if text is None or not re.search(r"[^\W\d_]", text):
+        return "und", 0.0
+    langs = sorted({lang for lang, _ in rows})
+    counts = {lang: {} for lang in langs}
+    for lang, x in rows:
+        for f in langid.features(langid.code_points(x), buckets).tolist():
+            counts[lang][f] = counts[lang].get(f, 0) + 1
+    grams = langid.features(langid.code_points(text), buckets).tolist()
+    total, tempered = {}, {}
+    for lang in langs:
+        prior = math.log((sum(k == lang for k, _ in rows) + 1) / (len(rows) + len(langs)))
+        whole = sum(counts[lang].values()) + 0.5 * buckets
+        sums = sum(math.log((counts[lang].get(f, 0) + 0.5) / whole) for f in grams)
+        total[lang] = sums + prior
+        tempered[lang] = sums / max(1, len(grams)) * min(len(grams), langid.EVIDENCE) + prior
+    best = max(langs, key=lambda x: total[x])
+    top = max(tempered.values())
+    return best, math.exp(tempered[best] - top) / sum(math.exp(v - top) for v in tempered.values())

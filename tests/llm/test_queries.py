@@ -37,13 +37,14 @@ def test_op1_tokens_and_small_shards(spark, small):
     from vertexloom.llm.wavelet import open_file, read_shards, write_shards
 
     docs = spark.read.parquet(f"{small[0]}/documents.parquet")
-    shards = write_shards(docs, shard_tokens=500)
-    assert len(shards) > 8
+    shards = write_shards(docs, shard_tokens=200)
+    rows = sorted(shards.collect(), key=lambda r: r.begin)
+    assert max(r.number for r in rows) > 10 and [(r.part, r.number) for r in rows] == sorted((r.part, r.number) for r in rows)  # by number, not by name
     got = {r.start: r.tokens for r in read_shards(spark, shards).collect()}
     whole = [t for s in sorted(got) for t in got[s]]
     want = [i for ids in brute.token_ids([t for _, t in ordered((d, t) for d, t, _ in small[1])], 2) for i in ids]
     assert whole == want
-    first = open_file(shards[0][0])
+    first = open_file(rows[0].file)
     assert first.locate(2) == [i for i, t in enumerate(whole[: first.n]) if t == 2]
 
 
@@ -263,6 +264,19 @@ def test_op9_random_texts_and_small_chunks(spark, monkeypatch):
     assert rows_of(got.withColumn("kept", F.lower(F.hex("kept"))), "doc_id", "n_bytes", "n_removed", "n_spans", "kept") == sorted(brute.removal(rows, 32), key=str)
 
 
+@pytest.mark.parametrize("length", [64, 65, 100, 200])
+def test_op9_long_windows(spark, length):
+    import random
+
+    r = random.Random(length)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared = [word(length + 40) for _ in range(10)]
+    rows = [(i, word(30) + shared[i % 10] + word(r.randint(0, 60)) + shared[(i * 3) % 10]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = suffixes.remove_repeats(docs, length, chunk=3000, digest=True)
+    assert rows_of(got.withColumn("kept", F.lower(F.hex("kept"))), "doc_id", "n_bytes", "n_removed", "n_spans", "kept") == sorted(brute.removal(rows, length), key=str)
+
+
 def test_op10(spark, small):
     cols = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     want = brute.contamination([(d, t) for d, t, _ in small[1]], small[2])
@@ -277,6 +291,74 @@ def test_op10_in_blocks(spark, small):
     assert a == b
 
 
+def test_op10_holds_one_block_at_a_time(spark, monkeypatch):
+    """A benchmark of many blocks: what a worker holds doesn't grow with their number, and results stay right."""
+    import random
+
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+    items = [(i, " ".join(word() for _ in range(40))) for i in range(3000)]
+    rows = [(1, f"some words {items[7][1]} and {items[2900][1]} end"), (2, "clean words only"), (3, items[1500][1])]
+    table = spark.createDataFrame(items, "item_id long, text string").repartition(4)
+    path, many, shortest = fmindex.write_blocks(table, size=20_000)
+    assert many > 40 and shortest == 13
+    sizes = [len(p.words) for p in fmindex.read_blocks(path)]
+    assert len(sizes) == many and max(sizes) < 4000
+    found = fmindex.contamination(spark.createDataFrame(rows, "doc_id long, text string"), table, block_bytes=20_000)
+    got = {x.doc_id: (x.n_words, [tuple(s) for s in x.spans], x["items"]) for x in found.collect()}
+    assert got == {1: (84, [(2, 42), (43, 83)], [7, 2900]), 2: (3, [], []), 3: (40, [(0, 40)], [1500])}
+
+
+@pytest.fixture(scope="module")
+def hard(spark, tmp_path_factory):
+    """Null ids, very long texts, repeated rows, and columns whose names clash with results."""
+    import random
+
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(1, 7)))
+    long = " ".join(word() for _ in range(70_000))
+    bench = " ".join(word() for _ in range(20))
+    rows = [(None, "a text without an id " + bench), (None, None), (5, long), (6, "behind " + long[1000:] + " " + bench), (6, "behind " + long[1000:] + " " + bench), (7, ""), (8, long[::-1][:300_000])]
+    root = tmp_path_factory.mktemp("hard")
+    schema = "doc_id long, text string, lang string, score double, lang_pred string, n_words long, spans string, items int, begin long, slot long, n_chars long"
+    spark.createDataFrame([(d, t, "en", 1000.0, "xx", 7, "s", 1, 2, 3, None) for d, t in rows], schema).write.parquet(f"{root}/documents.parquet")
+    spark.createDataFrame([(1, bench), (None, "a text")], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+    return str(root), rows
+
+
+def test_hard_rows_in_the_queries(spark, hard):
+    root, rows = hard
+    got = sorted(tuple(x) for x in QUERIES["op1_token_ids"](spark, root).select("start", "n_tokens", "ids_crc32").collect())
+    want = Counter((len(x), brute.crc_of(x)) for x in brute.token_ids([t for _, t in rows], 2))
+    assert Counter((n, crc) for _, n, crc in got) == want and [x[0] for x in got] == [sum(n for _, n, _ in got[:i]) for i in range(len(got))]
+    pieces = [tuple(x) for x in QUERIES["op3_packing"](spark, root).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset").collect()]
+    assert sum(p[2] for p in pieces) == sum(len(x) for x in brute.token_ids([t for _, t in rows], 1)) and {p[0] for p in pieces} == {d for d, _ in rows}
+    sizes = Counter((x.doc_id, x.size) for x in QUERIES["op5_sharding"](spark, root).collect())
+    assert sizes == Counter((d, len((t or "").encode()) + 8) for d, t in rows)
+    assert Counter(x.n_chars for x in QUERIES["op6_fingerprints"](spark, root).collect()) == Counter(len(t or "") for _, t in rows)
+    assert {(x.doc_id, x.fingerprint) for x in QUERIES["op7_simhash"](spark, root).collect()} == {(d, f"{brute.fingerprint(t):016x}") for d, t in rows}
+    langs = QUERIES["op8_language"](spark, root).collect()
+    assert sorted((str(x.doc_id), x.lang_pred) for x in langs) == sorted((str(d), "en" if t else "und") for d, t in rows)
+    cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert rows_of(QUERIES["op9_suffixes"](spark, root), *cols) == sorted(brute.removal(rows), key=str)
+    cols = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert rows_of(QUERIES["op10_decontaminate"](spark, root), *cols) == sorted(brute.contamination(rows, [(1, rows[0][1].removeprefix("a text without an id ")), (None, "a text")]), key=str)
+
+
+def test_hard_rows_in_the_stages(spark, hard):
+    root, rows = hard
+    docs = spark.read.parquet(f"{root}/documents.parquet")
+    clash = docs.withColumnRenamed("spans", "Text2").toDF(*[{"Text2": "Score", "items": "SPANS", "begin": "Lang_Pred"}.get(c, c) for c in docs.withColumnRenamed("spans", "Text2").columns])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for table in (docs, clash):
+            out = stage(spark, table, root)
+            assert out.dtypes == table.dtypes, name
+            kept = [tuple(x)[3:10] for x in out.collect()]
+            assert kept and set(kept) == {(1000.0, "xx", 7, "s", 1, 2, 3)}, name
+    stay = {(x.doc_id, x.text) for x in corpus_pipeline.near_copies(spark, docs, root).collect()}
+    assert stay == {rows[0], rows[1], rows[2], rows[5], rows[6]}
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_empty_tables(spark, empty, name):
     assert QUERIES[name](spark, empty).count() == 0
