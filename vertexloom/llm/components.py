@@ -6,7 +6,7 @@ keys are split at run time; the link table is written to the shared folder after
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..storage import dropped, fresh, stored_at
@@ -32,9 +32,13 @@ def small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def state(links: DataFrame) -> tuple:
-    r = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
-    return tuple(r)
+def watched(links: DataFrame, path: str) -> tuple[DataFrame, tuple]:
+    """The table written to a path, and sums that tell it from others: taken while it is written, without a job more."""
+    seen = Observation()
+    sums = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"), F.sum(F.col("b").cast("decimal(38,0)")).alias("b")]
+    table = stored_at(links.observe(seen, *sums), path, "zstd")
+    got = seen.get
+    return table, (got.get("n", 0), got.get("h"), got.get("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -46,17 +50,17 @@ def components(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     clean = links.filter("a is not null and b is not null and a <> b")
     path = fresh(spark, "links")
-    now = stored_at(clean.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), path, "zstd")
-    last = state(now)
-    for _ in range(MAX_ROUNDS if last[0] else 0):
+    now, last = watched(clean.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), path)
+    for _ in range(MAX_ROUNDS):
+        if not last[0]:
+            break
         new_path = fresh(spark, "links")
-        now = stored_at(small_star(large_star(now)), new_path, "zstd")
+        now, new = watched(small_star(large_star(now)), new_path)
         dropped(spark, path)
-        path, new = new_path, state(now)
+        path = new_path
         if new == last:
             break
         last = new
     else:
-        if last[0]:
-            raise RuntimeError("components did not settle")
+        raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
