@@ -11,7 +11,8 @@ result. Lengths and counts of hashes by their low bits rule out pairs that canno
 A small bucket makes all its pairs. In a large one, sorted by the Gray rank of the (rotated) fingerprints,
 each member is paired with the nearest of the next few. Each set is first held against its nearest
 candidate alone, then against those that this leaves in other groups; then, in large buckets,
-what is outside of the largest group is held against all other groups, dealt out in cells of bounded size. So a group of n near copies doesn't
+what is outside of the largest group is held against all other groups, dealt out in cells of bounded size: first
+the nearest of each, and what then still is in different groups once more. So a group of n near copies doesn't
 make its pairs, and no link between groups is lost. Groups are the components of the links. Only texts of
 candidates move for a check: a bitmap drops most others before the shuffle.
 
@@ -41,7 +42,7 @@ COMMON = 50_000
 SMALL = 16
 AHEAD = 8
 CELL = 2048
-COUNTS = 64
+COUNTS = 128
 BITMAP = 1 << 24
 
 
@@ -70,8 +71,8 @@ def low_counts(hashes: np.ndarray) -> bytes:
 
 
 def fine_counts(hashes: np.ndarray) -> bytes:
-    """Counts by as many low bits as give two to four members a count, or COUNTS of them."""
-    size = max(COUNTS, 1 << (len(hashes) // 4).bit_length())
+    """Counts by as many low bits as give a half to one member a count, or COUNTS of them."""
+    size = max(COUNTS, 1 << len(hashes).bit_length())
     return np.minimum(np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes()
 
 
@@ -206,8 +207,8 @@ def possible(na: np.ndarray, nb: np.ndarray, apart: np.ndarray) -> np.ndarray:
     return (9 * apart <= na + nb) & (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb))
 
 
-def cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): pairs of a cell (token, x, y, n, key, label, counts) that are not in one group and may reach 4/5."""
+def cross_pairs(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
+    """(a, b): pairs of a cell (token, x, y, n, key, label, counts) that are not in one group and may reach 4/5; of each member outside of the largest group all, or the nearest."""
     for whole in runs(batches, 3, 1 << 12):
         token, x, y, n, key, label = (whole.column(i).to_numpy() for i in range(6))
         counts = vectors(whole.column(6))
@@ -222,7 +223,11 @@ def cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 z = int(np.searchsorted(n[lo:hi], 5 * n[some[-1]] // 4, side="right")) + lo
                 apart = np.abs(counts[some, None] - counts[None, a:z]).sum(axis=2, dtype=np.int64)
                 ok = possible(n[some, None], n[None, a:z], apart) & (label[some, None] != label[None, a:z])
-                i, j = np.nonzero(ok)
+                if nearest:
+                    i = np.flatnonzero(ok.any(axis=1))
+                    j = np.where(ok[i], apart[i], 1 << 30).argmin(axis=1)
+                else:
+                    i, j = np.nonzero(ok)
                 p, q = key[some[i]], key[a + j]
                 pairs = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)]), axis=1)
                 if pairs.shape[1]:
@@ -310,6 +315,13 @@ def apart_from(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return pairs.join(la, "a", "left").join(lb, "b", "left").filter("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
 
 
+def nearest_of(pairs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b, apart) those with the nearest of an end."""
+    ways = pairs.select("a", "b", "apart").union(pairs.select("b", "a", "apart"))
+    best = ways.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("to")).select("a", F.col("to.b").alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, tie, component) of every row with a doc_id; tie is the hash of the text, component names the group."""
     scratch = Scratch(docs.sparkSession, "likeness")
@@ -325,16 +337,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
     both = found.filter("b is not null").select("a", "b").union(proposals(nodes, put)).distinct().join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ca", "cb")
     pairs = narrowed(both.mapInArrow(tidied(by_counts), "a long, b long"), nodes, put)
 
-    ways = pairs.select("a", "b", "apart").union(pairs.select("b", "a", "apart"))
-    nearest = ways.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("to")).select("a", F.col("to.b").alias("b"))
-    nearest = nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = verified(put(nearest, "nearest"), nodes, rows, put)
+    links = verified(put(nearest_of(pairs), "nearest"), nodes, rows, put)
     label = components(links).toDF("key", "label")
-    rest = put(apart_from(pairs, label), "rest")
-    links = links.union(verified(rest, nodes, rows, put))
-    label = put(components(links).toDF("key", "label"), "labels")
-    far = narrowed(across(found.filter("b is null").select("token", F.col("a").alias("key")), label, short, put), nodes, put).select("a", "b")
-    if not far.isEmpty():
+    links = links.union(verified(put(apart_from(pairs, label), "rest"), nodes, rows, put))
+    large = put(found.filter("b is null").select("token", F.col("a").alias("key")), "large")
+    for nearest in (True, False):
+        label = put(components(links).toDF("key", "label"), "labels")
+        far = narrowed(across(large, label, short, put, nearest), nodes, put)
+        far = put(nearest_of(far), "nearest") if nearest else far.select("a", "b")
+        if far.isEmpty():
+            break
         links = links.union(verified(far, nodes, rows, put))
     label = components(links).toDF("key", "component")
     out = stored(marked.select("doc_id", "tie", "key").join(label, "key", "left").select("doc_id", "tie", F.coalesce("component", "key").alias("component")), "groups")
@@ -342,12 +354,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
     return out
 
 
-def across(large: DataFrame, label: DataFrame, short: DataFrame, put) -> DataFrame:
-    """Pairs (a, b) of keys across groups within the large buckets (token, key) that may reach 4/5."""
-    named = put(large.join(label, "key", "left").select("token", "key", F.coalesce("label", "key").alias("label")), "large")
+def across(large: DataFrame, label: DataFrame, short: DataFrame, put, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of keys across groups within the large buckets (token, key) that may reach 4/5: all, or the nearest of a key in each bucket."""
+    named = put(large.join(label, "key", "left").select("token", "key", F.coalesce("label", "key").alias("label")), "named")
     split = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("many")).filter("lo <> hi")
     rows = named.join(split.select("token", F.ceil(F.col("many") / CELL).cast("int").alias("cells")), "token").join(short, "key")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     dealt = rows.select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "n", "key", "label", "counts")
     dealt = dealt.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y", "n")
-    return dealt.mapInArrow(tidied(cross_pairs), "a long, b long")
+    return dealt.mapInArrow(tidied(lambda batches: cross_pairs(batches, nearest)), "a long, b long")
