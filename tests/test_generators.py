@@ -76,7 +76,47 @@ def test_mean_degree(spark, law, mean):
     assert abs(g.degree_distribution(spark, n, law, 5).edges.count() / n - mean) < 0.1 * mean + 0.3
 
 
+def test_binomial_law_is_exact(spark):
+    """Counts of 40,000 draws against the law, also beyond 64 trials and at its ends."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    from vertexloom.functions import scalar
+
+    for n, p in ((1000, 0.008), (50, 0.3), (200, 0.99), (1, 0.5)):
+        got = {r[0]: r[1] for r in spark.range(40_000).select(scalar.binomial(n, p, 3, "id").alias("x")).groupBy("x").count().collect()}
+        for k in range(n + 1):
+            want = 40_000 * math.comb(n, k) * p**k * (1 - p) ** (n - k)
+            assert abs(got.get(k, 0) - want) < 5 * math.sqrt(want) + 4, (n, k)
+    least, steps = scalar.binomial_steps(1000, 0.008)
+    assert least == 0 and abs(steps[0] - 0.992**1000) < 1e-12 and steps[-1] == 1.0
+    ends = spark.range(3).select(scalar.binomial(7, 0.0, 1, "id").alias("a"), scalar.binomial(7, 1.0, 1, "id").alias("b"), scalar.binomial(0, 0.5, 1, "id").alias("c")).distinct().collect()
+    assert [tuple(r) for r in ends] == [(0, 7, 0)]
+    assert spark.range(5).select(F.max(scalar.binomial_by_normal(10, 0.5, 1, "id"))).first()[0] <= 10
+
+
+def test_laws_without_a_degree_in_range(spark):
+    with pytest.raises(Exception, match="no degree in range"):
+        g.degree_distribution(spark, 5, g.Degrees("uniform", -9, -5), 1).edges.count()
+
+
+def test_targets_of_dense_sources_are_uniform(spark):
+    """Sources that want most of few vertices: no target is preferred."""
+    graph = g.degree_distribution(spark, 40, g.Degrees("discrete", 30, 30), 3, distinct=True)
+    hits = Counter(t for _, t in edges(graph))
+    assert sum(hits.values()) == 1200 and min(hits.values()) > 15 and max(hits.values()) <= 40
+
+
+def test_many_copies_are_dealt_out(spark):
+    graph = g.line_of(spark, 10_000, g.ring(spark, 3))
+    assert graph.edges.count() == 39_999 and graph.edges.distinct().count() == 39_999
+    assert graph.edges.rdd.getNumPartitions() >= 3
+
+
 def test_trees_at_random(spark):
+    assert edges(g.randomized_tree(spark, 1, 3)) == [] and edges(g.randomized_tree(spark, 2, 3)) == [(0, 1)]
+    assert edges(g.randomized_tree(spark, 60, 3, levels=1)) == edges(g.randomized_tree(spark, 60, 3))
     graph = spec.load_graph(spark, "RandomizedTree", "200:3")
     got = edges(graph)
     assert len(got) == 199 and sorted(t for _, t in got) == list(range(1, 200))

@@ -1,4 +1,4 @@
-"""Every query of the catalog that has SQL, against DuckDB on the same tables."""
+"""Every query of the catalog against DuckDB on the same tables; all have SQL."""
 
 import os
 
@@ -7,13 +7,15 @@ import pytest
 
 from vertexloom.plans import catalog
 
-# One of each family of compositions is enough here; the driver compares them all.
-SHOWN = [n for n in catalog.ORACLE_SQL if not n.startswith(("gen_lineof", "gen_latticeof", "gen_latticeloopedof", "gen_latticeonerow"))]
+# Of those whose oracles tell nothing new on the smallest tables, and of one loop many times, one of each is enough here.
+ONCE = ("gen_lineof", "gen_latticeof", "gen_latticeloopedof", "gen_latticeonerow", "hop_dist_compat", "bfs_layers_compat", "scc_users", "scc_nested", "terminal_parts", "terminal_members")
+SHOWN = [n for n in catalog.ORACLE_SQL if not n.startswith(ONCE)]
 
 
 @pytest.fixture(scope="module")
 def duck(sf):
     con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
     for f in os.listdir(sf):
         path = f"{sf}/{f}"
         con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
@@ -44,3 +46,4 @@ def test_catalog_is_registered():
 
     assert set(catalog.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)

@@ -88,6 +88,41 @@ def test_petri_state_space(spark, biological, compat):
     assert net.markings(spark.createDataFrame([(number((2, 0, 1)),)], "id long")).first().marking == "a=2 c=1"
 
 
+def test_compat_reaches_the_net(spark, tmp_path):
+    (tmp_path / "net").write_text("a & ^b -> c\nc -> b & a\nb -| a\n")
+    plain, old = (rows(spec.load_graph(spark, "PetriNetStateSpace", f"2:{tmp_path}/net", compat=c).edges, "src", "dst") for c in (False, True))
+    assert plain != old and old == rows(PetriNet.parse(["a & ^b -> c", "c -> b & a", "b -| a"], 2, compat=True).graph(spark).edges, "src", "dst")
+
+
+def test_pieces_of_edge_files(spark, tmp_path, monkeypatch):
+    """Files longer than a piece, and files that hold fewer or more numbers than the header says."""
+    monkeypatch.setattr(S, "PIECE", 7)
+    r = random.Random(1)
+    edges = [(r.randrange(9), r.randrange(9)) for _ in range(100)]
+    graph = Graph(spark.range(9).select("id"), spark.createDataFrame(edges, "src long, dst long"))
+    for form, compact in (("hip", False), ("hip", True), ("svcii", False)):
+        path = str(tmp_path / f"{form}{compact}")
+        S.write_graph(graph, path, form, segments=1, compact=compact)
+        assert rows(S.read_graph(spark, path, form).edges, "src", "dst") == sorted(edges)
+    raw = S.raw_numbers(spark, path, "src-*")
+    assert [x.value for x in raw.orderBy("at").collect()] == sorted(a for a, _ in edges)
+    assert len(list(S.numbers_in_pieces(path, "src-0-0", 100))) == 15
+    for n in (99, 101):
+        with pytest.raises(S.GraphFormatError, match="header"):
+            list(S.numbers_in_pieces(path, "src-0-0", n))
+    with pytest.raises(S.GraphFormatError, match="header"):
+        list(S.runs_in_pieces(str(tmp_path / "hipTrue"), "src-0", 99))
+
+
+def test_maker_command(spark, tmp_path):
+    from vertexloom.__main__ import main
+
+    main(["Ring", "12", str(tmp_path / "g"), "--out", "svcii", "--segments", "2"], spark)
+    assert spec.load_graph(spark, "svcii", str(tmp_path / "g")).edges.count() == 12
+    with pytest.raises(SystemExit):
+        main(["Ring"])
+
+
 def test_petri_grammar():
     with pytest.raises(ValueError, match="line 2"):
         PetriNet.parse(["a -> b", "a => b"], 1)

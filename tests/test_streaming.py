@@ -32,16 +32,22 @@ def test_windowed_degrees_with_late_edges(spark, tmp_path):
 
 
 def test_distances_follow_new_edges(spark, tmp_path):
-    keeper = E.DistanceKeeper(0, str(tmp_path / "state"))
-    batches = [[(0, 1), (1, 2), (2, 3)], [(7, 8), (3, 4)], [(0, 3), (4, 7)]]
+    """Each batch by a new keeper, as after a restart; a batch that comes twice; null ends."""
+    path = str(tmp_path / "state")
+    batches = [[(0, 1), (1, 2), (2, 3), (None, 4), (3, None)], [(7, 8), (3, 4)], [(0, 3), (4, 7)], [(8, 9)]]
     seen = []
     for k, b in enumerate(batches):
-        keeper(spark.createDataFrame(b, "src long, dst long"), k)
+        for _ in range(2 if k == 1 else 1):
+            E.DistanceKeeper(0, path)(spark.createDataFrame(b, "src long, dst long"), k)
         seen += b
         graph = Graph.of_edges(spark.createDataFrame(seen, "src long, dst long"))
         want = {r.id: r.dist for r in E.distances(graph, 0).collect()}
-        assert {r.id: r.dist for r in keeper.state(spark, k)[0].collect()} == want
-    assert want[8] == 4
+        assert {r.id: r.dist for r in E.DistanceKeeper(0, path).distances(spark).collect()} == want
+    assert want == {0: 0, 1: 1, 2: 2, 3: 1, 4: 2, 7: 3, 8: 4, 9: 5}
+    assert E.DistanceKeeper(0, path).generations(spark) == [2, 3]  # older ones are deleted
+    written = spark.read.parquet(f"{path}/edges").groupBy("batch").count().collect()
+    assert {r.batch: r["count"] for r in written} == {0: 3, 1: 2, 2: 2, 3: 1}  # a batch writes its own edges alone
+    assert {r.id: r.dist for r in E.DistanceKeeper(5, str(tmp_path / "none")).distances(spark).collect()} == {5: 0}
 
 
 def test_distinct_edges(spark, tmp_path):
