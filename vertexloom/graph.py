@@ -83,7 +83,17 @@ class Graph:
 
     def adjacency(self) -> DataFrame:
         """(id, neighbors): the targets of each vertex as a sorted array."""
-        return self.edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("neighbors"))
+        return self.edges.filter("src is not null and dst is not null").groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("neighbors"))
+
+    def dump(self, most: int | None = None) -> DataFrame:
+        """(id, targets, sources) of every vertex as sorted arrays, or of the `most` vertices with the least ids (a report)."""
+        vertices = self.vertices.filter("id is not null").select("id")
+        if most is not None:
+            vertices = vertices.orderBy("id").limit(most)
+        none = F.array().cast("array<bigint>")
+        ahead = self.adjacency().select("id", F.col("neighbors").alias("targets"))
+        back = self.transpose().adjacency().select("id", F.col("neighbors").alias("sources"))
+        return vertices.join(ahead, "id", "left").join(back, "id", "left").select("id", F.coalesce("targets", none).alias("targets"), F.coalesce("sources", none).alias("sources"))
 
     def partition_sizes(self) -> DataFrame:
         """Vertices of each partition of the vertex table."""

@@ -111,6 +111,26 @@ def adjacency(spark, d):
     return users(spark, d).adjacency().select("id", F.array_join(F.transform("neighbors", lambda x: x.cast("string")), " ").alias("neighbors"))
 
 
+def dumped(most: str) -> str:
+    text = lambda end: f"coalesce((SELECT string_agg({end}::VARCHAR, ' ' ORDER BY {end}) FROM e WHERE e.{'src' if end == 'dst' else 'dst'} = x.id), '')"
+    return f"{S.ctes(S.USERS)} SELECT x.id, {text('dst')} AS targets, {text('src')} AS sources FROM (SELECT id FROM v ORDER BY id {most}) x"
+
+
+def as_text(df: DataFrame) -> DataFrame:
+    words = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c)
+    return df.select("id", words("targets"), words("sources"))
+
+
+@query(dumped(""))
+def graph_dump(spark, d):
+    return as_text(users_kept(spark, d).dump())
+
+
+@query(dumped("LIMIT 10"))
+def graph_dump_head(spark, d):
+    return as_text(users_kept(spark, d).dump(10))
+
+
 @query(
     f"{S.ctes(S.USERS)} SELECT (SELECT count(*) FROM v) AS vertices, count(*) AS edges, round(count(*) / (SELECT count(*) FROM v), 6) AS avg_degree, count(*) FILTER (src = dst) AS loops, count(*) - (SELECT count(*) FROM (SELECT DISTINCT src, dst FROM e)) AS parallel FROM e"
 )
