@@ -40,7 +40,11 @@ def cell_sizes(rows: int, shards: int, cell_rows: int = CELL_ROWS, max_cells: in
 
 
 def draw(good: int, bad: int, want: int, rng: np.random.Generator) -> int:
-    """A hypergeometric number. Above the range of numpy's generator, by inversion over 12 deviations around the mode."""
+    """A hypergeometric number, of the same law at all sizes.
+
+    Above the range of numpy's generator it is drawn by inversion over 12 deviations around the mode; what
+    lies beyond has less than 2**-100 of the mass, far below what a draw of 53 bits can tell.
+    """
     if good + bad < 10**9:
         return int(rng.hypergeometric(good, bad, want))
     lo, hi, n = max(0, want - bad), min(good, want), good + bad
