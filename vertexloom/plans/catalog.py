@@ -847,7 +847,7 @@ def stream_of(spark: SparkSession, rows: DataFrame, files: int) -> DataFrame:
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
-@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, user_id AS id, count(*) AS degree FROM events GROUP BY ALL")
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, user_id AS id, count(*) AS degree FROM events GROUP BY ALL")
 def stream_windowed_degrees(spark, d):
     """Degrees by hour of a stream of all events, each batch replacing the result."""
     events = tables.table(spark, d, "events").select(F.col("user_id").alias("src"), F.col("ts").cast("timestamp").alias("ts"))
@@ -855,7 +855,7 @@ def stream_windowed_degrees(spark, d):
     found = stream_edges.windowed_degrees(stream_of(spark, events, 4))
     sink = found.writeStream.outputMode("complete").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(path))
     sink.option("checkpointLocation", fresh(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("window_start timestamp, id long, degree long").parquet(path)
+    return spark.read.schema("window_start timestamp, id long, degree long").parquet(path).select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "id", "degree")
 
 
 @query(f"{S.hops(S.PARTS, '1')} SELECT id, dist FROM h")
