@@ -32,6 +32,7 @@ from .tokens import encoder
 
 LENGTH = 2048
 GRAIN = 8
+OFFSETS = 1 << 20
 PIECES = "doc_id long, part long, row long, start long, length long, doc_tokens long, class int, place long, ids binary"
 
 
@@ -237,7 +238,9 @@ def pack(docs: DataFrame, length: int = LENGTH, grain: int = GRAIN, end_id: int
     # Ranks: pieces of earlier parts of the class, and the place in the own part.
     parts = cut.groupBy("class", "part").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("class").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = parts.select("class", "part", before.alias("before"))
+    offsets = stored(parts.select("class", "part", before.alias("before")), "offsets")
+    if offsets.count() <= OFFSETS:  # so the ids are not shuffled for them
+        offsets = F.broadcast(offsets)
     ranked = cut.join(offsets, ["class", "part"]).withColumn("rank", F.col("before") + F.col("place"))
     # size patterns of the program with size classes each, and those of the rest, bound this table: for each class its slots in order of ranks
     table = F.broadcast(spark.createDataFrame(slots, "class int, lo long, hi long, each long, first long").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "each", "first"))).alias("slots")))
