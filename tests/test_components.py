@@ -128,3 +128,34 @@ def test_merging_structures(spark):
     assert sorted(tuple(x) for x in C.merge_components(a, b).collect()) == [(1, 10), (2, 30), (3, 20)]
     with pytest.raises(Exception, match="two sizes"):
         C.merge_components(a, b.withColumn("size", b["size"] + 1)).collect()
+
+
+def chained(seed):
+    """A small random graph, its edges drawn out to chains, and a ring beside it; ids in no order."""
+    r = random.Random(seed)
+    edges, n = [], 8
+    for a, b in [(r.randrange(8), r.randrange(8)) for _ in range(10)]:
+        for _ in range(r.randint(0, 3)):
+            edges.append((a, n))
+            a, n = n, n + 1
+        edges.append((a, b))
+    edges += [(n, n + 1), (n + 1, n + 2), (n + 2, n)]
+    names = r.sample(range(n + 3), n + 3)
+    return n + 3, [(names[a], names[b]) for a, b in edges]
+
+
+@pytest.mark.parametrize("block", [6, 1000])
+def test_contraction_against_brute_force(spark, block):
+    n, edges = chained(block)
+    want, graph = brute(n, edges), graph_of(spark, n, edges)
+    assert pairs(C.strong_components(graph, finish=1, block=block), "id", "comp") == set(want.items())
+
+
+def test_long_chains_take_few_rounds(spark):
+    n = 300
+    edges = [(i, i + 1) for i in range(n - 1)] + [(100, 0), (200, 150), (299, 250)]
+    graph = graph_of(spark, n, edges)
+    iterate.LOG.clear()
+    comps = C.strong_components_fb(graph, finish=0)
+    assert {x.size: x.n for x in C.size_histogram(comps).collect()} == {101: 1, 51: 1, 50: 1, 1: 98}
+    assert len(iterate.LOG) < 30  # one reach alone took a hundred

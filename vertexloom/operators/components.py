@@ -5,7 +5,8 @@ that are no vertices are not listed. An empty graph has an empty result. Further
 
 Where few edges are left (`finish`), one task ends the work by a depth-first search over them: a
 bound on the rows in that task, which takes the place of many rounds over nearly nothing. The result is
-the same for any bound; 0 keeps all work in rounds.
+the same for any bound; 0 keeps all work in rounds. Chains, and above `block` edges ranges of ids, are
+contracted first (`contract`), which changes no result.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..storage import stored
+from .contract import BLOCK, Contraction
 from .iterate import Layers, counted, parts_of, placed
 from .traversal import reach_set, spread
 
@@ -31,6 +33,12 @@ def simple_edges(graph: Graph) -> tuple[DataFrame, int]:
     return counted(edges, "edges")
 
 
+def smaller(graph: Graph, few: int, block: int) -> tuple[DataFrame, int, Contraction]:
+    """simple_edges, contracted while more than `few`: they, their number, and the way back."""
+    small = Contraction(*simple_edges(graph), depth_first, few, block, trim)
+    return small.edges, small.rows, small
+
+
 def flipped(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
@@ -117,14 +125,22 @@ def trim(edges: DataFrame, rows: int, rounds: int = 3) -> tuple[DataFrame, int]:
     return edges, rows
 
 
-def named(graph: Graph, parts: list[DataFrame]) -> DataFrame:
-    """(id, comp) of all vertices with the least id of each component; parts are disjoint (id, comp), others are alone."""
-    vertices = graph.vertices.filter("id is not null").select("id")
-    if not parts:
-        return vertices.select("id", F.col("id").alias("comp"))
+def together(parts: list[DataFrame]) -> DataFrame:
     whole = parts[0]
     for x in parts[1:]:
         whole = whole.union(x)
+    return whole
+
+
+def named(graph: Graph, parts: list[DataFrame], small: Contraction | None = None) -> DataFrame:
+    """(id, comp) of all vertices with the least id of each component; parts are disjoint (id, comp), others are alone. small: what parts are over."""
+    vertices = graph.vertices.filter("id is not null").select("id")
+    if small is not None and small.levels:
+        none = vertices.limit(0).select("id", F.col("id").alias("comp"))
+        parts = [small.expand(stored(together(parts), "parts") if parts else none, alone=True)]
+    if not parts:
+        return vertices.select("id", F.col("id").alias("comp"))
+    whole = together(parts)
     least = whole.groupBy("comp").agg(F.min("id").alias("least"))
     found = whole.join(least, "comp").select("id", "least")
     return stored(vertices.join(found, "id", "left").select("id", F.coalesce("least", "id").alias("comp")), "components")
@@ -145,14 +161,14 @@ def largest_part(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     return part, rest, left
 
 
-def strong_components(graph: Graph, finish: int = FINISH) -> DataFrame:
+def strong_components(graph: Graph, finish: int = FINISH, block: int = BLOCK) -> DataFrame:
     """(id, comp), in steps: trimming, the largest component by reach from one vertex both ways, then colouring.
 
     All subproblems of colouring go on together: colours are the largest ids passed along the edges; a
     vertex that keeps its own is a head, and what reaches it within its colour is its component. Edges
     between colours lie on no cycle and are dropped for good.
     """
-    edges, rows = simple_edges(graph)
+    edges, rows, small = smaller(graph, finish, block)
     parts: list[DataFrame] = []
     if rows > finish:
         edges, rows = trim(edges, rows)
@@ -173,16 +189,16 @@ def strong_components(graph: Graph, finish: int = FINISH) -> DataFrame:
             edges, rows = trim(edges, rows)
     if rows:
         parts.append(in_one_task(edges, depth_first, "id long, comp long"))
-    return named(graph, parts)
+    return named(graph, parts, small)
 
 
-def strong_components_fb(graph: Graph, finish: int = FINISH, candidates: bool = False) -> DataFrame:
+def strong_components_fb(graph: Graph, finish: int = FINISH, candidates: bool = False, block: int = BLOCK) -> DataFrame:
     """(id, comp), by forward and backward reach from a pivot in every open part at once; what neither, one or the other reaches are new parts.
 
     candidates: the sizes of new parts and a pivot for each are found while vertices are marked, so no
     scan looks for pivots, a part that is one vertex is closed at once, and so is a part that its pivot's component fills.
     """
-    edges, rows = simple_edges(graph)
+    edges, rows, small = smaller(graph, finish, block)
     labels: DataFrame | None = None
     parts: list[DataFrame] = []
     while rows > finish:
@@ -208,10 +224,10 @@ def strong_components_fb(graph: Graph, finish: int = FINISH, candidates: bool =
         edges, rows = counted(within(edges, labels).select("src", "dst"), "edges")
     if rows:
         parts.append(in_one_task(edges, depth_first, "id long, comp long"))
-    return named(graph, parts)
+    return named(graph, parts, small)
 
 
-def strong_components_obf(graph: Graph, finish: int = FINISH, random_pivots: bool = False, seed: int = 1, nesting: int | None = None) -> DataFrame:
+def strong_components_obf(graph: Graph, finish: int = FINISH, random_pivots: bool = False, seed: int = 1, nesting: int | None = None, block: int = BLOCK) -> DataFrame:
     """(id, comp), by slices: one-way catch them young, backward reach, forward seeds.
 
     In every open part a pivot's forward reach is a chunk. A chunk is cut into slices from the pivot on:
@@ -221,7 +237,7 @@ def strong_components_obf(graph: Graph, finish: int = FINISH, random_pivots: boo
     slice of which nothing went is the pivot's component. All parts go on together. random_pivots: pivots
     by a hash, not the least id. nesting: after so many rounds of slices, colouring ends the rest.
     """
-    edges, rows = simple_edges(graph)
+    edges, rows, small = smaller(graph, finish, block)
     parts: list[DataFrame] = []
     labels = None
     level = 0
@@ -271,11 +287,11 @@ def strong_components_obf(graph: Graph, finish: int = FINISH, random_pivots: boo
         labels = stored(rest.join(names, "label").select("id", F.col("name").alias("label")), "labels")
         edges, rows = counted(within(edges, labels).select("src", "dst"), "edges")
     if rows > finish:
-        tail = strong_components(Graph(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), edges), finish)
+        tail = strong_components(Graph(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), edges), finish, block)
         parts.append(tail)
     elif rows:
         parts.append(in_one_task(edges, depth_first, "id long, comp long"))
-    return named(graph, parts)
+    return named(graph, parts, small)
 
 
 def component_sizes(components: DataFrame) -> DataFrame:
