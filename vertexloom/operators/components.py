@@ -243,6 +243,10 @@ def strong_components_obf(graph: Graph, finish: int = FINISH, random_pivots: boo
     level = 0
     while rows > finish and (nesting is None or level < nesting):
         level += 1
+        if level > 1:
+            edges, rows = trim(edges, rows)
+            if rows <= finish:
+                break
         ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
         labels = stored(ends.withColumn("label", F.lit(0).cast("long")) if labels is None else labels.join(ends, "id", "left_semi"), "labels")
         order = F.xxhash64(F.lit(seed), F.lit(level), "id") if random_pivots else F.col("id")
