@@ -149,6 +149,9 @@ def test_contraction_against_brute_force(spark, block):
     n, edges = chained(block)
     want, graph = brute(n, edges), graph_of(spark, n, edges)
     assert pairs(C.strong_components(graph, finish=1, block=block), "id", "comp") == set(want.items())
+    leaving = {want[a] for a, b in edges if want[a] != want[b]}
+    members = {(i, c) for i, c in want.items() if c not in leaving}
+    assert pairs(C.terminal_by_colour(graph, few=0, block=block), "id", "comp") == members == pairs(C.terminal_by_reach(graph, few=0, block=block), "id", "comp")
 
 
 def test_long_chains_take_few_rounds(spark):

@@ -378,33 +378,61 @@ def terminal_components(components: DataFrame, edges: DataFrame) -> DataFrame:
     return components.select("comp").distinct().join(edges.select(F.col("src_comp").alias("comp")).distinct(), "comp", "left_anti")
 
 
-def terminal_by_colour(graph: Graph) -> DataFrame:
+FEW = 64
+
+
+def terminal_smaller(graph: Graph, few: int, block: int) -> tuple[Graph, Contraction]:
+    """The graph contracted, with distinct edges without loops, and the way back. Where edges end outside the vertices nothing is contracted."""
+    edges, rows = simple_edges(graph)
+    vertices = graph.vertices.filter("id is not null").select("id")
+    if rows > few and not graph.spanned and not edges.select(F.explode(F.array("src", "dst")).alias("id")).join(vertices, "id", "left_anti").isEmpty():
+        few = rows
+    small = Contraction(edges, rows, depth_first, few, block)
+    if small.levels:
+        vertices = stored(small.vertices(vertices), "vertices")
+    return Graph(vertices, small.edges), small
+
+
+def terminal_named(found: DataFrame, small: Contraction) -> DataFrame:
+    """(id, comp) of all members with the least id of each component, from those of the contracted graph."""
+    if not small.levels:
+        return found
+    whole = small.expand(stored(found, "terminal"), alone=False)
+    least = whole.groupBy("comp").agg(F.min("id").alias("least"))
+    return whole.join(least, "comp").select("id", F.col("least").alias("comp"))
+
+
+def terminal_by_colour(graph: Graph, few: int = FEW, block: int = BLOCK) -> DataFrame:
     """(id, comp) of the members of terminal components, without all components.
 
     Colours are the largest ids among descendants. What a head reaches within its colour is a terminal
-    component unless an edge leads from there into another colour.
+    component unless an edge leads from there into another colour. Over the contracted graph.
     """
-    edges, _ = simple_edges(graph)
-    colours = spread(graph.vertices.select("id", F.col("id").alias("label")), flipped(edges))
+    core, small = terminal_smaller(graph, few, block)
+    edges = core.edges
+    if small.levels and not small.rows:
+        return terminal_named(core.vertices.select("id", F.col("id").alias("comp")), small)
+    colours = spread(core.vertices.select("id", F.col("id").alias("label")), flipped(edges))
     inner = stored(within(edges, colours).select("src", "dst"), "inner")
     found = stored(reach_set(inner, colours.filter("id = label").select("id")).join(colours, "id").select("id", "label"), "found")
     targets = colours.select(F.col("id").alias("dst"), F.col("label").alias("other"))
     leaving = edges.join(found.withColumnRenamed("id", "src"), "src").join(targets, "dst").filter("label <> other").select("label").distinct()
     kept = found.join(leaving, "label", "left_anti")
-    return kept.join(kept.groupBy("label").agg(F.min("id").alias("comp")), "label").select("id", "comp")
+    return terminal_named(kept.join(kept.groupBy("label").agg(F.min("id").alias("comp")), "label").select("id", "comp"), small)
 
 
-def terminal_by_reach(graph: Graph, trimmed: bool = True) -> DataFrame:
+def terminal_by_reach(graph: Graph, trimmed: bool = True, few: int = FEW, block: int = BLOCK) -> DataFrame:
     """(id, comp) of the members of terminal components, by reach from a pivot in every open part at once.
 
     Of a pivot's forward reach, what reaches the pivot is its component: terminal if that is all. Else the
     forward reach without it is a part of its own, for every terminal component the pivot reaches lies
     there. What reaches the forward reach from outside is not terminal and is dropped; the rest of the
     part is the other new part. trimmed: vertices without an edge out are terminal at once, and what
-    reaches them is dropped, before the first pivot.
+    reaches them is dropped, before the first pivot. Over the contracted graph.
     """
-    edges, _ = simple_edges(graph)
-    labels = stored(graph.vertices.filter("id is not null").select("id", F.lit(0).cast("long").alias("label")), "labels")
+    core, small = terminal_smaller(graph, few, block)
+    edges = core.edges
+    labels = stored(core.vertices.select("id", F.lit(0).cast("long").alias("label")), "labels")
     found: list[DataFrame] = []
     if trimmed:
         ends = labels.select("id").join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
@@ -429,7 +457,7 @@ def terminal_by_reach(graph: Graph, trimmed: bool = True) -> DataFrame:
     whole = found[0] if found else labels.select("id", F.col("id").alias("comp"))
     for x in found[1:]:
         whole = whole.union(x)
-    return whole
+    return terminal_named(whole, small)
 
 
 def terminal_members(graph: Graph, decode: Column | None = None) -> DataFrame:
