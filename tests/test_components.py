@@ -162,3 +162,22 @@ def test_long_chains_take_few_rounds(spark):
     comps = C.strong_components_fb(graph, finish=0)
     assert {x.size: x.n for x in C.size_histogram(comps).collect()} == {101: 1, 51: 1, 50: 1, 1: 98}
     assert len(iterate.LOG) < 30  # one reach alone took a hundred
+
+
+@pytest.mark.parametrize("block", [7, 40, 1000])
+def test_depths_over_ranges(spark, block):
+    r = random.Random(block)
+    n = 120
+    names = r.sample(range(1000), n) if block == 40 else list(range(n))
+    edges = sorted({(i, i + 1) for i in range(n - 1) if i % 17} | {(a, b) for a, b in ((r.randrange(n), r.randrange(n)) for _ in range(60)) if a < b})
+    comps = spark.createDataFrame([(x,) for x in names], "comp long")
+    quotient = spark.createDataFrame([(names[a], names[b]) for a, b in edges], "src_comp long, dst_comp long")
+    want: dict[int, int] = {}
+    for v in range(n - 1, -1, -1):
+        want[v] = min((want[b] + 1 for a, b in edges if a == v), default=0)
+    iterate.LOG.clear()
+    assert pairs(C.quotient_depths(comps, quotient, finish=0, block=block), "comp", "depth") == {(names[v], k) for v, k in want.items()}
+    if block == 1000:
+        assert len(iterate.LOG) == 1  # a round for every vertex of the longest path before
+    with pytest.raises(ValueError, match="cycle"):
+        C.quotient_depths(comps, quotient.union(spark.createDataFrame([(names[50], names[40])], "src_comp long, dst_comp long")), finish=0, block=block)

@@ -11,6 +11,7 @@ contracted first (`contract`), which changes no result.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..storage import stored
-from .contract import BLOCK, Contraction
-from .iterate import Layers, counted, parts_of, placed
+from .contract import BLOCK, Contraction, in_ranges, range_bounds
+from .iterate import counted, logged, parts_of
 from .traversal import reach_set, spread
 
 TRIM_PASSES = 3
@@ -341,14 +342,45 @@ def nearest_leaves(src: list[int], dst: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def quotient_depths(components: DataFrame, edges: DataFrame, finish: int = FINISH) -> DataFrame:
+def settled(src: list[int], dst: list[int | None], depth: list[int | None]) -> list[tuple[int, int | None, int | None, bool]]:
+    """Depths counted down as far as these edges tell: (id, none, depth, false) of sources that have one, (id, target, none, true) and (id, none, least depth so far, true) of the others.
+
+    depth: of the target, where it is known; a row without a target is the least depth of targets known before.
+    """
+    waits: dict[int, int] = {}
+    least: dict[int, int] = {}
+    back: dict[int, list[int]] = {}
+    for a, b, d in zip(src, dst, depth, strict=True):
+        waits.setdefault(a, 0)
+        if d is not None:
+            least[a] = min(least.get(a, d), d)
+        else:
+            waits[a] += 1
+            back.setdefault(b, []).append(a)
+    todo = [a for a, n in waits.items() if not n]
+    out: list[tuple[int, int | None, int | None, bool]] = []
+    for b in todo:  # grows as it goes
+        found = least[b] + 1
+        out.append((b, None, found, False))
+        for a in back.pop(b, ()):
+            waits[a] -= 1
+            least[a] = min(least.get(a, found), found)
+            if not waits[a]:
+                todo.append(a)
+    out += [(a, b, None, True) for b, sources in back.items() for a in sources]
+    return out + [(a, None, least[a], True) for a, n in waits.items() if n and a in least]
+
+
+def quotient_depths(components: DataFrame, edges: DataFrame, finish: int = FINISH, block: int = BLOCK) -> DataFrame:
     """(comp, depth): 0 without targets, else one more than the least depth of the targets, once all have one. A cycle is an error.
 
-    Targets are counted down: a round sends the depths it has just found to their sources, and a source
-    is done when it has heard of as many targets as it has. Only what a round found is joined.
+    Targets are counted down: a round settles, in a task for each range of sources with at most `block` edges,
+    all sources whose targets are settled, however long the paths within the range; the depths it found
+    go to the sources in other ranges. So rounds grow with the ranges that a path passes, not with its edges.
+    (The edges of one source lie in one range.)
     """
     comps = components.filter("comp is not null").select("comp").distinct()
-    edges, rows = counted(edges.select("src_comp", "dst_comp").distinct(), "quotient")
+    edges, rows = counted(edges.select("src_comp", "dst_comp").filter("src_comp is not null and dst_comp is not null").distinct(), "quotient")
     if rows <= finish:
         found = in_one_task(edges, nearest_leaves, "comp long, depth long").select("comp", F.col("depth").cast("int").alias("depth"))
         found, many = counted(found, "depths")
@@ -356,21 +388,31 @@ def quotient_depths(components: DataFrame, edges: DataFrame, finish: int = FINIS
             raise ValueError("the quotient has a cycle")
         return comps.join(found, "comp", "left").select("comp", F.coalesce("depth", F.lit(0)).alias("depth"))
     spark = edges.sparkSession
-    wanted, sources = counted(edges.groupBy(F.col("src_comp").alias("id")).agg(F.count(F.lit(1)).alias("wanted")), "wanted")
-    leaves = edges.select(F.col("dst_comp").alias("id")).distinct().join(wanted, "id", "left_anti").withColumn("depth", F.lit(0))
-    with placed(flipped(edges.toDF("src", "dst"))) as back, Layers(spark, "heard") as heard, Layers(spark, "depths") as done:
-        new, many = done.add(leaves)
-        total = 0
-        while many:
-            got, _ = heard.add(back.follow(new).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("depth").alias("least")))
-            far = heard.whole().join(got.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
-            ready = far.join(wanted, "id").filter("n = wanted").select("id", (F.col("least") + 1).alias("depth"))
-            new, many = done.add(ready)
-            total += many
-        if total < sources:
-            raise ValueError("the quotient has a cycle")
-        found = done.result()
-    return comps.join(found.withColumnRenamed("id", "comp"), "comp", "left").select("comp", F.coalesce("depth", F.lit(0)).alias("depth"))
+    bounds = range_bounds(edges.select(F.col("src_comp").alias("src")), rows, block)
+    sources = edges.select(F.col("src_comp").alias("dst_comp"), F.lit(False).alias("leaf")).distinct()
+    open_ = edges.join(sources, "dst_comp", "left").select(F.col("src_comp").alias("src"), F.col("dst_comp").alias("dst"), F.when(F.coalesce("leaf", F.lit(True)), 0).cast("long").alias("depth"))
+    parts: list[DataFrame] = []
+
+    def task(pieces: Iterator[list[list]]) -> Iterator[pa.RecordBatch]:
+        for src, dst, depth in pieces:
+            out = settled(src, dst, depth)
+            yield pa.record_batch([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["id", "dst", "depth", "open"])
+
+    while rows:
+        began = time.time()
+        state, rows = counted(in_ranges(open_, bounds, parts_of(spark), task, "id long, dst long, depth long, open boolean"), "settled", "open")
+        new = state.filter("not open").select("id", "depth")
+        parts.append(new)
+        logged("depths", len(parts), rows, time.time() - began)
+        if rows:
+            if new.isEmpty():
+                raise ValueError("the quotient has a cycle")
+            if bounds and rows <= block:
+                bounds = []
+            known = new.select(F.col("id").alias("dst"), F.col("depth").alias("known"))
+            open_ = state.filter("open").join(known, "dst", "left").select(F.col("id").alias("src"), "dst", F.coalesce("known", "depth").alias("depth"))
+    found = together(parts).select(F.col("id").alias("comp"), F.col("depth").cast("int").alias("depth"))
+    return comps.join(found, "comp", "left").select("comp", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 def terminal_components(components: DataFrame, edges: DataFrame) -> DataFrame:

@@ -57,6 +57,43 @@ def followed(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return state.filter("not open").select("id", "end", "last"), rings.select("id", F.col("least").alias("comp"))
 
 
+def range_bounds(edges: DataFrame, rows: int, block: int) -> list[int]:
+    """Ids between which lie at most about `block` edges (src, ...) each, ascending; at most RANGES - 1."""
+    pieces = min(RANGES, -(-rows // block))
+    if pieces < 2:
+        return []
+    bounds = edges.agg(F.percentile_approx("src", [k / pieces for k in range(1, pieces)], max(1000, 8 * pieces)).alias("b")).first()[0]
+    return sorted(set(bounds))
+
+
+def in_ranges(edges: DataFrame, bounds: list[int], parts: int, task: Callable[[Iterator[list[list]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """task over the columns of edges (src, ...), a list of lists for each range of src."""
+    names = edges.columns
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            at = np.searchsorted(bounds, x.column(0).to_numpy(), "right") if bounds else np.zeros(x.num_rows, np.int64)
+            yield pa.record_batch([pa.array(at.astype(np.int64)), *x.columns], names=["at", *names])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+        now, columns = None, [[] for _ in names]
+        for x in batches:
+            at = x.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)] if len(at) else [0]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if at[i] != now:
+                    if columns[0]:
+                        yield columns
+                    now, columns = at[i], [[] for _ in names]
+                for k, c in enumerate(columns, 1):
+                    c += x.column(k).slice(i, j - i).to_pylist()
+        if columns[0]:
+            yield columns
+
+    rows = edges.mapInArrow(dealt, f"at long, {', '.join(f'{n} long' for n in names)}").repartition(parts, "at").sortWithinPartitions("at")
+    return rows.mapInArrow(lambda batches: task(pieces(batches)), schema)
+
+
 class Chains:
     """Distinct edges without loops, each chain replaced by one edge between the vertices at its ends."""
 
@@ -87,9 +124,7 @@ class Ranges:
     """Distinct edges without loops, the components within ranges of ids made one vertex each."""
 
     def __init__(self, edges: DataFrame, rows: int, block: int, solve: Callable[[list[int], list[int]], list[tuple[int, int]]]):
-        pieces = min(RANGES, -(-rows // block))
-        bounds = edges.agg(F.percentile_approx("src", [k / pieces for k in range(1, pieces)] or [1.0], max(1000, 8 * pieces)).alias("b")).first()[0]
-        bounds = sorted(set(bounds[: pieces - 1]))
+        bounds = range_bounds(edges, rows, block)
 
         def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in batches:
