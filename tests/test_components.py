@@ -4,7 +4,7 @@ import pytest
 
 from vertexloom.graph import Graph
 from vertexloom.operators import components as C
-from vertexloom.operators import iterate
+from vertexloom.operators import iterate, traversal
 from vertexloom.sources import generators as g
 
 
@@ -181,3 +181,21 @@ def test_depths_over_ranges(spark, block):
         assert len(iterate.LOG) == 1  # a round for every vertex of the longest path before
     with pytest.raises(ValueError, match="cycle"):
         C.quotient_depths(comps, quotient.union(spark.createDataFrame([(names[50], names[40])], "src_comp long, dst_comp long")), finish=0, block=block)
+
+
+@pytest.mark.parametrize("block", [50, 1000])
+def test_terminal_searches_over_ranges(spark, block):
+    n = 120
+    edges = [(i, i + 1) for i in range(99) if i % 10] + [(i, i + 20) for i in range(0, 80, 3)] + [(100 + i, 100 + (i ^ 1)) for i in range(20)]
+    want, graph = brute(n, edges), graph_of(spark, n, edges)
+    leaving = {want[a] for a, b in edges if want[a] != want[b]}
+    members = {(i, c) for i, c in want.items() if c not in leaving}
+    for trimmed in (True, False):
+        iterate.LOG.clear()
+        found = C.terminal_by_reach(graph, trimmed, few=1000, block=block)
+        assert pairs(found, "id", "comp") == members
+        assert not iterate.LOG  # a pivot for each of twenty components before
+    assert pairs(C.terminal_by_colour(graph, few=1000, block=block, finish=0), "id", "comp") == members == pairs(C.terminal_by_colour(graph, few=1000, block=block), "id", "comp")
+    far = C.reach_set(graph.edges, spark.createDataFrame([(51,), (100,)], "id long"), block=block)
+    assert pairs(far, "id") == pairs(traversal.reach_set(graph.edges, spark.createDataFrame([(51,), (100,)], "id long")), "id")
+    assert pairs(C.terminal_by_reach(graph_of(spark, 40, [(i, i + 1) for i in range(29)]), False, few=1000, block=7, finish=0), "id", "comp") == {(i, i) for i in range(29, 40)}

@@ -22,10 +22,13 @@ from ..graph import Graph
 from ..storage import stored
 from .contract import BLOCK, Contraction, in_ranges, range_bounds
 from .iterate import counted, logged, parts_of
-from .traversal import reach_set, spread
+from .traversal import spread
+from .traversal import reach_set as reach_rounds
 
 TRIM_PASSES = 3
 FINISH = 100_000
+# Reach goes by ranges of ids up to so many of them.
+RANGED = 20
 
 
 def simple_edges(graph: Graph) -> tuple[DataFrame, int]:
@@ -44,6 +47,47 @@ def flipped(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
+def spreading(ids: list[int], via: list[int], hit: list[int]) -> list[tuple[int, int | None, bool]]:
+    """What is reached as far as these edges (via to id) tell: (id, none, false) of ids that are, (id, via, true) of edges into others. hit: 1 where via is reached."""
+    todo = list({i for i, h in zip(ids, hit, strict=True) if h})
+    seen = set(todo)
+    ahead: dict[int, list[int]] = {}
+    for i, v in zip(ids, via, strict=True):
+        ahead.setdefault(v, []).append(i)
+    for v in todo:  # grows as it goes
+        for i in ahead.get(v, ()):
+            if i not in seen:
+                seen.add(i)
+                todo.append(i)
+    return [(i, None, False) for i in todo] + [(i, v, True) for i, v in zip(ids, via, strict=True) if i not in seen]
+
+
+def reach_set(edges: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(id): what any source (id) reaches. Up to RANGED times `block` edges a round follows paths, in a task for each range of targets, as far as they stay within it; beyond, rounds of a few edges move the frontier alone."""
+    edges, rows = counted(edges.select(F.col("dst").alias("id"), F.col("src").alias("via")), "reach")
+    if rows > RANGED * block:
+        return reach_rounds(edges.select(F.col("via").alias("src"), F.col("id").alias("dst")), sources)
+    bounds = range_bounds(edges.select(F.col("id").alias("src")), rows, block) if rows else []
+
+    def task(pieces: Iterator[list[list]]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces:
+            out = spreading(*piece)
+            yield pa.record_batch([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["id", "via", "open"])
+
+    new = stored(sources.filter("id is not null").select("id").distinct(), "reach")
+    parts, open_ = [new], edges
+    while True:
+        began = time.time()
+        hit = open_.join(new.select(F.col("id").alias("via"), F.lit(1).cast("long").alias("hit")), "via", "left").select("id", "via", F.coalesce("hit", F.lit(0).cast("long")).alias("hit"))
+        state, many = counted(in_ranges(hit, bounds, parts_of(edges.sparkSession), task, "id long, via long, open boolean"), "reach", "not open")
+        new, open_ = state.filter("not open").select("id"), state.filter("open").select("id", "via")
+        logged("reach_set", len(parts), many, time.time() - began)
+        if many:
+            parts.append(new)
+        if not many or not bounds:
+            return together(parts).distinct()
+
+
 def in_one_task(rows: DataFrame, run: Callable[[list[int], list[int]], list[tuple[int, int]]], schema: str) -> DataFrame:
     """run over the pairs of a table whose size has been checked."""
 
@@ -435,6 +479,20 @@ def terminal_smaller(graph: Graph, few: int, block: int) -> tuple[Graph, Contrac
     return Graph(vertices, small.edges), small
 
 
+def terminal_first(src: list[int], dst: list[int]) -> list[tuple[int, int]]:
+    """(id, least id of its component) of the members of terminal components that have an edge."""
+    out = depth_first(src, dst)
+    comp = dict(out)
+    leaving = {comp[a] for a, b in zip(src, dst, strict=True) if comp[a] != comp[b]}
+    return [x for x in out if x[1] not in leaving]
+
+
+def terminal_rest(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, comp) of the members of terminal components of a graph whose number of edges has been checked."""
+    alone = vertices.select("id").join(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "id", "left_anti")
+    return stored(alone.select("id", F.col("id").alias("comp")).union(in_one_task(edges, terminal_first, "id long, comp long")), "terminal")
+
+
 def terminal_named(found: DataFrame, small: Contraction) -> DataFrame:
     """(id, comp) of all members with the least id of each component, from those of the contracted graph."""
     if not small.levels:
@@ -444,7 +502,7 @@ def terminal_named(found: DataFrame, small: Contraction) -> DataFrame:
     return whole.join(least, "comp").select("id", F.col("least").alias("comp"))
 
 
-def terminal_by_colour(graph: Graph, few: int = FEW, block: int = BLOCK) -> DataFrame:
+def terminal_by_colour(graph: Graph, few: int = FEW, block: int = BLOCK, finish: int = FINISH) -> DataFrame:
     """(id, comp) of the members of terminal components, without all components.
 
     Colours are the largest ids among descendants. What a head reaches within its colour is a terminal
@@ -454,40 +512,50 @@ def terminal_by_colour(graph: Graph, few: int = FEW, block: int = BLOCK) -> Data
     edges = core.edges
     if small.levels and not small.rows:
         return terminal_named(core.vertices.select("id", F.col("id").alias("comp")), small)
+    if small.rows <= finish:
+        known = core.vertices.select(F.col("id").alias("src"))
+        return terminal_named(terminal_rest(core.vertices, edges.join(known, "src", "left_semi").join(known.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst")), small)
     colours = spread(core.vertices.select("id", F.col("id").alias("label")), flipped(edges))
     inner = stored(within(edges, colours).select("src", "dst"), "inner")
-    found = stored(reach_set(inner, colours.filter("id = label").select("id")).join(colours, "id").select("id", "label"), "found")
+    found = stored(reach_set(inner, colours.filter("id = label").select("id"), block).join(colours, "id").select("id", "label"), "found")
     targets = colours.select(F.col("id").alias("dst"), F.col("label").alias("other"))
     leaving = edges.join(found.withColumnRenamed("id", "src"), "src").join(targets, "dst").filter("label <> other").select("label").distinct()
     kept = found.join(leaving, "label", "left_anti")
     return terminal_named(kept.join(kept.groupBy("label").agg(F.min("id").alias("comp")), "label").select("id", "comp"), small)
 
 
-def terminal_by_reach(graph: Graph, trimmed: bool = True, few: int = FEW, block: int = BLOCK) -> DataFrame:
+def terminal_by_reach(graph: Graph, trimmed: bool = True, few: int = FEW, block: int = BLOCK, finish: int = FINISH) -> DataFrame:
     """(id, comp) of the members of terminal components, by reach from a pivot in every open part at once.
 
     Of a pivot's forward reach, what reaches the pivot is its component: terminal if that is all. Else the
     forward reach without it is a part of its own, for every terminal component the pivot reaches lies
     there. What reaches the forward reach from outside is not terminal and is dropped; the rest of the
-    part is the other new part. trimmed: vertices without an edge out are terminal at once, and what
-    reaches them is dropped, before the first pivot. Over the contracted graph.
+    part is the other new part. All parts are closed under their edges. trimmed: vertices without an edge out are
+    terminal at once, and what reaches them is dropped, before the first pivot; else after it, for they
+    would cost a round each. Over the contracted graph; one task ends the work where at most `finish` edges are left.
     """
     core, small = terminal_smaller(graph, few, block)
     edges = core.edges
-    labels = stored(core.vertices.select("id", F.lit(0).cast("long").alias("label")), "labels")
+    labels, left = counted(core.vertices.select("id", F.lit(0).cast("long").alias("label")), "labels")
     found: list[DataFrame] = []
-    if trimmed:
-        ends = labels.select("id").join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
-        found.append(stored(ends.select("id", F.col("id").alias("comp")), "ends"))
-        labels = labels.join(reach_set(flipped(edges), found[0].select("id")), "id", "left_anti")
-    labels, left = counted(labels, "labels")
+    due, ended = trimmed, False
     while left:
-        edges = stored(within(edges, labels).select("src", "dst"), "edges")
+        edges, rows = counted(within(edges, labels).select("src", "dst"), "edges")
+        if rows <= finish:
+            found.append(terminal_rest(labels, edges))
+            break
+        if due and not ended:
+            ends = labels.select("id").join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
+            found.append(stored(ends.select("id", F.col("id").alias("comp")), "ends"))
+            labels, left = counted(labels.join(reach_set(flipped(edges), found[-1].select("id"), block), "id", "left_anti"), "labels")
+            ended = True
+            continue
+        due = True
         pivots = stored(labels.groupBy("label").agg(F.min("id").alias("id")), "pivots")
-        ahead = stored(reach_set(edges, pivots.select("id")).join(labels, "id"), "ahead")
+        ahead = stored(reach_set(edges, pivots.select("id"), block).join(labels, "id"), "ahead")
         inner = within(edges, ahead).select("src", "dst")
-        own = stored(reach_set(flipped(inner), pivots.select("id")).join(labels, "id"), "own")
-        behind = reach_set(flipped(edges), ahead.select("id"))
+        own = stored(reach_set(flipped(inner), pivots.select("id"), block).join(labels, "id"), "own")
+        behind = reach_set(flipped(edges), ahead.select("id"), block)
         sizes = ahead.groupBy("label").agg(F.count(F.lit(1)).alias("f")).join(own.groupBy("label").agg(F.count(F.lit(1)).alias("c")), "label").filter("f = c").select("label")
         ready = own.join(sizes, "label", "left_semi")
         found.append(stored(ready.join(ready.groupBy("label").agg(F.min("id").alias("comp")), "label").select("id", "comp"), "terminal"))
