@@ -94,6 +94,12 @@ def in_ranges(edges: DataFrame, bounds: list[int], parts: int, task: Callable[[I
     return rows.mapInArrow(lambda batches: task(pieces(batches)), schema)
 
 
+def passing(edges: DataFrame) -> DataFrame:
+    """(id) with one edge in and one out."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x")).select("x.*")
+    return ends.groupBy("id").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).filter("o = 1 and i = 1").select("id")
+
+
 class Chains:
     """Distinct edges without loops, each chain replaced by one edge between the vertices at its ends."""
 
@@ -109,6 +115,11 @@ class Chains:
     def vertices(self, whole: DataFrame) -> DataFrame:
         return whole.join(self.passes, "id", "left_anti")
 
+    def reached(self, found: DataFrame) -> DataFrame:
+        """(id) reached, from what is (id) of those left, where no source lies in a chain or ring."""
+        entered = self.heads.join(found.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("chain").alias("last")).distinct()
+        return found.union(self.chains.join(entered, "last", "left_semi").select("id"))
+
     def expand(self, found: DataFrame, alone: bool) -> DataFrame:
         how = "left" if alone else "inner"
         a, b = found.select(F.col("id").alias("src"), F.col("comp").alias("a")), found.select(F.col("id").alias("dst"), F.col("comp").alias("b"))
@@ -166,6 +177,10 @@ class Ranges:
     def vertices(self, whole: DataFrame) -> DataFrame:
         return whole.join(self.places.filter("id <> to").select("id"), "id", "left_anti")
 
+    def reached(self, found: DataFrame) -> DataFrame:
+        """(id) reached, from what is (id) of those left."""
+        return self.expand(found.withColumn("comp", F.lit(0)), alone=False).select("id")
+
     def expand(self, found: DataFrame, alone: bool) -> DataFrame:
         theirs = found.select(F.col("id").alias("to"), "comp")
         own = self.places.join(theirs, "to", "left" if alone else "inner").select("id", F.coalesce("comp", "to").alias("comp"))
@@ -175,7 +190,7 @@ class Ranges:
 class Contraction:
     """edges (distinct, without loops, without null), made fewer while they are more than `few`: chains, and ranges where they are more than `block`. trim: what else takes away edges on no cycle, where an id that is not listed is alone."""
 
-    def __init__(self, edges: DataFrame, rows: int, solve: Callable[[list[int], list[int]], list[tuple[int, int]]], few: int, block: int = BLOCK, trim: Callable[[DataFrame, int], tuple[DataFrame, int]] | None = None):
+    def __init__(self, edges: DataFrame, rows: int, solve: Callable[[list[int], list[int]], list[tuple[int, int]]], few: int, block: int = BLOCK, trim: Callable[..., tuple[DataFrame, int]] | None = None):
         self.levels: list[Chains | Ranges] = []
         self.edges, self.rows = edges, rows
         while self.rows > few:
@@ -183,10 +198,9 @@ class Contraction:
             if self.rows > block:
                 self._add(Ranges(self.edges, self.rows, block, solve))
             if self.rows > few and trim is not None:
-                self.edges, self.rows = trim(self.edges, self.rows)
+                self.edges, self.rows = trim(self.edges, self.rows, block=block)
             if self.rows > few:
-                ends = self.edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x")).select("x.*")
-                passes, many = counted(ends.groupBy("id").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).filter("o = 1 and i = 1").select("id"), "passes")
+                passes, many = counted(passing(self.edges), "passes")
                 if many * WORTH >= self.rows:
                     self._add(Chains(self.edges, passes))
             if (before - self.rows) * WORTH < before:

@@ -169,12 +169,15 @@ def echo(graph: Graph, root: int | None = None) -> DataFrame:
 def cascade(graph: Graph, seeds: DataFrame, p: float = 0.51, seed: int = 1) -> DataFrame:
     """(id) used by an independent cascade: edges live with probability p, seeds take with p as well.
 
+    What the seeds reach over live edges is found over the contracted graph, so long ways take no rounds of their own.
     An edge's draw is a hash of its ends and its number among equal edges, so it does not hang on layout.
     """
+    from .reach import reached  # it is built on this module
+
     draw = lambda *c: F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(1 << 30)) / F.lit(float(1 << 30)) < p
     many = graph.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
     alive = many.filter(F.exists(F.sequence(F.lit(1), F.col("n")), lambda k: draw("src", "dst", k)))
-    return reach_set(alive, seeds.filter(draw("id", F.lit(0))))
+    return reached(alive, seeds.filter(draw("id", F.lit(0))))
 
 
 def cascade_seeds(graph: Graph, count: int, seed: int = 1) -> DataFrame:

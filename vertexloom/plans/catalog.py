@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..functions.index import beside
 from ..graph import Graph
-from ..operators import collectives, degrees, iterate, layout, pregel, rank, search, traversal, triangles
+from ..operators import collectives, degrees, iterate, layout, pregel, rank, reach, search, traversal, triangles
 from ..operators import components as C
 from ..sources import generators, petri, segments, sinks, spec, tables
 from ..storage import fresh, stored
@@ -238,7 +238,7 @@ def cascade(spark, d):
     graph = users_kept(spark, d)
     seeds = stored(traversal.cascade_seeds(graph, 10), "seeds")
     a, b = stored(traversal.cascade(graph, seeds), "cascade"), traversal.cascade(graph.transpose().transpose(), seeds)
-    far = traversal.reach_set(graph.edges, seeds)
+    far = reach.reached(graph.edges, seeds)
     outside = a.join(far, "id", "left_anti").agg((F.count(F.lit(1)) == 0).alias("within"))
     taken = seeds.join(a, "id", "left_semi").agg((F.count(F.lit(1)) <= 10).alias("seeds_kept"))
     same = a.join(b, "id", "left_anti").union(b.join(a, "id", "left_anti")).agg((F.count(F.lit(1)) == 0).alias("repeats"))
