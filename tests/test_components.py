@@ -199,3 +199,27 @@ def test_terminal_searches_over_ranges(spark, block):
     far = C.reach_set(graph.edges, spark.createDataFrame([(51,), (100,)], "id long"), block=block)
     assert pairs(far, "id") == pairs(traversal.reach_set(graph.edges, spark.createDataFrame([(51,), (100,)], "id long")), "id")
     assert pairs(C.terminal_by_reach(graph_of(spark, 40, [(i, i + 1) for i in range(29)]), False, few=1000, block=7, finish=0), "id", "comp") == {(i, i) for i in range(29, 40)}
+
+
+@pytest.mark.parametrize("block", [20, 1000])
+def test_trimming_takes_whole_paths(spark, block):
+    r = random.Random(block)
+    n = 150
+    edges = sorted({(i, i + 1) for i in range(n - 1) if i % 50} | {(a, b) for a, b in ((r.randrange(n), r.randrange(n)) for _ in range(30)) if a < b} | {(90, 70), (70, 60), (60, 70)})
+    left = set(edges)
+    while True:  # the slow way
+        kept = {e for e in left if e[0] in {b for _, b in left} and e[1] in {a for a, _ in left}}
+        if kept == left:
+            break
+        left = kept
+    found, rows = C.trim(spark.createDataFrame(edges, "src long, dst long"), len(edges), block=block)
+    assert left and pairs(found, "src", "dst") == left and rows == len(left)  # nine steps from either end before
+
+
+def test_slices_go_along_paths_at_once(spark):
+    n = 100
+    edges = [(i, i + 1) for i in range(n - 1)] + [(i, i + 2) for i in range(n - 2)] + [(99, 95), (98, 96)]
+    iterate.LOG.clear()
+    found = C.strong_components_obf(graph_of(spark, n, edges), finish=1)
+    assert pairs(found, "id", "comp") == set(brute(n, edges).items())
+    assert len(iterate.LOG) < 12

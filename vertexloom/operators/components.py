@@ -67,25 +67,53 @@ def reach_set(edges: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataF
     edges, rows = counted(edges.select(F.col("dst").alias("id"), F.col("src").alias("via")), "reach")
     if rows > RANGED * block:
         return reach_rounds(edges.select(F.col("via").alias("src"), F.col("id").alias("dst")), sources)
+    first = stored(sources.filter("id is not null").select("id").distinct(), "reach")
+    return followed_on(edges, rows, first, spreading, "reach_set", block).distinct()
+
+
+def followed_on(edges: DataFrame, rows: int, first: DataFrame, rule: Callable[[list[int], list[int], list[int]], list[tuple[int, int | None, bool]]], loop: str, block: int) -> DataFrame:
+    """(id): first, and what follows from it by a rule over edges (id, via), as far as it goes within a range of ids in a round."""
     bounds = range_bounds(edges.select(F.col("id").alias("src")), rows, block) if rows else []
 
     def task(pieces: Iterator[list[list]]) -> Iterator[pa.RecordBatch]:
         for piece in pieces:
-            out = spreading(*piece)
+            out = rule(*piece)
             yield pa.record_batch([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["id", "via", "open"])
 
-    new = stored(sources.filter("id is not null").select("id").distinct(), "reach")
-    parts, open_ = [new], edges
+    new, parts, open_ = first, [first], edges
     while True:
         began = time.time()
         hit = open_.join(new.select(F.col("id").alias("via"), F.lit(1).cast("long").alias("hit")), "via", "left").select("id", "via", F.coalesce("hit", F.lit(0).cast("long")).alias("hit"))
-        state, many = counted(in_ranges(hit, bounds, parts_of(edges.sparkSession), task, "id long, via long, open boolean"), "reach", "not open")
+        state, many = counted(in_ranges(hit, bounds, parts_of(edges.sparkSession), task, "id long, via long, open boolean"), loop, "not open")
         new, open_ = state.filter("not open").select("id"), state.filter("open").select("id", "via")
-        logged("reach_set", len(parts), many, time.time() - began)
+        logged(loop, len(parts), many, time.time() - began)
         if many:
             parts.append(new)
         if not many or not bounds:
-            return together(parts).distinct()
+            return together(parts)
+
+
+def peeling(ids: list[int], via: list[int], gone: list[int]) -> list[tuple[int, int | None, bool]]:
+    """What goes as far as these edges (via to id) tell, where an id goes once all edges into it come from what has gone: (id, none, false) of ids that go, (id, via, true) of edges out of what is left. gone: 1 where via has."""
+    waits: dict[int, int] = {}
+    ahead: dict[int, list[int]] = {}
+    for i, v, g in zip(ids, via, gone, strict=True):
+        waits.setdefault(i, 0)
+        if not g:
+            waits[i] += 1
+            ahead.setdefault(v, []).append(i)
+    todo = [i for i, n in waits.items() if not n]
+    for v in todo:  # grows as it goes
+        for i in ahead.pop(v, ()):
+            waits[i] -= 1
+            if not waits[i]:
+                todo.append(i)
+    return [(i, None, False) for i in todo] + [(i, v, True) for v, targets in ahead.items() for i in targets]
+
+
+def peel(edges: DataFrame, rows: int, first: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(id): first (id), stored vertices without an edge in, and all whose edges in come from such only, however long the paths within a range."""
+    return followed_on(edges.select(F.col("dst").alias("id"), F.col("src").alias("via")), rows, first, peeling, "peel", block)
 
 
 def in_one_task(rows: DataFrame, run: Callable[[list[int], list[int]], list[tuple[int, int]]], schema: str) -> DataFrame:
@@ -152,12 +180,21 @@ def within(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").filter("label = other").select("src", "dst", "label")
 
 
-def trim(edges: DataFrame, rows: int, rounds: int = 3) -> tuple[DataFrame, int]:
+def trim(edges: DataFrame, rows: int, rounds: int = 3, block: int = BLOCK) -> tuple[DataFrame, int]:
     """Takes away edges on no cycle: those out of a vertex without an edge in, or into one without an edge out.
 
-    TRIM_PASSES passes are one plan; rounds go on while many edges go. A vertex without an edge left is
-    alone in its component.
+    Up to RANGED times `block` edges all of these go, however long their paths (`peel`). Beyond, TRIM_PASSES
+    passes are one plan, and rounds go on while many edges go. A vertex without an edge left is alone in its component.
     """
+    if rows <= RANGED * block:
+        for _ in range(2):  # ahead, then backward; what goes backward frees nothing ahead
+            if rows:
+                first, many = counted(edges.select(F.col("src").alias("id")).distinct().join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti"), "ends")
+                if many:
+                    gone = peel(edges, rows, first, block)
+                    edges, rows = counted(edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").select("src", "dst"), "edges")
+            edges = flipped(edges)
+        return edges, rows
     for _ in range(rounds):
         new = edges
         for _ in range(TRIM_PASSES):
@@ -216,12 +253,12 @@ def strong_components(graph: Graph, finish: int = FINISH, block: int = BLOCK) ->
     edges, rows, small = smaller(graph, finish, block)
     parts: list[DataFrame] = []
     if rows > finish:
-        edges, rows = trim(edges, rows)
+        edges, rows = trim(edges, rows, block=block)
     if rows > finish:
         part, edges, rows = largest_part(edges)
         parts.append(part)
         if rows > finish:
-            edges, rows = trim(edges, rows)
+            edges, rows = trim(edges, rows, block=block)
     while rows > finish:
         colours = spread(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", F.col("id").alias("label")), edges)
         inner = stored(within(edges, colours), "inner")
@@ -231,7 +268,7 @@ def strong_components(graph: Graph, finish: int = FINISH, block: int = BLOCK) ->
         done = part.select(F.col("id").alias("src"))
         edges, rows = counted(inner.select("src", "dst").join(done, "src", "left_anti").join(done.withColumnRenamed("src", "dst"), "dst", "left_anti"), "edges")
         if rows > finish:
-            edges, rows = trim(edges, rows)
+            edges, rows = trim(edges, rows, block=block)
     if rows:
         parts.append(in_one_task(edges, depth_first, "id long, comp long"))
     return named(graph, parts, small)
@@ -248,7 +285,7 @@ def strong_components_fb(graph: Graph, finish: int = FINISH, candidates: bool =
     parts: list[DataFrame] = []
     while rows > finish:
         if labels is None or not candidates:
-            edges, rows = trim(edges, rows)
+            edges, rows = trim(edges, rows, block=block)
             if rows <= finish:
                 break
             ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
@@ -289,7 +326,7 @@ def strong_components_obf(graph: Graph, finish: int = FINISH, random_pivots: boo
     while rows > finish and (nesting is None or level < nesting):
         level += 1
         if level > 1:
-            edges, rows = trim(edges, rows)
+            edges, rows = trim(edges, rows, block=block)
             if rows <= finish:
                 break
         ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
@@ -302,15 +339,14 @@ def strong_components_obf(graph: Graph, finish: int = FINISH, random_pivots: boo
         alive = chunk.select("id", "label")
         slices: list[DataFrame] = []
         while True:
-            while True:  # vertices of the front without an edge in
-                fed = range_.select(F.col("dst").alias("id")).distinct()
-                gone, many = counted(front.join(alive, "id", "left_semi").join(fed, "id", "left_anti"), "gone")
-                if not many:
-                    break
-                first_gone = gone.select(F.col("id").alias("src"))
-                ahead = range_.join(first_gone, "src", "left_semi").select(F.col("dst").alias("id"))
-                front = stored(front.join(gone, "id", "left_anti").union(ahead).distinct(), "front")
-                range_, inner_rows = counted(range_.join(first_gone, "src", "left_anti"), "range")
+            fed = range_.select(F.col("dst").alias("id")).distinct()
+            loose, many = counted(front.join(alive, "id", "left_semi").join(fed, "id", "left_anti"), "gone")
+            if many:  # vertices of the front without an edge in go, and so does what only they lead to
+                gone = stored(peel(range_, inner_rows, loose, block), "gone")
+                out = gone.select(F.col("id").alias("src"))
+                ahead = range_.join(out, "src", "left_semi").select(F.col("dst").alias("id"))
+                front = front.union(ahead).distinct().join(gone, "id", "left_anti")
+                range_, inner_rows = counted(range_.join(out, "src", "left_anti"), "range")
                 alive = stored(alive.join(gone, "id", "left_anti"), "alive")
             front, many = counted(front.join(alive, "id", "left_semi"), "front")
             if not many:
