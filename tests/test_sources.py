@@ -142,3 +142,22 @@ def test_member_listing(spark, tmp_path):
     graph = Graph.of_edges(spark.createDataFrame([(1, 2), (2, 1), (0, 1), (0, 5)], "src long, dst long"))
     sinks.write_members(C.terminal_members(graph.materialized()), str(tmp_path / "m"))
     assert sorted(p.name for p in (tmp_path / "m").glob("comp=*")) == ["comp=1", "comp=5"]
+
+
+def test_parts_on_following_lines(spark, tmp_path):
+    """Repeated and missing numbers, nulls, and numbers with many lines, over batches of a few rows."""
+    from vertexloom.sources import tables
+
+    r = random.Random(5)
+    lines = [(o, r.choice([1, 2, 3, 4, 6, None]), r.choice([*range(40), None])) for o in [*range(30), None] for _ in range(r.randint(0, 12))] + [(99, k // 40, k) for k in range(120)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {(p, q) for o, n, p in lines for o2, m, q in lines if o is not None and o == o2 and n is not None and m == n + 1}
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            graph = tables.part_succession(spark, str(tmp_path))
+            got = [tuple(x) for x in graph.edges.collect()]
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(got) == len(want) and set(got) == want
+    assert graph.once and "Exchange" in (plan := graph.edges._jdf.queryExecution().executedPlan().toString()) and "Join" not in plan  # two moves of the lines before

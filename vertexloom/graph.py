@@ -19,18 +19,19 @@ from .storage import stored
 
 @dataclass(frozen=True)
 class Graph:
-    """vertices (id long, ...) and edges (src long, dst long, ...). root: a vertex or None. spanned: the vertices are just the ends of edges."""
+    """vertices (id long, ...) and edges (src long, dst long, ...). root: a vertex or None. spanned: the vertices are just the ends of edges. once: no two edges have the same ends."""
 
     vertices: DataFrame
     edges: DataFrame
     root: int | None = None
     spanned: bool = False
+    once: bool = False
 
     @classmethod
-    def of_edges(cls, edges: DataFrame, root: int | None = None) -> Graph:
+    def of_edges(cls, edges: DataFrame, root: int | None = None, once: bool = False) -> Graph:
         """The graph whose vertices are the ends of its edges, found in one pass over them."""
         ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).filter("id is not null")
-        return cls(ends.distinct(), edges, root, True)
+        return cls(ends.distinct(), edges, root, True, once)
 
     @property
     def spark(self) -> SparkSession:
@@ -41,12 +42,12 @@ class Graph:
         edges = stored(self.edges, "edges")
         if self.spanned:
             whole = Graph.of_edges(edges, self.root)
-            return Graph(stored(whole.vertices, "vertices"), edges, self.root, True)
-        return Graph(stored(self.vertices, "vertices"), edges, self.root)
+            return Graph(stored(whole.vertices, "vertices"), edges, self.root, True, self.once)
+        return Graph(stored(self.vertices, "vertices"), edges, self.root, False, self.once)
 
     def transpose(self) -> Graph:
         others = [c for c in self.edges.columns if c not in ("src", "dst")]
-        return Graph(self.vertices, self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *others), self.root, self.spanned)
+        return Graph(self.vertices, self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *others), self.root, self.spanned, self.once)
 
     def undirected(self) -> Graph:
         """Every edge in both directions."""

@@ -33,8 +33,8 @@ RANGED = 20
 
 def simple_edges(graph: Graph) -> tuple[DataFrame, int]:
     """Distinct edges without loops between vertices that are not null, stored, and how many."""
-    edges = graph.edges.filter("src <> dst").select("src", "dst").repartition(parts_of(graph.spark), "src", "dst").distinct()
-    return counted(edges, "edges")
+    edges = graph.edges.filter("src <> dst").select("src", "dst")
+    return counted(edges if graph.once else edges.repartition(parts_of(graph.spark), "src", "dst").distinct(), "edges")
 
 
 def smaller(graph: Graph, few: int, block: int) -> tuple[DataFrame, int, Contraction]:
