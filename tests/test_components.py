@@ -223,3 +223,50 @@ def test_slices_go_along_paths_at_once(spark):
     found = C.strong_components_obf(graph_of(spark, n, edges), finish=1)
     assert pairs(found, "id", "comp") == set(brute(n, edges).items())
     assert len(iterate.LOG) < 12
+
+
+def test_chains_over_many_ranges_go_first(spark):
+    """Every edge of a path leads into another range of ids; trimming took a round for each."""
+    n = 300
+    name = lambda i: i % 30 * 10 + i // 30
+    edges = [(name(i), name(i + 1)) for i in range(n - 1)] + [(name(200), name(100))]
+    graph = graph_of(spark, n, edges)
+    iterate.LOG.clear()
+    comps = C.strong_components(graph, finish=10, block=20)
+    assert {x.size: x.n for x in C.size_histogram(comps).collect()} == {101: 1, 1: 199}
+    assert len(iterate.LOG) < 5
+    assert C.quotient(graph, comps).count() == 199
+
+
+def test_joins_of_the_contraction_pass_the_driver_by(spark):
+    n, edges = chained(3)
+    graph = graph_of(spark, n, edges)
+    plan = C.quotient(graph, C.strong_components(graph))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("most", ["3", "10000"])
+def test_ranges_make_repeated_edges_distinct(spark, most):
+    from vertexloom.operators.contract import Ranges
+
+    r = random.Random(int(most))
+    n = 40
+    edges = [e for e in ((r.randrange(n), r.randrange(n)) for _ in range(90)) if e[0] != e[1]] + [(7, x) for x in range(8, 40)]
+    many = [e for e in edges for _ in range(r.randint(1, 9))]
+    want = brute(n, edges)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    try:
+        for block in (20, 60):
+            level = Ranges(spark.createDataFrame(many, "src long, dst long"), len(many), block, C.depth_first, once=False)
+            found = pairs(level.edges, "src", "dst")
+            to = {x.id: x.to for x in level.places.collect()}
+            assert found == {(to.get(a, a), to.get(b, b)) for a, b in edges if to.get(a, a) != to.get(b, b)} and level.rows == len(found)
+            assert all(want[i] == want[t] for i, t in to.items())
+        alone = Ranges(spark.createDataFrame([(1, 2), (1, 2), (2, 3)], "src long, dst long"), 3, 2, C.depth_first, once=False)
+        assert not alone.found and pairs(alone.edges, "src", "dst") == {(1, 2), (2, 3)} and alone.rows == 2
+        graph = Graph.of_edges(spark.createDataFrame(many, "src long, dst long")).materialized()
+        leaving = {want[a] for a, b in edges if want[a] != want[b]}
+        ends = {x for e in edges for x in e}
+        assert pairs(C.terminal_by_colour(graph, few=5, block=20), "id", "comp") == {(i, c) for i, c in want.items() if i in ends and c not in leaving}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

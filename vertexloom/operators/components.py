@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..graph import Graph
 from ..storage import stored
 from .contract import BLOCK, Contraction, in_ranges, range_bounds
-from .iterate import counted, logged, parts_of
+from .iterate import counted, logged, moved, parts_of
 from .traversal import spread
 from .traversal import reach_set as reach_rounds
 
@@ -31,15 +31,21 @@ FINISH = 100_000
 RANGED = 20
 
 
-def simple_edges(graph: Graph) -> tuple[DataFrame, int]:
-    """Distinct edges without loops between vertices that are not null, stored, and how many."""
+def simple_edges(graph: Graph, most: int | None = None) -> tuple[DataFrame, int, bool]:
+    """Edges without loops between vertices that are not null, stored; how many; whether they are distinct, as they are up to `most` (none: always)."""
     edges = graph.edges.filter("src <> dst").select("src", "dst")
-    return counted(edges if graph.once else edges.repartition(parts_of(graph.spark), "src", "dst").distinct(), "edges")
+    if graph.once or most is None:
+        return *counted(edges if graph.once else edges.repartition(parts_of(graph.spark), "src", "dst").distinct(), "edges"), True
+    edges, rows = counted(edges, "edges")
+    if rows > most:
+        return edges, rows, False
+    return *counted(edges.repartition(parts_of(graph.spark), "src", "dst").distinct(), "edges"), True
 
 
 def smaller(graph: Graph, few: int, block: int) -> tuple[DataFrame, int, Contraction]:
     """simple_edges, contracted while more than `few`: they, their number, and the way back."""
-    small = Contraction(*simple_edges(graph), depth_first, few, block, trim)
+    edges, rows, once = simple_edges(graph, max(few, block))
+    small = Contraction(edges, rows, depth_first, few, block, trim, once)
     return small.edges, small.rows, small
 
 
@@ -192,7 +198,7 @@ def trim(edges: DataFrame, rows: int, rounds: int = 3, block: int = BLOCK) -> tu
                 first, many = counted(edges.select(F.col("src").alias("id")).distinct().join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti"), "ends")
                 if many:
                     gone = peel(edges, rows, first, block)
-                    edges, rows = counted(edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").select("src", "dst"), "edges")
+                    edges, rows = counted(edges.join(moved(gone.withColumnRenamed("id", "src")), "src", "left_anti").select("src", "dst"), "edges")
             edges = flipped(edges)
         return edges, rows
     for _ in range(rounds):
@@ -224,8 +230,8 @@ def named(graph: Graph, parts: list[DataFrame], small: Contraction | None = None
         return vertices.select("id", F.col("id").alias("comp"))
     whole = together(parts)
     least = whole.groupBy("comp").agg(F.min("id").alias("least"))
-    found = whole.join(least, "comp").select("id", "least")
-    return stored(vertices.join(found, "id", "left").select("id", F.coalesce("least", "id").alias("comp")), "components")
+    found = whole.join(moved(least), "comp").select("id", "least")
+    return stored(vertices.join(moved(found), "id", "left").select("id", F.coalesce("least", "id").alias("comp")), "components")
 
 
 def largest_part(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
@@ -392,7 +398,7 @@ def quotient(graph: Graph, components: DataFrame) -> DataFrame:
     """(src_comp, dst_comp): distinct edges between different components."""
     a = components.select(F.col("id").alias("src"), F.col("comp").alias("src_comp"))
     b = components.select(F.col("id").alias("dst"), F.col("comp").alias("dst_comp"))
-    return graph.edges.select("src", "dst").join(a, "src").join(b, "dst").filter("src_comp <> dst_comp").select("src_comp", "dst_comp").distinct()
+    return graph.edges.select("src", "dst").join(moved(a), "src").join(moved(b), "dst").filter("src_comp <> dst_comp").select("src_comp", "dst_comp").distinct()
 
 
 def merge_components(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -505,11 +511,11 @@ FEW = 64
 
 def terminal_smaller(graph: Graph, few: int, block: int) -> tuple[Graph, Contraction]:
     """The graph contracted, with distinct edges without loops, and the way back. Where edges end outside the vertices nothing is contracted."""
-    edges, rows = simple_edges(graph)
+    edges, rows, once = simple_edges(graph, max(few, block) if graph.spanned else None)
     vertices = graph.vertices.filter("id is not null").select("id")
     if rows > few and not graph.spanned and not edges.select(F.explode(F.array("src", "dst")).alias("id")).join(vertices, "id", "left_anti").isEmpty():
         few = rows
-    small = Contraction(edges, rows, depth_first, few, block)
+    small = Contraction(edges, rows, depth_first, few, block, once=once)
     if small.levels:
         vertices = stored(small.vertices(vertices), "vertices")
     return Graph(vertices, small.edges), small

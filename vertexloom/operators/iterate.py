@@ -38,6 +38,11 @@ def counted(df: DataFrame, tag: str = "table", where: str = "true") -> tuple[Dat
     return table, seen.get.get("n", 0)
 
 
+def moved(rows: DataFrame) -> DataFrame:
+    """rows to be joined where they are moved and sorted, whatever their size: none of them goes through the driver."""
+    return rows.hint("merge")
+
+
 def parts_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
