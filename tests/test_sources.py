@@ -144,6 +144,17 @@ def test_member_listing(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "m").glob("comp=*")) == ["comp=1", "comp=5"]
 
 
+def test_parts_as_often_as_met(spark, tmp_path):
+    """Pairs that need not be distinct are not moved again."""
+    from vertexloom.sources import tables
+
+    spark.createDataFrame([(o, n, n % 2) for o in range(6) for n in range(4)], "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    graph = tables.part_succession(spark, str(tmp_path), once=False)
+    assert not graph.once and sorted(tuple(x) for x in graph.edges.collect()) == [(0, 1)] * 12 + [(1, 0)] * 6
+    plan = graph.edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Aggregate" not in plan
+
+
 def test_parts_on_following_lines(spark, tmp_path):
     """Repeated and missing numbers, nulls, and numbers with many lines, over batches of a few rows."""
     from vertexloom.sources import tables

@@ -42,6 +42,7 @@ def kept(make: Callable[[SparkSession, str], Graph]) -> Callable[[SparkSession,
 
 
 parts_kept, users_kept, outer_kept, trade_kept = kept(parts), kept(users), kept(outer), kept(trade)
+parts_met = kept(lambda spark, d: parts(spark, d, once=False))
 
 
 # Scans, degrees, views
@@ -391,7 +392,7 @@ CYCLE = f"{S.closure(S.PARTS)} SELECT id, comp FROM c"
 
 @query(CYCLE)
 def scc(spark, d):
-    return C.strong_components(parts_kept(spark, d))
+    return C.strong_components(parts_met(spark, d))
 
 
 @query(f"{S.closure(S.USERS)} SELECT id, comp FROM c")
@@ -463,7 +464,7 @@ def terminal_by_colour(spark, d):
 
 @query(f"{S.quotient(S.PARTS)} {TERMINAL}")
 def terminal_parts(spark, d):
-    return C.terminal_by_colour(parts_kept(spark, d))
+    return C.terminal_by_colour(parts_met(spark, d))
 
 
 @query(f"{S.quotient(S.OUTER)} {TERMINAL}")

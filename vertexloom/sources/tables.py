@@ -43,12 +43,12 @@ def following(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = rows.slice(first[max(last - 1, 0)]).to_batches()[0] if x is not None else None
 
 
-def part_succession(spark: SparkSession, folder: str) -> Graph:
-    """Distinct pairs of parts on following lines of an order: lines move once, to their order's task."""
+def part_succession(spark: SparkSession, folder: str, once: bool = True) -> Graph:
+    """Distinct pairs of parts on following lines of an order: lines move once, to their order's task. Not once: pairs come as often as they are met, for algorithms to which that is the same; it saves moving all of them."""
     lines = table(spark, folder, "lineitem").filter("l_orderkey is not null and l_linenumber is not null")
     lines = lines.select(F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("long"), F.col("l_partkey").cast("long"))
     pairs = lines.repartition("l_orderkey").sortWithinPartitions("l_orderkey", "l_linenumber").mapInArrow(following, "src long, dst long")
-    return Graph.of_edges(pairs.distinct(), 1, once=True)
+    return Graph.of_edges(pairs.distinct() if once else pairs, 1, once)
 
 
 def followers(spark: SparkSession, folder: str) -> DataFrame:
