@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from vertexloom.graph import Graph
+from vertexloom.operators import iterate
 from vertexloom.streaming import edges as E
 
 SCHEMA = "src long, dst long, ts timestamp"
@@ -50,6 +51,18 @@ def test_distances_follow_new_edges(spark, tmp_path):
     assert {r.id: r.dist for r in E.DistanceKeeper(5, str(tmp_path / "none")).distances(spark).collect()} == {5: 0}
 
 
+def test_small_frontiers_go_several_edges_a_round(spark, tmp_path):
+    """A path that later edges shorten, with repeated ones; a round for each edge before."""
+    path = str(tmp_path / "state")
+    keep = lambda rows, n: E.DistanceKeeper(0, path)(spark.createDataFrame(rows, "src long, dst long"), n)
+    iterate.LOG.clear()
+    keep([(i, i + 1) for i in range(12) for _ in range(3)], 0)
+    assert len([x for x in iterate.LOG if x[0] == "improve"]) <= 7
+    keep([(0, 5), (0, 5), (2, 9), (12, 0)], 1)
+    want = {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 1, 6: 2, 7: 3, 8: 4, 9: 3, 10: 4, 11: 5, 12: 6}
+    assert {r.id: r.dist for r in E.DistanceKeeper(0, path).distances(spark).collect()} == want
+
+
 def test_distinct_edges(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
     feed(spark, tmp_path, [(1, 2, t), (1, 2, t), (2, 1, t)], 0)

@@ -842,9 +842,9 @@ def model_check_cycles(spark, d):
 
 
 def stream_of(spark: SparkSession, rows: DataFrame, files: int) -> DataFrame:
-    """rows as a stream of small batches."""
+    """rows as a stream of small batches, dealt out by a hash: dealing them in turn sorts them first."""
     path = fresh(spark, "stream")
-    rows.repartition(files).write.parquet(path)
+    rows.repartition(files, *rows.columns).write.parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
@@ -862,7 +862,7 @@ def stream_windowed_degrees(spark, d):
 @query(f"{S.hops(S.PARTS, '1')} SELECT id, dist FROM h")
 def stream_distances(spark, d):
     """Distances kept up to date over a stream of all edges; a second process takes the place of the first half-way."""
-    edges, path = parts(spark, d).edges, fresh(spark, "distances")
+    edges, path = parts(spark, d, once=False).edges, fresh(spark, "distances")
     sink = stream_of(spark, edges, 4).writeStream.foreachBatch(lambda batch, n: stream_edges.DistanceKeeper(1, path)(batch, n))
     sink.option("checkpointLocation", fresh(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
     return stream_edges.DistanceKeeper(1, path).distances(spark)

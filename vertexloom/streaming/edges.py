@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..operators.iterate import Layers, placed
-from ..operators.traversal import reach
+from ..operators.traversal import FEW, HOPS, reach
 from ..storage import dropped
 
 
@@ -30,7 +30,8 @@ def distinct_edges(edges: DataFrame, time: str = "ts", late: str = "1 hour") ->
 class DistanceKeeper:
     """A foreachBatch sink that keeps (id, dist) from a root for all edges so far, as Parquet generations under a path.
 
-    A batch writes its own edges and relaxes what they shorten: distances go down by rounds over the
+    A batch writes its own edges as they come (repeated ones are thrown out where edges are placed, so nothing moves
+    before) and relaxes what they shorten: distances go down by rounds over the
     vertices that changed. Generation n is the distances after batch n; a generation counts once it is
     written whole. A batch starts from the latest one below it in the folder, so a new process goes on
     where another ended, and a repeated batch gives the same result. The last two generations are kept.
@@ -63,7 +64,7 @@ class DistanceKeeper:
         spark = batch.sparkSession
         known = [n for n in self.generations(spark) if n < batch_id]
         dist = self.distances(spark, known[-1]) if known else spark.createDataFrame([(self.root, 0)], "id long, dist int")
-        new = batch.filter("src is not null and dst is not null").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct()
+        new = batch.filter("src is not null and dst is not null").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
         new.write.mode("overwrite").parquet(f"{self.path}/edges/batch={batch_id}")
         new = spark.read.schema("src long, dst long").parquet(f"{self.path}/edges/batch={batch_id}")
         improve(dist, self.edges(spark, batch_id), new).write.mode("overwrite").parquet(f"{self.path}/dist/batch={batch_id}")
@@ -72,7 +73,7 @@ class DistanceKeeper:
 
 
 def improve(dist: DataFrame, edges: DataFrame, new: DataFrame) -> DataFrame:
-    """(id, dist) after new edges: a frontier of shortened vertices is passed on until none is left. Rounds write only what changed."""
+    """(id, dist) after new edges: a frontier of shortened vertices is passed on until none is left, a small one HOPS edges a round. Rounds write only what changed."""
     spark = dist.sparkSession
     with placed(edges) as near, Layers(spark, "improve", {"dist": F.min}) as state:
         state.add(dist.select("id", "dist"))
@@ -85,7 +86,11 @@ def improve(dist: DataFrame, edges: DataFrame, new: DataFrame) -> DataFrame:
         first = state.whole().join(new, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("dist") + 1).alias("dist"))
         frontier, rows = state.add(better(first))
         while rows:
-            frontier, rows = state.add(better(near.follow(frontier).select(F.col("dst").alias("id"), (F.col("dist") + 1).alias("dist"))))
+            layer, offers = frontier, None
+            for _ in range(HOPS if rows <= FEW else 1):
+                layer = near.follow(layer).groupBy(F.col("dst").alias("id")).agg((F.min("dist") + 1).alias("dist"))
+                offers = layer if offers is None else offers.union(layer)
+            frontier, rows = state.add(better(offers))
         return state.result()
 
 
